@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import legacy_archive, packing, token_stream
+from . import learned_partitions, legacy_archive, metric_tree, packing, token_stream
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -23,17 +23,27 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.stream(_read(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.archive(_read(spark, sf_dir, "pages"))
 
 
+def op8_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), end_id=1, window=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
+    "op5_learned_partitions": op5_learned_partitions,
     "op6_legacy_archive": op6_legacy_archive,
+    "op8_metric_tree": op8_metric_tree,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
