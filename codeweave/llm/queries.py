@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import learned_partitions, legacy_archive, metric_tree, packing, token_stream
+from . import learned_partitions, legacy_archive, metric_tree, packing, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,11 @@ def op6_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.archive(_read(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
     "op5_learned_partitions": op5_learned_partitions,
     "op6_legacy_archive": op6_legacy_archive,
+    "op7_toxicity": op7_toxicity,
     "op8_metric_tree": op8_metric_tree,
     "op9_packing": op9_packing,
 }
