@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import learned_partitions, legacy_archive, metric_tree, packing, token_stream, toxicity
+from . import learned_partitions, legacy_archive, metric_tree, packing, repeats, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -44,6 +44,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), end_id=1, window=2048)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_read(spark, sf_dir, "documents"), window=20).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
     "op5_learned_partitions": op5_learned_partitions,
@@ -51,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_metric_tree": op8_metric_tree,
     "op9_packing": op9_packing,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {}
