@@ -22,9 +22,17 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
+    slim(spark)
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def slim(spark: SparkSession) -> None:
+    """Smaller Arrow batches: long texts must not add up to more than a worker's memory. Sessions may set their own."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", "512"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Removes tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

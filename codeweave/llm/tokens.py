@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Chunks that the table holds before it starts anew; bounds a worker's memory.
-TABLE_CHUNKS = 1_000_000
+#: Chunks that the table holds; beyond them it goes back to the first quarter, which came first as it comes often.
+TABLE_CHUNKS = 700_000
 #: Longest chunk that is kept in the table, in characters.
 TABLE_CHARS = 64
 
@@ -59,6 +60,11 @@ class Encoder:
         self.lens = np.zeros(1 << 16, np.int64)
         self.flat[0], self.lens[0], self.n_flat = self.newline, 1, 1
 
+    def _shrink(self) -> None:
+        n = TABLE_CHUNKS // 4
+        self.table = _Table(dict(islice(self.table.items(), n)))
+        self.n_flat = int(self.starts[n - 1] + self.lens[n - 1])
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -98,7 +104,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null and empty texts."""
         if len(self.table) > TABLE_CHUNKS:
-            self._reset()
+            self._shrink()
         out: list[np.ndarray | None] = [None] * len(texts)
         whole: list[int] = []
         cut: list[int] = []
