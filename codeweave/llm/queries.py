@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import learned_partitions, legacy_archive, metric_tree, packing, repeats, token_stream, toxicity
+from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, packing, repeats, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,10 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.stream(_read(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -50,6 +54,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_learned_partitions": op5_learned_partitions,
     "op6_legacy_archive": op6_legacy_archive,
     "op7_toxicity": op7_toxicity,

@@ -103,8 +103,9 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     docs = np.searchsorted(w.bounds, first, "right") - 1
     short = np.flatnonzero((np.diff(w.bounds) < k) & (np.diff(w.bounds) > 0))
     if len(short):
-        extra = [mix(np.array([windows(w.hashes[a:b], np.array([0, b - a]), b - a)[0][0] + np.uint64(b - a)], np.uint64))[0] for a, b in zip(w.bounds[short], w.bounds[short + 1], strict=True)]
-        own, docs = np.concatenate([own, np.array(extra, np.uint64)]), np.concatenate([docs, short])
+        extra = np.array([windows(w.hashes[a:b], np.array([0, b - a]), b - a)[0][0] for a, b in zip(w.bounds[short], w.bounds[short + 1], strict=True)], np.uint64)
+        lengths = (w.bounds[short + 1] - w.bounds[short]).astype(np.uint64)
+        own, docs = np.concatenate([own, mix(extra + lengths)]), np.concatenate([docs, short])
     order = np.lexsort((own, docs))
     own, docs = own[order], docs[order]
     keep = np.ones(len(own), bool)
