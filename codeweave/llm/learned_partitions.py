@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shared
-from .vectors import BLOCK_ROWS, usable
+from .vectors import BLOCK_ROWS, matrix, usable
 
 #: Rows that the fit may see.
-SAMPLE = 12_000
+SAMPLE = 8_000
 PARTITIONS = 16
 NEIGHBOURS = 10
 HIDDEN = 128
@@ -46,8 +46,8 @@ def neighbours(x: np.ndarray, k: int, rows: np.ndarray | None = None) -> np.ndar
     """The k nearest other rows of each of `rows` (all rows by default) by cosine, in blocks."""
     rows = np.arange(len(x)) if rows is None else rows
     k, out = min(k, len(x) - 1), []
-    for at in range(0, len(rows), 512):
-        own = rows[at : at + 512]
+    for at in range(0, len(rows), 128):
+        own = rows[at : at + 128]
         s = x[own] @ x.T
         s[np.arange(len(own)), own] = -np.inf
         out.append(np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(own), 0), int))
@@ -168,11 +168,12 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
     spark = embeddings.sparkSession
     shared.slim(spark)
     rows = usable(embeddings).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
-    seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    if seen.empty:
+    seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v", "dim").toArrow()
+    if not seen.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = int(seen["dim"].mode().iloc[0])
-    router = fit(np.array(seen.loc[seen["dim"] == dim, "v"].tolist()), partitions, recall)
+    dims = seen["dim"].to_numpy()
+    dim = int(np.bincount(dims).argmax())
+    router = fit(matrix(seen["v"].filter(dims == dim)), partitions, recall)
     del seen
 
     @pandas_udf("array<int>")
