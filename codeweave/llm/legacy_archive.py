@@ -49,6 +49,8 @@ class ArcRecord:
     fields: dict[str, str]
     block: bytes
     offset: int
+    #: Header line and block as they stand in the archive: compressed where the record is a member of its own.
+    raw: bytes
 
 
 def digest(data: bytes) -> str:
@@ -60,18 +62,21 @@ def deflate(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The members of a gzip file one by one; a plain file as a whole."""
+def members(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """The members of a gzip file one by one, unpacked and as they stand; a plain file as a whole."""
     if data[:2] != b"\x1f\x8b":
-        yield data
+        yield data, data
         return
-    while data:
-        z = zlib.decompressobj(31)
-        out = z.decompress(data)
-        if not z.eof:
-            raise ValueError("a gzip member that ends early")
-        yield out
-        data = z.unused_data.lstrip(b"\0")
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, begin, out = zlib.decompressobj(31), at, []
+        while not z.eof:
+            chunk = view[at : at + 16384]
+            if not chunk:
+                raise ValueError("a gzip member that ends early")
+            out.append(z.decompress(chunk))
+            at += len(chunk) - len(z.unused_data)
+        yield b"".join(out), bytes(view[begin:at])
 
 
 # --- ARC ------------------------------------------------------------------------------------------------------------
@@ -95,10 +100,11 @@ def arc_record(version: int, url: str, ip: str, date: str, mime: str, block: byt
     return f"{url} {ip} {date} {middle} {len(block)}\n".encode() + block + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    version, base = 0, 0
-    for member in members(data):
-        at = 0
+def parse_arc(data: bytes, version: int = 0) -> Iterator[ArcRecord]:
+    """The records of an archive, or of a part of one whose version is known."""
+    base = 0
+    for member, packed in members(data):
+        at, found = 0, []
         while True:
             while member[at : at + 1] in (b"\n", b"\r"):
                 at += 1
@@ -123,8 +129,11 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             block = member[end + 1 : end + 1 + size]
             if len(block) != size:
                 raise ValueError("a record that ends before its declared length")
-            yield ArcRecord(version, dict(zip(names, parts, strict=True)), block, base + at)
+            found.append(ArcRecord(version, dict(zip(names, parts, strict=True)), block, base + at, member[at : end + 1 + size]))
             at = end + 1 + size
+        if len(found) == 1:
+            found[0].raw = packed
+        yield from found
         base += len(member)
 
 
@@ -182,7 +191,7 @@ def convert(fields: dict[str, str], block: bytes, place: str, refers_to: str | N
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record; sums are checked."""
-    for member in members(data):
+    for member, _ in members(data):
         at = 0
         while at < len(member):
             end = member.find(b"\r\n\r\n", at)
@@ -256,7 +265,7 @@ def write_arc(pages: DataFrame, out: str, date: str = "20040229123456", file_byt
     return shared.kept(rows.mapInArrow(run, "file string, n long"), "arc")
 
 
-_ARC = "page_id long, url string, ip string, date string, mime string, place string, payload_digest string, block binary"
+_ARC = "page_id long, version int, place string, payload_digest string, raw binary"
 
 
 def read_arc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
@@ -264,7 +273,7 @@ def read_arc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _ARC.split(", ")]
-        schema = pa.schema([(n, pa.int64() if n == "page_id" else pa.binary() if n == "block" else pa.string()) for n in names])
+        schema = pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)))
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
@@ -273,8 +282,8 @@ def read_arc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
                         continue
                     head, payload = split_http(r.block) or (b"", r.block)
                     page = http_field(head, "X-Page-Id")
-                    rows.append((None if page is None else int(page), r.fields["url"], r.fields["ip"], r.fields["date"], r.fields["mime"], f"{file}@{r.offset}", digest(payload), r.block))
-                    held += len(r.block)
+                    rows.append((None if page is None else int(page), r.version, f"{file}@{r.offset}", digest(payload), r.raw))
+                    held += len(r.raw)
                     if held > 4 << 20:
                         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, held = [], 0
@@ -295,13 +304,14 @@ def write_warc(records: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> Da
     largest = records.groupBy("payload_digest").agg(F.max("page_id").alias("first_page"))
     known = records.join(largest, "payload_digest")
     refers = F.when(~F.col("first_page").eqNullSafe(F.col("page_id")) & F.col("first_page").isNotNull(), F.col("first_page").cast("string"))
-    rows = known.select("page_id", "url", "ip", "date", "mime", "place", "block", refers.alias("refers_to")).sortWithinPartitions("page_id", "place")
+    rows = known.select("page_id", "place", "version", "raw", refers.alias("refers_to")).sortWithinPartitions("page_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(out, ".warc.gz", file_bytes)
         for batch in batches:
-            for _, url, ip, date, mime, place, block, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files.add(convert({"url": url, "ip": ip, "date": date, "mime": mime}, block, place, refers_to))
+            for _, place, version, raw, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                record = next(parse_arc(raw, version))
+                files.add(convert(record.fields, record.block, place, refers_to))
                 if files.full:
                     yield files.flush()
         if files.parts:
