@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, packing, repeats, token_stream, toxicity
+from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, mixing, packing, repeats, secrets, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -23,10 +23,20 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.stream(_read(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), mixing.tree(), mixing.WEIGHTS, budget=0.6, epochs=4, seed=17)
+    return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "n_tokens", "take_tokens")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.fit(docs))
+
+
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.nearest(_read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -54,7 +64,9 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
+    "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_secret_models": op4_secret_models,
     "op5_learned_partitions": op5_learned_partitions,
     "op6_legacy_archive": op6_legacy_archive,
     "op7_toxicity": op7_toxicity,
@@ -62,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
