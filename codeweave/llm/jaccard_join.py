@@ -204,6 +204,19 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
     return described.join(owners, ["p", "q", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def kept_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that a document of smaller doc_id stands for: of each component the
+    least doc_id stays. Documents without words, and null doc_ids, stay; of equal rows of one doc_id one stays."""
+    found = shared.kept(join(docs, k, percent).select("doc_id", "component_id"), "components-of")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(shared.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """All pairs with their verdict, and those that link."""
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left"))

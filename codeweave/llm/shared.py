@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -53,6 +54,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+#: Rows of a few numbers up to which a table may be broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A narrow table, to be broadcast if it has at most SMALL_ROWS rows."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def put(path: str, content: bytes) -> None:
     """Writes a file as a whole: a task that runs twice, or dies half-way, leaves no torn file."""
     from pyarrow import fs
