@@ -106,7 +106,7 @@ one_ref AS (SELECT source, target_name, repo_name, min(file_path) AS file_path F
 
 
 @query(f"""WITH {_REFS}, ranked AS (
-  SELECT source, c.id AS target, count(*) OVER w AS n, count(*) FILTER (c.file_path = r.file_path) OVER w AS own, c.file_path = r.file_path AS same, row_number() OVER (PARTITION BY source, target_name, repo_name ORDER BY c.id) AS rank
+  SELECT source, c.id AS target, count(*) OVER w AS n, count(*) FILTER (c.file_path = r.file_path) OVER w AS own, c.file_path = r.file_path AS same, row_number() OVER (PARTITION BY source, target_name, r.repo_name ORDER BY c.id) AS rank
   FROM one_ref r JOIN callables c ON c.name = target_name AND c.repo_name = r.repo_name WINDOW w AS (PARTITION BY source, target_name, r.repo_name))
 SELECT DISTINCT source, target, 0.6::double AS confidence FROM ranked WHERE n = 1 OR same OR (own = 0 AND rank <= 3)""")
 def resolve_calls_by_name(spark: SparkSession, d: str) -> DataFrame:
@@ -245,9 +245,9 @@ def hierarchy_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {L.USERS}, s AS (SELECT min(id) AS id FROM user_nodes),
-p1 AS (SELECT target AS at, source || '>' || target AS path FROM user_calls, s WHERE source = s.id),
-p2 AS (SELECT target AS at, path || '>' || target AS path, source || '>' || target AS e FROM p1 JOIN user_calls ON source = at WHERE path <> source || '>' || target)
-SELECT at AS id, path, 1 AS hops FROM p1 UNION ALL SELECT at, path, 2 FROM p2""")
+p1 AS (SELECT target AS id, source || '>' || target AS path FROM user_calls, s WHERE source = s.id),
+p2 AS (SELECT target AS id, path || '>' || target AS path FROM p1 JOIN user_calls ON source = p1.id WHERE path <> source || '>' || target)
+SELECT id, path, 1 AS hops FROM p1 UNION ALL SELECT id, path, 2 FROM p2""")
 def call_paths(spark: SparkSession, d: str) -> DataFrame:
     seed = L.user_nodes(spark, d).agg(F.min("id").alias("id"))
     return traverse.paths(L.user_calls(spark, d), seed, ["CALLS"], 2).select("id", F.array_join("path", ">").alias("path"), "hops")
@@ -321,7 +321,7 @@ def dedup_best(spark: SparkSession, d: str) -> DataFrame:
     return ranking.first_of(rows, ["key"], [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "source")
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_slice(string_split(text, e'\\n'), 1, 2), x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''), '|') AS preview FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(list_slice(string_split(text, e'\\n'), 1, 2), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''), '|') AS preview FROM documents""")
 def line_caps(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "documents").select("doc_id", F.array_join(ranking.first_lines(F.col("text"), 2), "|").alias("preview"))
 
@@ -348,11 +348,11 @@ def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return upsert.merge_nodes(orders, one.unionAll(two).unionAll(new), ["batch"])
 
 
-@query(f"""WITH {L.CALLS}, delta AS (SELECT source, target, type, 0.99::double AS confidence FROM calls WHERE source LIKE 'part:%5' UNION ALL SELECT 'part:0', target, 'CALLS', 0.1::double FROM calls WHERE source = 'part:15')
+@query(f"""WITH {L.CALLS}, delta AS (SELECT source, target, type, 0.99::double AS confidence FROM calls WHERE source LIKE 'part:%5' UNION ALL SELECT 'part:new', target, 'CALLS', 0.1::double FROM calls WHERE source = 'part:15')
 SELECT source, target, type, confidence FROM calls WHERE NOT source LIKE 'part:%5' UNION ALL SELECT DISTINCT * FROM delta""")
 def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     calls = L.calls(spark, d)
-    delta = calls.where("source LIKE 'part:%5'").withColumn("confidence", F.lit(0.99)).unionAll(calls.where("source = 'part:15'").select(F.lit("part:0"), "target", "type", F.lit(0.1)))
+    delta = calls.where("source LIKE 'part:%5'").withColumn("confidence", F.lit(0.99)).unionAll(calls.where("source = 'part:15'").select(F.lit("part:new"), "target", "type", F.lit(0.1)))
     return upsert.merge_edges(calls, delta)
 
 
