@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PART_KEYS = 1 << 20
 
 CHUNK_SCHEMA = "chunk long, n_words long, ids array<long>, texts array<string>"
@@ -66,7 +66,7 @@ def parts_for(keys: int, spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // PART_KEYS))
 
 
-#: Chunks after the first have a level of compression that costs little.
+#: A level of compression that costs little.
 _LEVEL = 1
 
 

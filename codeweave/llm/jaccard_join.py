@@ -12,8 +12,9 @@ extended to k = 2:
 
 Tokens of one document alone have no entry. Candidates then are verified on whole sets. Entries are not expanded to all
 their pairs: first each document is compared with one partner of each entry, by which most of a group of copies
-becomes one component; then only pairs of one entry that are still in different components are compared, until no
-such pair is left. So every link between different components is found, and a group of n copies costs about n
+becomes one component; then only pairs of one entry that are still in different components are compared, if their sizes,
+their numbers of tokens that other documents have, too, and parities of their tokens' hashes allow the overlap that a
+link takes. So every link between different components is found, and a group of n copies costs about n
 comparisons.
 
 Edge cases: null and empty texts, and texts without words, have empty sets and are alone; rows that repeat a doc_id
@@ -23,7 +24,7 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,16 @@ def entries(tokens: np.ndarray, classes: np.ndarray, percent: int, frequent: int
     return np.concatenate(out), np.concatenate(roles)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Four numbers of 64 bits: for each of 256 cells of a hash, whether an odd number of tokens falls there. Bits in
+    which two sets differ are at most as many as the tokens that only one of them has."""
+    counts = np.bincount((mix(tokens ^ _SALT["two"]) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(counts.astype(np.uint8)).view("<i8")
+
+
+BITS = [f"bits{i}" for i in range(4)]
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -167,35 +178,50 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
                 continue
             _, back = np.unique(tokens >> np.uint64(16), return_inverse=True)
             cls = C.answers(counted, chunk)[back]
+            out: list[tuple[int, int, int, np.ndarray, np.ndarray, bytes, np.ndarray]] = []
             for i, place in enumerate(places.tolist()):
                 a, b = int(at[i]), int(at[i + 1])
                 sig, role = entries(tokens[a:b], cls[a:b], percent, frequent, wide)
                 if len(sig):
-                    own = np.sort(tokens[a:b])
-                    n = len(sig)
-                    yield pa.record_batch({"rep": pa.array([ids[place]] * n, pa.int64()), "n": pa.array([b - a] * n, pa.int32()), "sig": pa.array(sig.view(np.int64)), "asks": pa.array(role.astype(np.int8)), "tokens": pa.array([own.tobytes()] + [None] * (n - 1), pa.binary())})
-
-    indexed = shared.kept(chunked.mapInArrow(index, "rep long, n int, sig long, asks byte, tokens binary"), "index")
+                    out.append((ids[place], b - a, int(np.count_nonzero(cls[a:b])), sig, role, np.sort(tokens[a:b]).tobytes(), parities(tokens[a:b])))
+            if out:
+                sizes = np.array([len(o[3]) for o in out])
+                blobs = [x for o in out for x in (o[5], *[None] * (len(o[3]) - 1))]
+                columns = [np.repeat(np.array([o[j] for o in out], t), sizes) for j, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
+                yield pa.record_batch({"rep": columns[0], "n": columns[1], "shared": columns[2], "sig": np.concatenate([o[3] for o in out]).view(np.int64), "asks": np.concatenate([o[4] for o in out]).astype(np.int8), "tokens": pa.array(blobs, pa.binary()), **{c: np.repeat(np.array([o[6][j] for o in out]), sizes) for j, c in enumerate(BITS)}})
+
+    indexed = shared.kept(chunked.mapInArrow(index, "rep long, n int, shared int, sig long, asks byte, tokens binary, " + ", ".join(f"{c} long" for c in BITS)), "index")
     sets = shared.kept(indexed.where("tokens IS NOT NULL").select("rep", "tokens"), "tokens")
-    rows = indexed.select("rep", "n", "sig", "asks")
-    busy = rows.groupBy("sig").agg(F.count("*").alias("docs"), F.min("asks").alias("answered"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("first")).where("docs > 1 AND answered = 0")
-    postings = shared.kept(rows.join(busy.select("sig", F.col("first.rep").alias("first"), F.col("first.n").alias("first_n")), "sig"), "postings")
-
-    def fits(a: str, b: str) -> F.Column:
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-    star = postings.where((F.col("rep") != F.col("first")) & fits("n", "first_n")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
+    rows = indexed.select("rep", "n", "shared", "sig", "asks", *BITS)
+    # The partner of an entry's documents is the one that has the largest share of tokens in common with others: of a
+    # text and its edited copies that is the text.
+    partner = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("rep")).alias("rep"), "n", "shared", *BITS))
+    busy = rows.groupBy("sig").agg(F.count("*").alias("docs"), F.min("asks").alias("answered"), partner.alias("first")).where("docs > 1 AND answered = 0")
+    postings = shared.kept(rows.join(busy.select("sig", (-F.col("first.rep")).alias("first"), F.col("first.n").alias("first_n"), F.col("first.shared").alias("first_shared"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in BITS]), "sig"), "postings")
+
+    def fits(there: Callable[[str], str]) -> F.Column:
+        """Sizes near enough; enough tokens that are not the documents' own for the overlap that a link takes; few enough
+        cells whose parity differs."""
+        n, m = F.col("n"), F.col(there("n"))
+        far = F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(there(BITS[0]))))
+        for c in BITS[1:]:
+            far = far + F.bit_count(F.col(c).bitwiseXOR(F.col(there(c))))
+        own = F.least("shared", there("shared"))
+        # overlap >= percent * (n + m) / (100 + percent), and n + m - 2 * overlap tokens differ
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (own * (100 + percent) >= (n + m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
+
+    star = postings.where((F.col("rep") != F.col("first")) & fits(lambda c: f"first_{c}")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
     tried, links = _verified(star, sets, percent)
     nodes = postings.select(F.col("rep").alias("node")).distinct()
     labels = components(nodes, links, "stars")
 
     # What is left: pairs of one entry in different components. Both sides keep the entry's key, so a popular entry is
     # split like any skewed join; entries within one component drop out before.
-    known = postings.join(labels, F.col("rep") == F.col("node")).select("sig", "rep", "n", "asks", "label")
+    known = postings.join(labels, F.col("rep") == F.col("node")).select("sig", "rep", "n", "shared", "asks", "label", *BITS)
     mixed = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
     apart = shared.kept(known.join(mixed, "sig"), "apart")
-    other = apart.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("asks").alias("asks2"), F.col("label").alias("label2"))
-    cross = apart.join(other, "sig").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & (F.col("asks") + F.col("asks2") < 2) & fits("n", "n2"))
+    other = apart.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("asks").alias("asks2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in BITS])
+    cross = apart.join(other, "sig").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & (F.col("asks") + F.col("asks2") < 2) & fits(lambda c: f"{c}2"))
     rest = cross.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     _, more = _verified(rest, sets, percent)
     ends = components(nodes, links.union(more), "components") if not more.isEmpty() else labels

@@ -6,10 +6,11 @@ not name that folder (tests on local mode), a temporary one is set.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,20 @@ def files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def pieces(batches: Iterator, rows: int) -> Iterator:
-    """Arrow batches of at most `rows` rows."""
+    """Arrow batches of at most `rows` rows; what the one before has freed goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            _trim()
+
+
+def _libc_trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def _trim() -> None:
+    """Freed arrays stay with a worker otherwise, and workers outlive their stage."""
+    _libc_trim()(0)
