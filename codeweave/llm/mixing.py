@@ -72,10 +72,11 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     names = [f"mix_{c}" for c in tree]
     spark = docs.sparkSession
     shared.slim(spark)
-    rows = docs.withColumns({n: F.coalesce(v.cast("string"), F.lit("")) for n, v in zip(names, tree.values(), strict=True)})
-    rows = rows.withColumn("n_tokens", F.col(tokens).cast("long") if tokens else n_words(F.col("text").cast("string")))
-    leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    leaves = shared.kept(leaves, "leaves")
+    leafed = docs.withColumns({n: F.coalesce(v.cast("string"), F.lit("")) for n, v in zip(names, tree.values(), strict=True)})
+    count = F.col(tokens).cast("long") if tokens else n_words(F.col("text").cast("string"))
+    # Words are counted once for all sums: the plan is made on a narrow table.
+    thin = shared.kept(leafed.select(*names, "doc_id", count.alias("n_tokens")).where("n_tokens > 0"), "thin")
+    leaves = shared.kept(thin.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     planned = shared.kept(budgets(leaves, names, {f"mix_{k}": v for k, v in weights.items()}, budget, epochs), "budgets")
     plan = planned.select(*names, F.floor(F.col("share") / F.col("tokens")).cast("int").alias("_whole"), (F.col("share") % F.col("tokens")).alias("_rest"))
     few = planned.count() <= LEAVES
@@ -84,8 +85,8 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
         return df.join(F.broadcast(table) if few else table, names, how)
 
     key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = with_leaf(rows.where("n_tokens > 0"), plan).withColumn("_key", key)
-    narrow = placed.where("_rest > 0").select(*names, "_key", "n_tokens", "_rest")
+    narrow = with_leaf(thin, plan).where("_rest > 0").withColumn("_key", key).select(*names, "_key", "n_tokens", "_rest")
+    placed = with_leaf(leafed, plan).withColumn("_key", key)
     cuts = plan.where("_rest > 0").select(*names, F.lit("").alias("_cut"), F.lit(0).cast("long").alias("_before"), "_rest")
     for level in range(LEVELS):
         cell = F.substring("_key", 1, 2 * (level + 1))
@@ -94,11 +95,11 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
         upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_cell"))
         cuts = shared.kept(sums.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))).select(*names, F.col("_cell").alias("_cut"), (F.col("_upto") - F.col("_n")).alias("_before"), "_rest"), "cuts")
     # Rows of the cell in which the budget ends are put in order; there are few of them.
-    last = with_leaf(placed.drop("_rest"), cuts).where(F.col("_key").startswith(F.col("_cut")))
+    last = with_leaf(placed.drop("_rest"), cuts).where(F.col("_key").startswith(F.col("_cut"))).withColumn("n_tokens", count)
     order = Window.partitionBy(*names).orderBy("_key", "doc_id")
     last = last.withColumn("_start", F.col("_before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    ends = last.where("_start < _rest").withColumn("take_tokens", F.least("n_tokens", F.col("_rest") - F.col("_start"))).withColumn("mix_epoch", F.col("_whole"))
-    first = with_leaf(placed, cuts.select(*names, "_cut"), "left")
+    ends = last.where("_start < _rest AND n_tokens > 0").withColumn("take_tokens", F.least("n_tokens", F.col("_rest") - F.col("_start"))).withColumn("mix_epoch", F.col("_whole"))
+    first = with_leaf(placed, cuts.select(*names, "_cut"), "left").withColumn("n_tokens", count).where("n_tokens > 0")
     passes = F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>"))
     early = F.when((F.col("_rest") > 0) & (F.col("_key") < F.col("_cut")), F.array("_whole")).otherwise(F.array().cast("array<int>"))
     whole = first.withColumn("mix_epoch", F.explode(F.concat(passes, early))).withColumn("take_tokens", F.col("n_tokens"))

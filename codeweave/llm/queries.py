@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, mixing, packing, repeats, secrets, token_stream, toxicity
+from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, mixing, packing, repeats, secrets, shared, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,7 +25,9 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"), mixing.tree(), mixing.WEIGHTS, budget=0.6, epochs=4, seed=17)
+    docs = _read(spark, sf_dir, "documents")
+    counted = shared.kept(docs.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_words")), "counted")
+    mixed = mixing.mix(counted, mixing.tree(), mixing.WEIGHTS, budget=0.6, epochs=4, seed=17, tokens="n_words")
     return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "n_tokens", "take_tokens")
 
 
