@@ -82,8 +82,9 @@ def samples(docs: DataFrame, sample: int = SAMPLE, made: int = MADE) -> DataFram
     return rows.unionByName(plain.withColumn("random", F.lit(0)))
 
 
-def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
-    """Log-likelihood ratios of character pairs, row by row; the driver gets a count for each pair and label."""
+def train(labelled: DataFrame, smooth: float = 2.0) -> list[float]:
+    """Log-likelihood ratios of character pairs, row by row; the driver gets a count for each pair and label. A pair
+    that a model has not seen falls back on how often it has seen the second character."""
     k = len(ALPHABET) + 1
     pair = F.transform(F.sequence(F.lit(2), F.length("s")), lambda i: F.struct(F.substring(F.col("s"), i - 1, F.lit(1)).alias("a"), F.substring(F.col("s"), i, F.lit(1)).alias("b")))
     counted = labelled.where(F.length("s") >= 2).select("random", F.explode(pair).alias("p")).groupBy("random", F.instr(F.lit(ALPHABET), F.col("p.a")).alias("a"), F.instr(F.lit(ALPHABET), F.col("p.b")).alias("b")).count().collect()
@@ -92,7 +93,12 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
         n[r["random"]][r["a"]][r["b"]] = float(r["count"])
     if not all(any(map(any, m)) for m in n.values()):
         return [0.0] * (k * k)
-    return [math.log((n[1][a][b] + smooth) / (sum(n[1][a]) + smooth * k)) - math.log((n[0][a][b] + smooth) / (sum(n[0][a]) + smooth * k)) for a in range(k) for b in range(k)]
+    logs = {}
+    for label, m in n.items():
+        seen = [sum(row[b] for row in m) + 0.5 for b in range(k)]
+        whole = sum(seen)
+        logs[label] = [[math.log((m[a][b] + smooth * seen[b] / whole) / (sum(m[a]) + smooth)) for b in range(k)] for a in range(k)]
+    return [logs[1][a][b] - logs[0][a][b] for a in range(k) for b in range(k)]
 
 
 def ratio(s: Column, table: list[float]) -> Column:
