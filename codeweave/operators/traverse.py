@@ -21,7 +21,7 @@ def clamp(depth: float, cap: int) -> int:
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, inbound: bool = False) -> DataFrame:
     """(id, distance) of the nodes that 1 to `hops` edges reach from the seeds (id), seeds in cycles included."""
     a, b = ("target", "source") if inbound else ("source", "target")
-    steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
+    steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
     level = F.broadcast(seeds.select("id").distinct()) if seeds.limit(SEEDS + 1).count() <= SEEDS else seeds.select("id").distinct()
     out: DataFrame | None = None
     for d in range(1, hops + 1):

@@ -39,6 +39,22 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_KEPT: dict[str, tuple[str, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, d: str, lens) -> DataFrame:
+    """A lens in the cache (memory, then disk): walks read it once for each hop and direction. One of each kind is kept; tables of
+    another folder take its place."""
+    key = f"{spark.sparkContext.applicationId} {d}"
+    known = _KEPT.get(lens.__name__)
+    if known and known[0] == key:
+        return known[1]
+    if known and known[0].split()[0] == spark.sparkContext.applicationId:
+        known[1].unpersist()
+    _KEPT[lens.__name__] = (key, lens(spark, d).persist())
+    return _KEPT[lens.__name__][1]
+
+
 NODES = """places AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'FILE' AS type, r_name AS name, r_name AS file_path, r_name AS repo_name FROM region

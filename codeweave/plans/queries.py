@@ -225,8 +225,8 @@ def callees_2hop(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {L.NODES}, {L.EDGES}, {_walk_sql("edges", "SELECT id FROM nodes WHERE id = 'region:1'", 3)} SELECT w.id, distance, type FROM w JOIN nodes USING (id)""")
 def bfs_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    nodes = L.nodes(spark, d)
-    return traverse.neighbours(nodes, L.edges(spark, d), nodes.where("id = 'region:1'"), 5).select("id", "distance", "type")
+    nodes = L.kept(spark, d, L.nodes)
+    return traverse.neighbours(nodes, L.kept(spark, d, L.edges), nodes.where("id = 'region:1'"), 5).select("id", "distance", "type")
 
 
 @query(f"""WITH {L.NODES}, {L.CALLS}, into_ AS (SELECT target AS id, count(DISTINCT source) AS n FROM calls GROUP BY 1), out_ AS (SELECT source AS id, count(DISTINCT target) AS n FROM calls GROUP BY 1)
@@ -465,7 +465,7 @@ best AS (SELECT n.id, n.name, n.file_path, score, distance, row_number() OVER (P
 top AS (SELECT * FROM best WHERE r = 1 ORDER BY score DESC, distance, id LIMIT 40)
 SELECT t.id, name, file_path, round(score, 9) AS score, distance::integer AS distance, (SELECT count(DISTINCT source) FROM calls WHERE target = t.id)::bigint AS callers, (SELECT count(DISTINCT target) FROM calls WHERE source = t.id)::bigint AS callees FROM top t""")
 def retrieve(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = L.nodes(spark, d), L.edges(spark, d)
+    nodes, edges = L.kept(spark, d, L.nodes), L.kept(spark, d, L.edges)
     name = L.table(spark, d, "part").agg(F.min("p_name")).first()[0]
     seeds = R.seeds(nodes, None, symbol=name)
     return R.retrieve(nodes, edges, *seeds, depth=2, limit=40).select("id", "name", "file_path", F.round("score", 9).alias("score"), "distance", "callers", "callees")
