@@ -36,6 +36,8 @@ TERMS = 3_000
 SUPPORT = 4
 ODDS = 2.0
 LENGTHS = (4, 5, 6)
+#: Characters in the middle of a text by which copies are told.
+MIDDLE = 80
 
 #: Look-alike letters (fixed values).
 LOOKALIKES = str.maketrans({
@@ -147,7 +149,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     """Lexicon, exceptions and logistic function from the labelled rows that are not held out."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = shared.kept(docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # Copies would make any word of theirs a term: of rows that are alike in the middle one is learned from.
+    middle = F.md5(F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.lit(MIDDLE)).cast("binary"))
+    rows = shared.kept(found.groupBy(middle, "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not toxic or not clean:
