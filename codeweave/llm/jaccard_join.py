@@ -78,13 +78,13 @@ def entries(tokens: np.ndarray, classes: np.ndarray, percent: int, frequent: int
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """Four numbers of 64 bits: for each of 256 cells of a hash, whether an odd number of tokens falls there. Bits in
+    """Eight numbers of 64 bits: for each of 512 cells of a hash, whether an odd number of tokens falls there. Bits in
     which two sets differ are at most as many as the tokens that only one of them has."""
-    counts = np.bincount((mix(tokens ^ _SALT["two"]) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    counts = np.bincount((mix(tokens ^ _SALT["two"]) & np.uint64(511)).astype(np.int64), minlength=512) & 1
     return np.packbits(counts.astype(np.uint8)).view("<i8")
 
 
-BITS = [f"bits{i}" for i in range(4)]
+BITS = [f"bits{i}" for i in range(8)]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -222,7 +222,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
     apart = shared.kept(known.join(mixed, "sig"), "apart")
     other = apart.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("asks").alias("asks2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in BITS])
     cross = apart.join(other, "sig").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & (F.col("asks") + F.col("asks2") < 2) & fits(lambda c: f"{c}2"))
-    rest = cross.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = cross.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    rest = shared.kept(rest, "rest").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     _, more = _verified(rest, sets, percent)
     ends = components(nodes, links.union(more), "components") if not more.isEmpty() else labels
 
