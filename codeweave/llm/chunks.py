@@ -96,10 +96,12 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where each part's keys begin among ascending keys of so many bits."""
-    edges = np.array([(p << bits) // parts for p in range(parts)] + [1 << bits], dtype=object)
-    return np.searchsorted(keys, np.minimum(edges, (1 << 64) - 1).astype(np.uint64)) if bits < 64 else np.append(np.searchsorted(keys, edges[:-1].astype(np.uint64)), len(keys))
+def shares(keys: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts that have some of the ascending keys of so many bits, and where the keys of each begin and end."""
+    high = keys >> np.uint64(bits - 32) if bits > 32 else keys << np.uint64(32 - bits)
+    part = (high * np.uint64(parts)) >> np.uint64(32)
+    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return part[new].astype(np.int32), new, np.append(new[1:], len(keys)).astype(np.int64)[: len(new)]
 
 
 def ask(
@@ -123,14 +125,11 @@ def ask(
         for batch in shared.pieces(batches, 1):
             row = {c: batch.column(c)[0] for c in batch.schema.names}
             keys, beside = keys_of(row)
-            at = bounds(keys, parts, bits)
-            blobs, used = [], []
-            for p in range(parts):
-                a, b = int(at[p]), int(at[p + 1])
-                if a < b:
-                    plain = pack_keys(keys[a:b])
-                    used.append(p)
-                    blobs.append(squeeze(len(plain).to_bytes(8, "little") + plain + b"".join(x[a:b].astype(t).tobytes() for x, t in zip(beside, payload, strict=True))))
+            used, begins, ends = shares(keys, parts, bits)
+            blobs = []
+            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+                plain = pack_keys(keys[a:b])
+                blobs.append(squeeze(len(plain).to_bytes(8, "little") + plain + b"".join(x[a:b].astype(t).tobytes() for x, t in zip(beside, payload, strict=True))))
             yield pa.record_batch({"part": pa.array(used, pa.int32()), "chunk": pa.array([row["chunk"].as_py()] * len(used), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def reply(table: pa.Table) -> pa.Table:

@@ -132,9 +132,12 @@ def test_packed_keys():
     assert chunks.unpack_keys(memoryview(chunks.pack_keys(keys[:0]))).tolist() == []
     big = np.array([0, (1 << 64) - 1], np.uint64)
     assert chunks.unpack_keys(memoryview(chunks.pack_keys(big))).tolist() == big.tolist()
-    for bits in (48, 64):
-        at = chunks.bounds(keys if bits == 48 else big, 7, bits)
-        assert at[0] == 0 and at[-1] == (len(keys) if bits == 48 else 2) and (np.diff(at) >= 0).all()
+    for k, bits in ((keys, 48), (big, 64), (keys >> np.uint64(28), 20), (keys[:0], 48)):
+        k = np.unique(k)
+        used, begins, ends = chunks.shares(k, 7, bits)
+        assert begins.tolist() == [0, *ends.tolist()][: len(begins)] and (len(k) == 0 or ends[-1] == len(k))
+        for p, a, b in zip(used.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            assert all(int(x) * 7 >> bits in (p, p + 1) for x in k[a:b]) and 0 <= p < 7
 
 
 # --- archives ---------------------------------------------------------------------------------------------------------
