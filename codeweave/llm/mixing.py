@@ -12,8 +12,8 @@ sums over ranges of the hash, refined `LEVELS` times, so no task orders more tha
 
 Edge cases: null values of the tree's columns are a leaf of their own, ''; nodes of weight 0 get nothing; documents
 without tokens are never chosen; rows that repeat a doc_id are separate, in one place of each order; null
-doc_ids hash as ''; a budget above what the tree holds is cut to it; an empty table gives an empty result.
-Tokens are words, runs of characters other than space and 0x09-0x0D, where no column of counts is named.
+doc_ids hash as ''; a budget above what the tree holds is cut to it; an empty table gives an empty result;
+columns that are named as results are replaced. Tokens are words, runs of characters other than space and 0x09-0x0D, where no column of counts is named.
 """
 
 from __future__ import annotations
@@ -103,7 +103,8 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     passes = F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>"))
     early = F.when((F.col("_rest") > 0) & (F.col("_key") < F.col("_cut")), F.array("_whole")).otherwise(F.array().cast("array<int>"))
     whole = first.withColumn("mix_epoch", F.explode(F.concat(passes, early))).withColumn("take_tokens", F.col("n_tokens"))
-    columns = [*docs.columns, *names, "mix_epoch", "n_tokens", "take_tokens"]
+    results = [*names, "mix_epoch", "n_tokens", "take_tokens"]
+    columns = [*[c for c in docs.columns if c not in results], *results]
     return whole.select(*columns).unionAll(ends.select(*columns))
 
 

@@ -8,8 +8,7 @@ labelled samples. A candidate, a run of `LEAST` or more of the alphabet's charac
 where the log-likelihood ratio of its character pairs is at least `PER_CHAR` a pair and `TOTAL` in all.
 
 Edge cases: null and empty texts have no spans; without samples of both kinds the ratio is 0 and nothing is added;
-rows that repeat a doc_id are scanned each; null doc_ids stay. All other columns pass through `scan` unchanged; columns
-named as its results are replaced.
+rows that repeat a doc_id are scanned each; null doc_ids stay. All other columns pass through `scan` unchanged.
 """
 
 from __future__ import annotations
@@ -114,8 +113,12 @@ def ratio(s: Column, table: list[float]) -> Column:
 # --- scan -----------------------------------------------------------------------------------------------------------
 
 
+#: Columns of results, under names that tables hardly have.
+BASE, FOUND, CANDS, FLAGS = ("__secret_base", "__secret_found", "__secret_candidates", "__secret_flags")
+
+
 def scan(docs: DataFrame, table: list[float]) -> DataFrame:
-    """docs with `found`, all spans (start, kind, end; kind is a number of KINDS), ascending, and `base`, those of fixed patterns."""
+    """docs with FOUND, all spans (start, kind, end; kind is a number of KINDS), ascending, and BASE, those of fixed patterns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(*[spans(text, p, i, g, least) for i, (p, g, least) in enumerate(PATTERNS[x] for x in KINDS[:3])])
     cands = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
@@ -124,20 +127,20 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
         pairs = F.length(s) - 1
         return F.aggregate(F.array(ratio(s, table)), F.lit(False), lambda acc, r: acc | ((r >= TOTAL) & (r >= pairs * PER_CHAR)))
 
-    flagged = F.transform("_cands", lambda s: secret(s))
-    sizes, parts = F.transform("_cands", lambda s: F.length(s)), F.transform(F.split(text, CANDIDATE, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size("_cands")).alias("gap"), sizes.alias("size"), F.col("_flags").alias("hit"))
+    flagged = F.transform(CANDS, lambda s: secret(s))
+    sizes, parts = F.transform(CANDS, lambda s: F.length(s)), F.transform(F.split(text, CANDIDATE, -1), lambda x: F.length(x))
+    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(CANDS)).alias("gap"), sizes.alias("size"), F.col(FLAGS).alias("hit"))
     empty = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["size"]
-        free = x["hit"] & ~F.exists(F.col("base"), lambda b: (b["start"] < end) & (b["end"] > start))
+        free = x["hit"] & ~F.exists(F.col(BASE), lambda b: (b["start"] < end) & (b["end"] > start))
         span = F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(free, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    more = F.when(F.exists("_flags", lambda x: x), F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
-    return docs.withColumn("base", F.array_sort(base)).withColumn("_cands", cands).withColumn("_flags", flagged).withColumn("found", F.array_sort(F.concat("base", more))).drop("_cands", "_flags")
+    more = F.when(F.exists(FLAGS, lambda x: x), F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    return docs.withColumn(BASE, F.array_sort(base)).withColumn(CANDS, cands).withColumn(FLAGS, flagged).withColumn(FOUND, F.array_sort(F.concat(BASE, more))).drop(CANDS, FLAGS)
 
 
 def listed(spans_: str) -> Column:
@@ -152,8 +155,8 @@ def _of_kind(i: int):
 
 def digest(docs: DataFrame, table: list[float]) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of each row of docs (doc_id, text)."""
-    counts = [F.size(F.filter("found", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return scan(docs.select("doc_id", "text"), table).select("doc_id", *counts[:3], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"), counts[3])
+    counts = [F.size(F.filter(FOUND, _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return scan(docs.select("doc_id", "text"), table).select("doc_id", *counts[:3], F.sha2(listed(BASE).cast("binary"), 256).alias("base_sha256"), listed(FOUND).alias("spans"), counts[3])
 
 
 def redacted(docs: DataFrame, table: list[float], mark: str = "[SECRET]") -> DataFrame:
@@ -164,9 +167,9 @@ def redacted(docs: DataFrame, table: list[float], mark: str = "[SECRET]") -> Dat
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = F.aggregate(FOUND, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     names = docs.columns
-    return scan(docs, table).withColumn("text", F.when(F.size("found") > 0, done).otherwise(text)).select(*names)
+    return scan(docs, table).withColumn("text", F.when(F.size(FOUND) > 0, done).otherwise(text)).select(*names)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:

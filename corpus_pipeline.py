@@ -47,8 +47,10 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = mixing.mix(docs, mixing.tree(), mixing.WEIGHTS, BUDGET, EPOCHS, SEED)
-    return _sized(chosen.withColumn("text", mixing.cut_text(F.col("text"), F.col("take_tokens"), F.col("n_tokens"))), docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("document"))
+    chosen = mixing.mix(rows, mixing.tree(), mixing.WEIGHTS, BUDGET, EPOCHS, SEED)
+    cut = mixing.cut_text(F.col("text"), F.col("take_tokens"), F.col("n_tokens"))
+    return _sized(chosen.select(*[(cut if c == "text" else F.col("document")[c]).alias(c) for c in docs.columns]), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

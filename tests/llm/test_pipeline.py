@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from codeweave.llm import queries
@@ -43,6 +44,10 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_pipeline_of_nothing_and_of_nulls(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clash = docs.withColumns({c: F.lit("kept") for c in ("n_tokens", "take_tokens", "mix_lang", "found", "base", "component_id", "score", "start", "_key", "cap")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, SF)
+        assert after.columns == clash.columns and {tuple(r) for r in after.select("n_tokens", "base", "score", "_key").distinct().collect()} == {("kept",) * 4}
     none = spark.createDataFrame([(None, None, None, None, None), (5, None, None, "s", None), (6, "", "en", None, 0), (7, "a few plain words", "en", "s", 17)], docs.schema)
     for i, rows in enumerate((docs.limit(0), none)):
         rows.write.parquet(f"{tmp_path}/{i}/documents.parquet")
