@@ -51,7 +51,8 @@ def kept(spark: SparkSession, d: str, lens) -> DataFrame:
         return known[1]
     if known and known[0].split()[0] == spark.sparkContext.applicationId:
         known[1].unpersist()
-    _KEPT[lens.__name__] = (key, lens(spark, d).persist())
+    # A cached plan keeps its many small shuffle partitions; two for each core are enough.
+    _KEPT[lens.__name__] = (key, lens(spark, d).coalesce(2 * spark.sparkContext.defaultParallelism).persist())
     return _KEPT[lens.__name__][1]
 
 
