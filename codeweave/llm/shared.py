@@ -25,7 +25,14 @@ def folder(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     slim(spark)
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+    return posixpath.join(_qualified(spark, base), f"{name}-{uuid.uuid4().hex}")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that Spark's readers and Python's writers mean the same place."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def slim(spark: SparkSession) -> None:
