@@ -110,7 +110,7 @@ one_ref AS (SELECT source, target_name, repo_name, min(file_path) AS file_path F
   FROM one_ref r JOIN callables c ON c.name = target_name AND c.repo_name = r.repo_name WINDOW w AS (PARTITION BY source, target_name, r.repo_name))
 SELECT DISTINCT source, target, 0.6::double AS confidence FROM ranked WHERE n = 1 OR same OR (own = 0 AND rank <= 3)""")
 def resolve_calls_by_name(spark: SparkSession, d: str) -> DataFrame:
-    items = L.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    items = L.table(spark, d, "lineitem")
     part, supplier = L.table(spark, d, "part"), L.table(spark, d, "supplier")
     source = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source")
     names = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(source, F.col("p_name").alias("target_name"), F.lit("parts").alias("repo_name"), F.col("p_brand").alias("file_path"))
