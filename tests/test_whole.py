@@ -31,3 +31,8 @@ def without(name, text):
 
 def test_calls_of_all_orders(spark):
     check(spark, "resolve_calls_by_name", without("resolve_calls_by_name", " WHERE l_orderkey % 10 = 0"))
+
+
+@pytest.mark.parametrize("name", ["interval_lookup_top3", "batch_interval_lookup"])
+def test_lines_of_all_customers(spark, name):
+    check(spark, name, without(name, " WHERE c_custkey % 3 = 0"))
