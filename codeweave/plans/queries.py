@@ -328,7 +328,7 @@ def line_caps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_mktsegment AS file_path, min(c_custkey)::bigint AS first_rank, string_agg(c_name, ',' ORDER BY c_custkey) AS members FROM customer WHERE c_custkey <= 50 GROUP BY c_mktsegment""")
 def group_by_file(spark: SparkSession, d: str) -> DataFrame:
-    rows = L.table(spark, d, "customer").where("c_custkey <= 50").select(F.col("c_mktsegment").alias("file_path"), F.col("c_custkey").alias("rank"), F.col("c_name").alias("id"))
+    rows = L.table(spark, d, "customer").select(F.col("c_mktsegment").alias("file_path"), F.col("c_custkey").alias("rank"), F.col("c_name").alias("id"))
     return ranking.by_file(rows).select("file_path", "first_rank", F.array_join(F.transform("members", lambda m: m["id"]), ",").alias("members"))
 
 
@@ -437,6 +437,10 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(L.table(spark, d, "documents").where("source = 'src1'"), "doc_id", F.col("text")).select("id", "term", "tf")
 
 
+#: What full-text search looks for among the types of a user's events.
+_EVENT_TERMS = ["error", "signup"]
+
+
 @query(f"""WITH {L.USERS}, sure AS (SELECT * FROM user_calls WHERE confidence >= 0.5), {_walk_sql("sure", _SEEDS, 2, False, "o")}, {_walk_sql("sure", _SEEDS, 2, True, "i")},
 c AS (SELECT id, max(s) AS call, min(distance) AS distance FROM (SELECT id, 0.25::double / distance AS s, distance FROM o UNION ALL SELECT id, 0.20::double / distance, distance FROM i) GROUP BY id),
 sem AS (SELECT 'user:' || user_id AS id, max(value) / 200.0::double AS s FROM events WHERE event_type = 'purchase' GROUP BY 1),
@@ -452,8 +456,9 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     seeds = _seed_users(spark, d)
     graph = traverse.walk(calls, seeds, 2).withColumn("direction", F.lit("callee")).unionAll(traverse.walk(calls, seeds, 2, True).withColumn("direction", F.lit("caller")))
     semantic = events.where("event_type = 'purchase'").groupBy("user_id").agg((F.max("value") / 200.0).alias("score")).select(name, "score")
-    users = events.where("user_id % 50 = 3").select("user_id").distinct()
-    lexical = users.select(name, fusion.lexical_score(F.row_number().over(R.Window.orderBy("user_id")) - 1).alias("score"))  # a few users
+    texts = events.groupBy("user_id").agg(F.concat_ws(" ", F.collect_list("event_type")).alias("text")).select(name, "text")
+    hits = search.bm25(texts, "id", F.col("text"), _EVENT_TERMS, R.LEXICAL_SEEDS)
+    lexical = hits.select("id", fusion.lexical_score(F.row_number().over(R.Window.orderBy(F.desc("score"), "id")) - 1).alias("score"))  # three rows
     return fusion.fuse(seeds, semantic, lexical, fusion.call_scores(graph)).select("id", F.round("score", 9).alias("score"))
 
 
@@ -539,4 +544,4 @@ def epicentre(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS trace_id, 'Svc' || p_partkey || '.java:' || p_partkey || ';Store' || p_partkey || ':' || p_partkey || ';or:' || p_partkey || ';Util' || p_partkey || ':4' AS hints FROM part WHERE p_partkey % 5 = 4""")
 def line_hints(spark: SparkSession, d: str) -> DataFrame:
     hints = F.array_join(F.transform(X.line_hints(F.col("text")), lambda h: F.concat_ws(":", h["file_hint"], h["line"].cast("string"))), ";")
-    return L.traces(spark, d).where("trace_id % 5 = 4").select("trace_id", hints.alias("hints"))
+    return L.traces(spark, d).select("trace_id", hints.alias("hints"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codeweave.plans import lenses
 
 from .test_queries import SF, norm
 
@@ -36,3 +37,24 @@ def test_calls_of_all_orders(spark):
 @pytest.mark.parametrize("name", ["interval_lookup_top3", "batch_interval_lookup"])
 def test_lines_of_all_customers(spark, name):
     check(spark, name, without(name, " WHERE c_custkey % 3 = 0"))
+
+
+def test_hints_of_all_traces(spark):
+    line = r"""concat_ws(';', NULLIF(array_to_string(list_transform(generate_series(1, len(regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)'))),
+      lambda i: regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)', 1)[i] || ':' || regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)', 2)[i]), ';'), ''),
+      CASE WHEN trace_id % 5 = 4 THEN 'Store' || trace_id || ':' || trace_id || ';or:' || trace_id || ';Util' || trace_id || ':4' END)"""
+    check(spark, "line_hints", f"WITH {lenses.TRACES} SELECT trace_id, {line} AS hints FROM traces")
+
+
+def test_lexical_hits_are_the_best_three_of_all_users(spark):
+    bm25 = "sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / a)))"
+    ranking = f"""x AS (SELECT user_id, count(*) AS len FROM events GROUP BY user_id), xc AS (SELECT count(*) AS n, avg(len) AS a FROM x),
+xh AS (SELECT user_id, event_type AS term, count(*) AS tf FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL), xf AS (SELECT term, count(*) AS df FROM xh GROUP BY term),
+xs AS (SELECT 'user:' || user_id AS id, round({bm25}, 9) AS s FROM xh JOIN x USING (user_id) JOIN xf USING (term), xc GROUP BY 1),
+lex AS (SELECT id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY s DESC, id) - 1) AS l FROM xs ORDER BY s DESC, id LIMIT 3)"""
+    before, _, rest = entry.oracle_sql()["hybrid_fusion"].partition("lex AS (")
+    check(spark, "hybrid_fusion", before + ranking + ",\nids AS (" + rest.partition(",\nids AS (")[2])
+
+
+def test_groups_of_all_customers(spark):
+    check(spark, "group_by_file", without("group_by_file", " WHERE c_custkey <= 50"))
