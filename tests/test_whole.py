@@ -58,3 +58,13 @@ lex AS (SELECT id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY s
 
 def test_groups_of_all_customers(spark):
     check(spark, "group_by_file", without("group_by_file", " WHERE c_custkey <= 50"))
+
+
+def test_index_of_all_documents(spark):
+    check(spark, "inverted_index", without("inverted_index", " WHERE source = 'src1'"))
+
+
+def test_metrics_of_one_source_and_of_all_rows(spark):
+    one = entry.oracle_sql()["evaluation_metrics"]
+    every = one.replace("SELECT source,", "SELECT NULL::varchar AS source,").replace(" WHERE source = 'src1' GROUP BY source", "")
+    check(spark, "evaluation_metrics", f"{one} UNION ALL {every}")
