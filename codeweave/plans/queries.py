@@ -137,12 +137,12 @@ def resolve_unique_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {L.CALLS} SELECT 'r::' || source AS source, target FROM calls WHERE source LIKE 'part:%'""")
 def globalise_ids(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.globalise(L.calls(spark, d).where("source LIKE 'part:%'"), "r").select("source", "target")
+    return resolve.globalise(L.edges(spark, d), "r").select("source", "target")
 
 
 @query("""SELECT 'part:' || l_partkey AS source, l_orderkey || '/' || l_linenumber || '/' || l_suppkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size <= 10""")
 def link_findings(spark: SparkSession, d: str) -> DataFrame:
-    items = L.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    items = L.table(spark, d, "lineitem")
     findings = items.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("node_id"))
     nodes = L.table(spark, d, "part").where("p_size <= 10").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
     return resolve.link_findings(findings, nodes).select("source", "target")
@@ -490,7 +490,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 def node_text(spark: SparkSession, d: str) -> DataFrame:
     line = F.element_at(F.split("text", "\n", -1), 1)
     path = F.concat(F.lit("a\\"), "lang", F.lit("/"), "source", F.lit(".java"))
-    return L.table(spark, d, "documents").where(line.rlike(r"\S")).select("doc_id", T.node_text(F.lit("METHOD"), F.col("source"), path, line, F.lit("")).alias("node_text"))
+    return L.table(spark, d, "documents").select("doc_id", T.node_text(F.lit("METHOD"), F.col("source"), path, line, F.lit("")).alias("node_text"))
 
 
 @query("""SELECT p_partkey, 'config:MAX_' || p_size || ' KEY' || p_partkey || ' reading part ' || p_partkey || ' now Name' AS extras FROM part""")

@@ -68,3 +68,18 @@ def test_metrics_of_one_source_and_of_all_rows(spark):
     one = entry.oracle_sql()["evaluation_metrics"]
     every = one.replace("SELECT source,", "SELECT NULL::varchar AS source,").replace(" WHERE source = 'src1' GROUP BY source", "")
     check(spark, "evaluation_metrics", f"{one} UNION ALL {every}")
+
+
+def test_ids_of_all_edges(spark):
+    check(spark, "globalise_ids", f"WITH {lenses.EDGES} SELECT 'r::' || source AS source, CASE WHEN type = 'CONTAINS' THEN 'r::' ELSE '' END || target AS target FROM edges")
+
+
+def test_findings_of_all_items(spark):
+    check(spark, "link_findings", without("link_findings", "l_returnflag = 'R' AND "))
+
+
+def test_text_of_documents_without_a_first_line(spark, tmp_path):
+    rows = [(1, " \nx", "en", "s"), (2, "", "en", "s"), (3, " y \nz", "en", "s"), (4, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["node_text"] for r in entry.queries()["node_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: "METHOD s in a\\en/s.java", 2: "METHOD s in a\\en/s.java", 3: "METHOD s in en/s: y", 4: "METHOD s in en/s: s"}
