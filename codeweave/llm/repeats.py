@@ -52,7 +52,8 @@ def _candidates(repeated: np.ndarray, length: int, longer: int) -> np.ndarray:
     """Words at which a window of `longer` may start: the two windows of `length` that make it up both repeat."""
     gap = longer - length
     out = np.zeros(len(repeated), bool)
-    out[: len(repeated) - gap] = repeated[: len(repeated) - gap] & repeated[gap:]
+    n = max(0, len(repeated) - gap)  # a chunk may have fewer words than the gap
+    out[:n] = repeated[:n] & repeated[gap : gap + n]
     return out
 
 

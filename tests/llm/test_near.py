@@ -107,6 +107,14 @@ def test_repeats_within_one_text_and_in_repeated_rows(spark):
     assert repeats.dedup(docs.limit(0)).count() == 0
 
 
+def test_repeats_in_chunks_of_a_few_words(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    pairs = [(1, "a b c"), (2, "a b c d e f g"), (3, text), (4, f"x {text}"), (5, "")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(pairs, len(pairs)), "doc_id long, text string")  # each alone in a partition
+    got = {r[0]: tuple(r)[1:] for r in repeats.dedup(docs, 20).drop("kept").collect()}
+    assert got == brute_repeats(pairs, 20)
+
+
 def test_levels_at_most_double():
     for n in range(1, 70):
         steps = repeats.levels(n, 5)
