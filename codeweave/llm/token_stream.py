@@ -2,22 +2,22 @@
 
 A corpus is one long run of ids in ascending order of document ids. One table of frequencies, counted over the whole
 corpus, serves all blocks. The ids of a file are cut into blocks of `BLOCK` ids; a block is coded by `LANES` states at
-once (id k belongs to lane k mod LANES), all words in one shared list, so that decoding is a run of array operations.
-Every `SPAN` steps a checkpoint keeps the lanes' states and the place in the list: a reader may begin at any of them,
-so blocks and the spans within them decode in parallel. Blocks and documents carry CRC-32 sums.
+once (id k belongs to lane k mod LANES), all words in one list. Every `SPAN` steps a checkpoint keeps the lanes' states,
+the place in the list and the CRC-32 of the span's ids: a reader may begin at any of them and check what it has read
+without the rest of the block. Blocks are coded, and spans decoded, `ABREAST` at a time, as rows of one array.
 
 File (`.rans`, little-endian):
 
-    header   "RTS1", u32 crc of the table, u32 blocks, u32 documents, u64 ids
+    header   "RTS2", u32 crc of the table, u32 blocks, u32 documents, u64 ids
     docs     u32 length, zlib of: i64 doc_id[n] (deltas), u32 n_tokens[n], u32 crc32 of each document's ids
-    block    u32 ids, u32 words, u32 checkpoints, u32 crc32 of the ids, u32 crc32 of what follows;
-             per checkpoint u32 step, u32 word, u64 state[LANES]; u32 word[words]
+    block    u32 ids, u32 words, u32 checkpoints;
+             per checkpoint u32 step, u32 word, u32 crc32 of the span's ids, u32 0, u64 state[LANES]; u32 word[words]
 
 The table itself is `table.bin`: "RTT1", u32 symbols, u32 freq[symbols], frequencies adding up to 2**BITS.
 
 Edge cases: null text counts as empty; an empty text is the end id alone; rows with the same doc_id stay separate, in
-unspecified order among themselves; null doc_ids come first; an empty table gives an empty result. Other columns are
-not read.
+the order of a hash of their ids and then of the ids (only rows that are alike in both may change places, which shows
+nowhere); null doc_ids come first; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 #: Frequencies add up to 2**BITS; states stay in [2**31, 2**63).
 BITS = 20
@@ -42,6 +42,8 @@ LANES = 1024
 BLOCK = 1 << 18
 #: Steps of all lanes from one checkpoint to the next.
 SPAN = 128
+#: Blocks, or spans of blocks, that one run of array operations works on.
+ABREAST = 8
 #: Ids of a file, about; whole documents only.
 FILE_IDS = 1 << 23
 
@@ -93,75 +95,118 @@ class Coder:
         return self._symbol
 
     def encode(self, ids: np.ndarray) -> bytes:
-        """One block. The last ids are coded first, so that decoding runs forwards."""
-        n, bits = len(ids), np.uint64(BITS)
-        steps = -(-n // LANES)
-        freq, first, limit = self.freq[ids], self.first[ids], self.limit[ids]
-        if n and not freq.all():
+        """The blocks of a run of ids; for no ids an empty block."""
+        whole = len(ids) // BLOCK * BLOCK
+        out = [] if len(ids) else [struct.pack("<3I", 0, 0, 0)]
+        for a in range(0, whole, ABREAST * BLOCK):
+            out += self._encode(ids[a : min(whole, a + ABREAST * BLOCK)].reshape(-1, BLOCK))
+        if whole < len(ids):
+            out += self._encode(ids[None, whole:])
+        return b"".join(out)
+
+    def _encode(self, ids: np.ndarray) -> list[bytes]:
+        """Blocks of equal length, a row each. The last ids are coded first, so that decoding runs forwards."""
+        rows, n = ids.shape
+        bits, steps = np.uint64(BITS), -(-n // LANES)
+        if not self.freq[ids].all():
             raise ValueError("an id that the table does not have")
-        x = np.full(LANES, LOW, np.uint64)
+        x = np.full((rows, LANES), LOW, np.uint64)
         words: list[np.ndarray] = []
-        marks: list[tuple[int, int, np.ndarray]] = []
-        held = 0
+        counts = np.zeros((steps, rows), np.int64)
+        states: list[tuple[int, np.ndarray]] = []
         for s in range(steps - 1, -1, -1):
             a, b = s * LANES, min(n, (s + 1) * LANES)
-            y, f = x[: b - a], freq[a:b]
-            big = y >= limit[a:b]
-            out = y[big].astype(np.uint32)
+            own = ids[:, a:b]
+            y, f = x[:, : b - a], self.freq[own]
+            big = y >= self.limit[own]
+            words.append(y[big].astype(np.uint32))
+            counts[s] = np.count_nonzero(big, axis=1)
             y = np.where(big, y >> np.uint64(32), y)
-            q, r = np.divmod(y, f)
-            x[: b - a] = (q << bits) + r + first[a:b]
-            words.append(out)
-            held += len(out)
+            q = y // f
+            x[:, : b - a] = (q << bits) + (y - q * f) + self.first[own]
             if s % SPAN == 0:
-                marks.append((s, held, x.copy()))
-        body = b"".join(struct.pack("<II", s, held - h) + state.astype("<u8").tobytes() for s, h, state in reversed(marks))
-        body += (np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)).astype("<u4").tobytes()
-        return struct.pack("<5I", n, held, len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+                states.append((s, x.copy()))
+        flat = np.concatenate(words[::-1])
+        order = np.argsort(np.repeat(np.tile(np.arange(rows, dtype=np.uint8), steps), counts.ravel()), kind="stable")
+        flat, held = flat[order].astype("<u4"), counts.sum(0)
+        ends, before = np.cumsum(held), np.cumsum(counts, axis=0) - counts
+        out = []
+        for r in range(rows):
+            marks = b"".join(struct.pack("<4I", s, int(before[s, r]), zlib.crc32(ids[r, s * LANES : (s + SPAN) * LANES].astype("<u4").tobytes()), 0) + state[r].astype("<u8").tobytes() for s, state in reversed(states))
+            out.append(struct.pack("<3I", n, int(held[r]), len(states)) + marks + flat[ends[r] - held[r] : ends[r]].tobytes())
+        return out
 
     def decode(self, data: memoryview, at: int, mark: int = 0, marks: int | None = None) -> tuple[np.ndarray, int]:
         """Ids of the block at `at` from checkpoint `mark` on, for `marks` checkpoints or to its end; where it ends."""
-        n, held, all_marks, ids_crc, crc = struct.unpack_from("<5I", data, at)
-        at += 20
-        size = 8 + 8 * LANES
-        end = at + all_marks * size + 4 * held
-        if zlib.crc32(data[at:end]) != crc:
-            raise ValueError("a damaged block")
-        if not all_marks:
-            return np.zeros(0, np.uint32), end
-        step, word = struct.unpack_from("<II", data, at + mark * size)
-        x = np.frombuffer(data, "<u8", LANES, at + mark * size + 8).copy()
-        words = np.frombuffer(data, "<u4", held, at + all_marks * size)
-        last = mark + marks if marks is not None else all_marks
-        stop = min(n, (struct.unpack_from("<I", data, at + last * size)[0] if last < all_marks else -(-n // LANES)) * LANES)
-        out = np.empty(stop - step * LANES, np.uint32)
-        mask, bits, symbol = np.uint64((1 << BITS) - 1), np.uint64(BITS), self.symbol
-        for a in range(0, len(out), LANES):
-            b = min(len(out), a + LANES)
-            y = x[: b - a]
+        spans, end = self.spans(data, at)
+        own = spans[mark : None if marks is None else mark + marks]
+        return (np.concatenate(self.read(own)) if own else np.zeros(0, np.uint32)), end
+
+    def spans(self, data: memoryview, at: int) -> tuple[list[tuple], int]:
+        """What decoding each span of the block at `at` needs (ids, crc, states, words), and where the block ends."""
+        n, held, marks = struct.unpack_from("<3I", data, at)
+        at += 12
+        size = 16 + 8 * LANES
+        end = at + marks * size + 4 * held
+        if end > len(data):
+            raise ValueError("a stream that lacks ids")
+        words, out = np.frombuffer(data, "<u4", held, at + marks * size), []
+        for m in range(marks):
+            step, word, crc, _ = struct.unpack_from("<4I", data, at + m * size)
+            out.append((min(n - step * LANES, SPAN * LANES), crc, np.frombuffer(data, "<u8", LANES, at + m * size + 16), words[word:]))
+        return out, end
+
+    def read(self, spans: list[tuple]) -> list[np.ndarray]:
+        """The ids of each span; spans of equal length are decoded side by side."""
+        out: list[np.ndarray | None] = [None] * len(spans)
+        by: dict[int, list[int]] = {}
+        for i, span in enumerate(spans):
+            by.setdefault(span[0], []).append(i)
+        for n, places in by.items():
+            for a in range(0, len(places), ABREAST):
+                own = places[a : a + ABREAST]
+                ids = self._read(n, [spans[i][2] for i in own], [spans[i][3] for i in own])
+                for i, row in zip(own, ids, strict=True):
+                    if zlib.crc32(row.astype("<u4").tobytes()) != spans[i][1]:
+                        raise ValueError("a damaged block: ids differ from those written")
+                    out[i] = row
+        return out  # type: ignore[return-value]
+
+    def _read(self, n: int, states: list[np.ndarray], lists: list[np.ndarray]) -> np.ndarray:
+        # A span has at most a word for each id; a list that ends early gets words that the CRC then finds.
+        words = np.concatenate([*[w[:n] for w in lists], np.zeros(LANES * len(lists), np.uint32)])
+        at = np.cumsum([0] + [min(len(w), n) for w in lists[:-1]])
+        x = np.stack(states).astype(np.uint64)
+        out = np.empty((len(states), n), np.uint32)
+        mask, bits, symbol, last = np.uint64((1 << BITS) - 1), np.uint64(BITS), self.symbol, len(words) - 1
+        for a in range(0, n, LANES):
+            b = min(n, a + LANES)
+            y = x[:, : b - a]
             slot = y & mask
             s = symbol[slot]
-            out[a:b] = s
+            out[:, a:b] = s
             y = self.freq[s] * (y >> bits) + slot - self.first[s]
-            low = np.flatnonzero(y < LOW)
-            y[low] = (y[low] << np.uint64(32)) | words[word : word + len(low)]
-            word += len(low)
-            x[: b - a] = y
-        if mark == 0 and stop == n and zlib.crc32(out.tobytes()) != ids_crc:
-            raise ValueError("a block whose ids differ from those written")
-        return out, end
+            low = y < LOW
+            counts = np.count_nonzero(low, axis=1)
+            places = np.flatnonzero(low)
+            word = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(len(places))
+            flat = y.ravel()
+            flat[places] = (flat[places] << np.uint64(32)) | words[np.minimum(word, last)]
+            at = at + counts
+            x[:, : b - a] = flat.reshape(y.shape)
+        return out
 
 
 def pack_file(coder: Coder, doc_ids: np.ndarray, counts: np.ndarray, crcs: np.ndarray, ids: np.ndarray) -> bytes:
     docs = zlib.compress(np.diff(doc_ids, prepend=0).astype("<i8").tobytes() + counts.astype("<u4").tobytes() + crcs.astype("<u4").tobytes(), 1)
-    blocks = [coder.encode(ids[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
-    return b"RTS1" + struct.pack("<IIIQ", coder.crc, len(blocks), len(doc_ids), len(ids)) + struct.pack("<I", len(docs)) + docs + b"".join(blocks)
+    blocks = -(-len(ids) // BLOCK)
+    return b"RTS2" + struct.pack("<IIIQ", coder.crc, blocks, len(doc_ids), len(ids)) + struct.pack("<I", len(docs)) + docs + (coder.encode(ids) if blocks else b"")
 
 
 def unpack_file(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, n_tokens, CRC-32 sums and all ids; raises where a sum differs."""
     view = memoryview(data)
-    if view[:4] != b"RTS1":
+    if view[:4] != b"RTS2":
         raise ValueError("not a token stream")
     crc, blocks, n, total = struct.unpack_from("<IIIQ", view, 4)
     if crc != coder.crc:
@@ -170,12 +215,12 @@ def unpack_file(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     docs = zlib.decompress(view[28 : 28 + size])
     doc_ids = np.cumsum(np.frombuffer(docs, "<i8", n))
     counts, crcs = np.frombuffer(docs, "<u4", n, 8 * n), np.frombuffer(docs, "<u4", n, 12 * n)
-    at, parts = 28 + size, []
+    at, spans = 28 + size, []
     for _ in range(blocks):
-        part, at = coder.decode(view, at)
-        parts.append(part)
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if len(ids) != total:
+        part, at = coder.spans(view, at)
+        spans += part
+    ids = np.concatenate(coder.read(spans)) if spans else np.zeros(0, np.uint32)
+    if len(ids) != total or int(counts.sum(dtype=np.int64)) != total:
         raise ValueError("a stream that lacks ids")
     return doc_ids, counts, crcs, ids
 
@@ -194,8 +239,8 @@ def _tokenize(path: str, end_id: int):
         kind = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
         counts = np.zeros(top, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("sym", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))])
-        for batch in shared.pieces(batches, 512):
-            got = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(batch.column(1).to_pylist())]
+        for batch in shared.pieces(gathered(batches), 1 << 16):
+            got = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(batch.column(1))]
             counts += np.bincount(np.concatenate(got), minlength=top)
             yield pa.record_batch([batch.column(0), pa.array(map(len, got), pa.int32()), pa.array([g.astype(kind).tobytes() for g in got], pa.binary()), pa.nulls(len(got), schema[3].type), pa.nulls(len(got), schema[4].type)], schema=schema)
         used = np.flatnonzero(counts)
@@ -273,7 +318,10 @@ def write_stream(docs: DataFrame, tokenizer: str, out: str, end_id: int, file_id
     freq = scale(np.append(counts, np.zeros(top - len(counts), np.int64)))
     table = pack_table(freq)
     shared.put(f"{out}/table.bin", table)
-    dealt = staged.where("n_tokens >= 0").select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows of one id, null ids among them, are dealt by a hash of their ids, and rows alike in that by their place.
+    rows = staged.where("n_tokens >= 0").select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("m"))
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(first, F.asc("h"), F.asc("m")).sortWithinPartitions(first, "h", "ids").select("doc_id", "ids")
     manifest = shared.kept(dealt.mapInArrow(_write(out, table, file_ids), "file string, n_docs long, n_ids long"), "manifest")
     shared.drop(spark, at)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
