@@ -11,7 +11,8 @@ remainders (one row for each length, `window` at most) goes to the driver, which
 What then is left is packed greedily one after another, longest first, and cut where a window is full, so that only
 the last window has padding. All remainders of one length are alike, so a document needs no more than its rank among
 those of its length to know its place: ranks are counts within each part of the staged table plus the sums of the
-parts before it, and no group of equal lengths meets in one task.
+parts before it, which each part finds in a file of its own; no group of equal lengths meets in one task, and nothing
+that grows with the number of parts is broadcast.
 
 Edge cases: null text counts as empty; an empty text is the end id alone; rows with the same doc_id are packed as
 separate documents; null doc_ids stay null; an empty table gives an empty result. Other columns are not read.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 WINDOW = 2048
 #: Pieces in a combination, at most.
@@ -124,8 +125,8 @@ def _tokenize(path: str, end_id: int, window: int):
         kind = _kind(enc.vocabulary, end_id)
         pid = TaskContext.get().partitionId()
         seen, full_at = np.zeros(window, np.int64), 0
-        for batch in shared.pieces(batches, 512):
-            docs = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in enc.encode(batch.column(1).to_pylist())]
+        for batch in shared.pieces(gathered(batches), 1 << 16):
+            docs = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in enc.encode(batch.column(1))]
             n = np.array(list(map(len, docs)), np.int64)
             rem, fulls, ranks = (n % window).astype(np.int32), n // window, np.zeros(len(n), np.int64)
             for i, r in enumerate(rem.tolist()):
@@ -142,7 +143,25 @@ def _tokenize(path: str, end_id: int, window: int):
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _place(window: int, slots: list, used: np.ndarray, rest_at: np.ndarray, packed: int, cut_windows: int, kind: str):
+def _bases(ranks: DataFrame, out: str, window: int) -> None:
+    """For each part a file below `out`: how many remainders of each length, and how many full windows (at 0), come
+    before it."""
+
+    def put(table: pa.Table) -> pa.Table:
+        pid, base = table["pid"][0].as_py(), np.zeros(window, "<i8")
+        base[table["rem"].to_numpy()] = table["rank0"].to_numpy()
+        base[0] = table["full0"][0].as_py()
+        shared.put(f"{out}/{pid}.bin", zlib.compress(base.tobytes(), 1))
+        return pa.table({"pid": pa.array([pid], pa.int64())})
+
+    shared.kept(ranks.groupBy("pid").applyInArrow(put, "pid long"), "bases-done")
+
+
+def _base(out: str, pid: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.get(f"{out}/{pid}.bin")), "<i8")
+
+
+def _place(bases: str, window: int, slots: list, used: np.ndarray, rest_at: np.ndarray, packed: int, cut_windows: int, kind: str):
     """Pieces of each document. Windows: first those of combinations, then those of what was left, then full ones."""
     by: dict[int, tuple[np.ndarray, ...]] = {}
     for length in {s[0] for s in slots}:
@@ -151,10 +170,14 @@ def _place(window: int, slots: list, used: np.ndarray, rest_at: np.ndarray, pack
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, base = -1, np.zeros(0, np.int64)
         for batch in shared.pieces(batches, 1024):
             out: list[tuple] = []
-            for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "rem", "rank", "fulls", "full_at")), batch.column("crcs"), batch.column("ids"), strict=True):
-                doc, n, rem, rank, fulls, full_at, crcs, ids = r
+            for r in zip(*(batch.column(c).to_pylist() for c in ("pid", "doc_id", "n_tokens", "rem", "rank", "fulls", "full_at")), batch.column("crcs"), batch.column("ids"), strict=True):
+                pid, doc, n, rem, rank, fulls, full_at, crcs, ids = r
+                if pid != part:
+                    part, base = pid, _base(bases, pid)
+                rank, full_at = rank + int(base[rem]), full_at + int(base[0])
                 sums = np.frombuffer(crcs.as_buffer(), "<u4").tolist()
                 for k in range(fulls):
                     out.append((doc, k * window, window, sums[k], n, packed + cut_windows + full_at + k, 0))
@@ -196,17 +219,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
     rest_at[lengths] = ends - left[lengths] * lengths
     packed = max((s[3] + s[2] - s[1] for s in slots), default=0)
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = shared.kept(parts.select("pid", "rem", "n", F.coalesce(F.sum("n").over(before.partitionBy("rem")), F.lit(0)).alias("rank0")), "ranks")
-    fulls = parts.groupBy("pid").agg(F.sum("fulls").alias("fulls")).select("pid", F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("full0"))
+    fulls = parts.groupBy("pid").agg(F.sum("fulls").alias("fulls")).select("pid", F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("full0"))  # a row for each part
+    ranked = parts.select("pid", "rem", "n", F.coalesce(F.sum("n").over(before.partitionBy("rem")), F.lit(0)).alias("rank0"))
+    ranks = shared.kept(ranked.join(fulls, "pid"), "ranks")
+    bases = shared.folder(docs.sparkSession, "bases")
+    _bases(ranks, bases, window)
     # What is left has the last ranks, and so lies in the last parts: ids are read of those alone.
     uses = docs.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(used)], "rem int, used long")
     cut = ranks.where("rem > 0").join(F.broadcast(uses), "rem").where("rank0 + n > used").agg(F.min("pid")).first()[0]
     cut = (1 << 62) if cut is None else cut
     columns = ["pid", "doc_id", "n_tokens", "rem", "rank", "fulls", "full_at", "crcs"]
-    place = _place(window, slots, used, rest_at, packed, -(-int(ends[-1]) // window), _kind(encoder(tokenizer).vocabulary, end_id))
+    place = _place(bases, window, slots, used, rest_at, packed, -(-int(ends[-1]) // window), _kind(encoder(tokenizer).vocabulary, end_id))
 
     def placed(part: DataFrame) -> DataFrame:
-        known = part.join(ranks.drop("n"), ["pid", "rem"]).join(fulls, "pid")
-        return known.withColumns({"rank": F.col("rank") + F.col("rank0"), "full_at": F.col("full_at") + F.col("full0")}).select(*columns[1:], "ids").mapInArrow(place, _PIECES)
+        return part.mapInArrow(place, _PIECES)
 
     return placed(staged.where(F.col("pid") < cut).select(*columns, F.lit(None).cast("binary").alias("ids"))).unionAll(placed(staged.where(F.col("pid") >= cut).select(*columns, "ids")))

@@ -83,6 +83,15 @@ def put(path: str, content: bytes) -> None:
     system.move(part, at)
 
 
+def get(path: str) -> bytes:
+    """A file's content."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
 def files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(path, content) of the files below `path`."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path).select("path", "content")
