@@ -2,12 +2,13 @@
 
 On a bounded sample of rows the driver builds the graph of nearest neighbours and cuts it into partitions of equal
 size that keep neighbours together; a small neural classifier then learns, from a vector, in which partitions its
-neighbours lie. Every row is indexed in the partition that the graph or the classifier gives it; a query goes to its
-most probable partitions, where exact cosines rank the rows. How many partitions a query probes follows from the
-recall that the sample's own held-out rows reach.
+neighbours lie. Every row of the table is indexed in the partition that the classifier gives it, rows of the sample among
+them; a query goes to its most probable partitions, where exact cosines rank the rows. How many partitions a query
+probes follows from the recall that the sample's own held-out rows reach, and there are more partitions for larger tables.
 
 Only the fit sees a sample (`sample` rows, those with the least hashed ids); all rows are indexed. Rows of a partition are
-dealt to blocks by their id, so a partition that many equal vectors fill does not meet in one task.
+dealt to blocks, files in the shared folder, so a partition that many equal vectors fill does not meet in one task; a
+partition's queries are dealt to parts, and a task has one part and goes through a group of blocks one after another.
 
 Edge cases: see `vectors.usable`; zero vectors take no part either; vectors of another length than most in the sample
 are a partition of their own for each length; ties go to the smaller id; fewer than k candidates: all of them; rows
@@ -20,16 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import shared
-from .vectors import BLOCK_ROWS, matrix, usable
+from .vectors import BLOCK_ROWS, GROUP, QUERY_ROWS, apart, groups, matrix, salted, stack, usable
 
 #: Rows that the fit may see.
 SAMPLE = 8_000
-PARTITIONS = 16
+#: Partitions at least and at most (the sample has to teach each of them), and rows of a partition that are aimed at.
+PARTITIONS, MOST_PARTITIONS = 16, 64
+PARTITION_ROWS = 1 << 15
 NEIGHBOURS = 10
 HIDDEN = 128
 RECALL = 0.96
@@ -95,7 +99,7 @@ def cut_graph(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.Genera
 
 @dataclass
 class Router:
-    """Softmax over partitions from one hidden layer; bounded by HIDDEN and PARTITIONS, so it may be broadcast."""
+    """Softmax over partitions from one hidden layer; bounded by HIDDEN and MOST_PARTITIONS, so it may be broadcast."""
 
     w1: np.ndarray
     b1: np.ndarray
@@ -163,17 +167,25 @@ def fit(x: np.ndarray, partitions: int = PARTITIONS, recall: float = RECALL, see
     return router
 
 
-def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE, partitions: int = PARTITIONS, recall: float = RECALL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def partitions_for(rows: int) -> int:
+    """A power of two, as partitions come from halves."""
+    want = PARTITIONS
+    while want < MOST_PARTITIONS and rows > want * PARTITION_ROWS:
+        want *= 2
+    return want
+
+
+def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE, partitions: int | None = None, recall: float = RECALL, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, its k nearest found."""
     spark = embeddings.sparkSession
     shared.slim(spark)
-    rows = usable(embeddings).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    rows = usable(embeddings).where(F.exists("v", lambda x: x != 0))
     seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v", "dim").toArrow()
     if not seen.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = seen["dim"].to_numpy()
     dim = int(np.bincount(dims).argmax())
-    router = fit(matrix(seen["v"].filter(dims == dim)), partitions, recall)
+    router = fit(matrix(seen["v"].filter(dims == dim)), partitions or partitions_for(rows.count()), recall)
     del seen
 
     @pandas_udf("array<int>")
@@ -194,36 +206,48 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
         return pd.Series(out)
 
     index = shared.kept(rows.withColumn("part", partition("v")), "index")
-    sizes = index.groupBy("dim", "part").count().withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
-    blocks = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
-    placed = index.join(blocks, ["dim", "part"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    out = shared.folder(spark, "blocks")
+
+    def store(own: pd.DataFrame) -> pd.DataFrame:
+        d, p, b = (int(own[c].iloc[0]) for c in ("dim", "part", "block"))
+        sink = pa.BufferOutputStream()
+        for batch in (pa.record_batch({"id": own["vec_id"].to_numpy(np.int64)}), pa.record_batch({"v": stack(own["v"], d).ravel()})):
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+        shared.put(f"{out}/{d}-{p}-{b}.block", sink.getvalue().to_pybytes())
+        return pd.DataFrame({"dim": [d], "part": [p], "block": [b]})
+
+    blocks, last = salted(index, ["dim", "part"], block_rows, "block")
+    shared.kept(apart(blocks, "dim", "part", "block").groupBy("dim", "part", "block").applyInPandas(store, "dim int, part int, block int"), "blocks-done")
+    last = shared.kept(last, "blocks-last")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    probes = asked.withColumn("part", F.explode(routes("v"))).join(blocks, ["dim", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(own):
-            ids, x = own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist())
-            u = unit(x)
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                q = np.array(part["v"].tolist())
-                rough = unit(q) @ u.T
-                for i, (qid, v) in enumerate(zip(part["vec_id"].tolist(), q, strict=True)):
-                    s = rough[i]
-                    s[ids == qid] = -np.inf
-                    if len(s) > k:
-                        pick = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9)
-                    else:
-                        pick = np.arange(len(s))
-                    pick = pick[np.isfinite(s[pick])]
-                    exact = cosine(v, x[pick])
-                    best = np.lexsort((ids[pick], -exact))[:k]
-                    found += [(qid, int(ids[pick[j]]), float(exact[j])) for j in best]
+    probes = shared.kept(asked.withColumn("part", F.explode(routes("v"))), "probes")
+    dealt, _ = salted(probes, ["dim", "part"], query_rows, "share")
+    keys = ["dim", "part", "share", "first", "final"]
+    spread = apart(groups(dealt, ["dim", "part"], last, group), *keys)
+
+    def rank(queries: pd.DataFrame) -> pd.DataFrame:
+        d, p, first, final = (int(queries[c].iloc[0]) for c in ("dim", "part", "first", "final"))
+        asks, q = queries["vec_id"].to_numpy(np.int64), stack(queries["v"], d)
+        best: list[list[tuple[float, int]]] = [[] for _ in asks]
+        for b in range(first, final + 1):
+            source = pa.BufferReader(shared.get(f"{out}/{d}-{p}-{b}.block"))
+            ids, flat = (pa.ipc.open_stream(source).read_all() for _ in range(2))
+            ids, x = ids["id"].to_numpy(), flat["v"].to_numpy().reshape(len(ids), d)
+            rough = unit(q) @ unit(x).T
+            for i, qid in enumerate(asks.tolist()):
+                s = rough[i]
+                s[ids == qid] = -np.inf
+                floor = np.partition(s, len(s) - k)[len(s) - k] - 1e-9 if len(s) > k else -np.inf
+                if len(best[i]) == k:
+                    floor = max(floor, -best[i][-1][0] - 1e-9)
+                pick = np.flatnonzero((s >= floor) & (s > -np.inf))
+                if len(pick):
+                    best[i] = sorted(best[i] + list(zip((-cosine(q[i], x[pick])).tolist(), ids[pick].tolist(), strict=True)))[:k]
+        found = [(qid, i, -s) for qid, own in zip(asks.tolist(), best, strict=True) for s, i in own]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["dim", "part", "block"]
-    found = probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = spread.groupBy(*keys).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -217,3 +217,38 @@ def test_cut_text(spark):
 
     df = spark.createDataFrame([(" a  b\tc", 2, 3), ("a b", 2, 2)], "text string, k long, n long")
     assert [r[0] for r in df.select(mixing.cut_text(F.col("text"), F.col("k"), F.col("n"))).collect()] == [" a  b", "a b"]
+
+
+def test_exact_top_k_of_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = [[float(c) for c in v] for v in np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(12, 3)) * 3e5, rng.normal(size=(6, 3)) * 1e30])]
+    x += [[300000.0, 0.0, 0.0], [1e308, -1e308, 1.0], [-1e308, 0.5, 2.0], [0.0, 0.0, 0.0]]
+    x.append(list(x[0]))
+    rows = [(i, v) for i, v in enumerate(x)] + [(100, []), (101, []), (110, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in metric_tree.top_k(df, every=2, k=4, block_rows=7, query_rows=3, group=2).collect())
+    grid = {i: [math.floor(c * 256) if abs(c) < 1e300 else int(c) * 256 for c in v] for i, v in rows}
+    want = []
+    for q, v in grid.items():
+        if q % 2 == 0:
+            s = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in grid.items() if i != q and len(w) == len(v))[:4]
+            want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
+    assert got == sorted(want)
+
+
+def test_recall_holds_far_beyond_the_sample(spark):
+    n, d = 4000, 12
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d)) + 2 * rng.normal(size=(25, d))[rng.integers(0, 25, n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in learned_partitions.nearest(df, every=20, k=5, sample=400, block_rows=100, query_rows=40, group=2).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = learned_partitions.unit(x)
+    hits = 0
+    for q in range(0, n, 20):
+        s = u @ u[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * n / 20
+    assert [learned_partitions.partitions_for(r) for r in (0, 500_000, 600_000, 10**12)] == [16, 16, 32, 64]
