@@ -1,13 +1,17 @@
 """Converter of legacy ARC archives to WARC, and readers of both.
 
-ARC: a version block (`filedesc://`) names the version and the fields of each record's header line; version 1 has
-five fields, version 2 has ten. A header line ends with the declared length of the block that follows; URLs may hold
-spaces, so fields are counted from the right. Members may be compressed one by one.
+ARC: a version block, the first record of a file, names the version and the fields of each record's header line; version
+1 has five fields, version 2 has ten. A header line ends with the declared length of the block that follows; URLs may hold
+spaces, so fields are counted from the right. Members may be compressed one by one. What a record is goes by its place,
+never by its URL, which may look like anything.
 
 WARC 1.0: identifiers are version-5 UUIDs of URL, date, digest and place, so a task that runs again writes the same
 record; dates of 4 to 14 digits become ISO 8601; blocks that begin with an HTTP status line become `response`, others
 `resource`, the version block `warcinfo`; digests are SHA-1 in base 32. A record whose payload another record holds
-becomes `revisit`: the HTTP header stays, the payload goes.
+becomes `revisit`: the HTTP header stays, the payload goes, and the other's identifier, URI and date are named.
+
+Each ARC file becomes one WARC file. What moves between tasks is a narrow index of the records, by digest, and back to
+a file of verdicts for each archive; records themselves are read and written in one task.
 
 Edge cases: null html counts as empty; null URLs become `urn:page:<id>`; among equal payloads all rows with the largest
 page_id are responses and the others, null page_ids included, revisit it; payloads whose rows have no page_id at all stay
@@ -46,11 +50,10 @@ LEVEL = 1
 @dataclass
 class ArcRecord:
     version: int
+    #: By the format's names; a version block has `archive`, too, the file's name.
     fields: dict[str, str]
     block: bytes
     offset: int
-    #: Header line and block as they stand in the archive: compressed where the record is a member of its own.
-    raw: bytes
 
 
 def digest(data: bytes) -> str:
@@ -62,21 +65,21 @@ def deflate(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """The members of a gzip file one by one, unpacked and as they stand; a plain file as a whole."""
+def members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file one by one, unpacked; a plain file as a whole."""
     if data[:2] != b"\x1f\x8b":
-        yield data, data
+        yield data
         return
     view, at = memoryview(data), 0
     while at < len(view):
-        z, begin, out = zlib.decompressobj(31), at, []
+        z, out = zlib.decompressobj(31), []
         while not z.eof:
             chunk = view[at : at + 16384]
             if not chunk:
                 raise ValueError("a gzip member that ends early")
             out.append(z.decompress(chunk))
             at += len(chunk) - len(z.unused_data)
-        yield b"".join(out), bytes(view[begin:at])
+        yield b"".join(out)
 
 
 # --- ARC ------------------------------------------------------------------------------------------------------------
@@ -100,11 +103,11 @@ def arc_record(version: int, url: str, ip: str, date: str, mime: str, block: byt
     return f"{url} {ip} {date} {middle} {len(block)}\n".encode() + block + b"\n"
 
 
-def parse_arc(data: bytes, version: int = 0) -> Iterator[ArcRecord]:
-    """The records of an archive, or of a part of one whose version is known."""
-    base = 0
-    for member, packed in members(data):
-        at, found = 0, []
+def parse_arc(data: bytes) -> Iterator[ArcRecord]:
+    """The records of an archive."""
+    base = version = 0
+    for member in members(data):
+        at = 0
         while True:
             while member[at : at + 1] in (b"\n", b"\r"):
                 at += 1
@@ -114,13 +117,14 @@ def parse_arc(data: bytes, version: int = 0) -> Iterator[ArcRecord]:
             if end < 0:
                 raise ValueError("a header line that does not end")
             line = member[at:end].decode("utf-8", "replace").rstrip("\r")
-            if line.startswith("filedesc://"):
+            head = None
+            if not version:  # the first record
+                if not line.startswith("filedesc://"):
+                    raise ValueError("no version block")
                 head = re.match(rb"([12]) \d+ ", member[end + 1 : end + 40])
                 if not head:
                     raise ValueError("an unknown version of ARC")
                 version = int(head[1])
-            if not version:
-                raise ValueError("no version block")
             names = FIELDS[version]
             parts = line.rsplit(" ", len(names) - 1)
             if len(parts) != len(names) or not parts[-1].isdigit():
@@ -129,11 +133,9 @@ def parse_arc(data: bytes, version: int = 0) -> Iterator[ArcRecord]:
             block = member[end + 1 : end + 1 + size]
             if len(block) != size:
                 raise ValueError("a record that ends before its declared length")
-            found.append(ArcRecord(version, dict(zip(names, parts, strict=True)), block, base + at, member[at : end + 1 + size]))
+            fields = dict(zip(names, parts, strict=True)) | ({"archive": parts[0].removeprefix("filedesc://")} if head else {})
+            yield ArcRecord(version, fields, block, base + at)
             at = end + 1 + size
-        if len(found) == 1:
-            found[0].raw = packed
-        yield from found
         base += len(member)
 
 
@@ -168,21 +170,36 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*headers, *lines]).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert(fields: dict[str, str], block: bytes, place: str, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; a revisit if another record holds its payload."""
+@dataclass
+class Refers:
+    """The record whose payload a revisit stands for."""
+
+    page: int
+    record: str
+    uri: str
+    date: str
+
+
+def uri_of(url: str) -> str:
+    return url.replace(" ", "%20")
+
+
+def convert(fields: dict[str, str], block: bytes, place: str, refers: Refers | None = None, own: str | None = None) -> bytes:
+    """The WARC record of an ARC record; a revisit if another record holds its payload. `own`: its digest, if known."""
     url, date = fields["url"], iso(fields["date"])
     http = split_http(block)
-    payload = http[1] if http else block
-    own = digest(payload)
+    own = own or digest(http[1] if http else block)
     headers = [("WARC-Record-ID", record_id(url, date, own, place)), ("WARC-Date", date)]
-    if url.startswith("filedesc://"):
-        return warc_record([("WARC-Type", "warcinfo"), *headers, ("WARC-Filename", url[11:]), ("Content-Type", "text/plain")], block)
-    headers += [("WARC-Target-URI", url.replace(" ", "%20")), ("WARC-Payload-Digest", "sha1:" + own)]
+    if "archive" in fields:
+        return warc_record([("WARC-Type", "warcinfo"), *headers, ("WARC-Filename", fields["archive"]), ("Content-Type", "text/plain")], block)
+    headers += [("WARC-Target-URI", uri_of(url)), ("WARC-Payload-Digest", "sha1:" + own)]
     if fields["ip"] not in ("", "-", "0.0.0.0"):
         headers.append(("WARC-IP-Address", fields["ip"]))
-    if refers_to is not None:
+    if refers is not None:
         profile = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-        headers += [("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Page", refers_to), ("Content-Type", "application/http; msgtype=response")]
+        headers += [("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To", refers.record), ("WARC-Refers-To-Target-URI", refers.uri), ("WARC-Refers-To-Date", refers.date)]
+        # The format has no header for a page's number, by which the pages' table knows it.
+        headers += [("WARC-Refers-To-Page", str(refers.page)), ("Content-Type", "application/http; msgtype=response")]
         return warc_record(headers, http[0] if http else b"")
     if http:
         return warc_record([("WARC-Type", "response"), *headers, ("Content-Type", "application/http; msgtype=response")], block)
@@ -191,7 +208,7 @@ def convert(fields: dict[str, str], block: bytes, place: str, refers_to: str | N
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record; sums are checked."""
-    for member, _ in members(data):
+    for member in members(data):
         at = 0
         while at < len(member):
             end = member.find(b"\r\n\r\n", at)
@@ -265,87 +282,107 @@ def write_arc(pages: DataFrame, out: str, date: str = "20040229123456", file_byt
     return shared.kept(rows.mapInArrow(run, "file string, n long"), "arc")
 
 
-_ARC = "page_id long, version int, place string, payload_digest string, raw binary"
+_ARC = "file string, seq int, page_id long, place string, payload_digest string, url string, warc_date string"
 
 
-def read_arc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
-    """A row for each record of the archives in the manifest, without the version blocks."""
+def _each(spark: SparkSession, out: str, manifest: DataFrame, use, schema: str) -> DataFrame:
+    """What `use(file, content)` yields of each file that the manifest lists, a task for each of them; what a lost task
+    left behind is not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _ARC.split(", ")]
-        schema = pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)))
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, held = [], 0
-                for r in parse_arc(content.as_py()):
-                    if r.fields["url"].startswith("filedesc://"):
-                        continue
-                    head, payload = split_http(r.block) or (b"", r.block)
-                    page = http_field(head, "X-Page-Id")
-                    rows.append((None if page is None else int(page), r.version, f"{file}@{r.offset}", digest(payload), r.raw))
-                    held += len(r.raw)
-                    if held > 4 << 20:
-                        yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return _listed(spark, out, ".arc.gz", manifest).mapInArrow(run, _ARC)
-
-
-def _listed(spark: SparkSession, out: str, suffix: str, manifest: DataFrame) -> DataFrame:
-    """(file, content) of the files that the manifest lists: what a lost task left behind is not read."""
-    found = shared.files(spark, out, suffix).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return found.join(F.broadcast(manifest.select("file")) if manifest.count() <= 100_000 else manifest.select("file"), "file").select("file", "content")
-
-
-def write_warc(records: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Converts ARC records to WARC archives; equal payloads are kept once. The manifest (file, n)."""
-    largest = records.groupBy("payload_digest").agg(F.max("page_id").alias("first_page"))
-    known = records.join(largest, "payload_digest")
-    refers = F.when(~F.col("first_page").eqNullSafe(F.col("page_id")) & F.col("first_page").isNotNull(), F.col("first_page").cast("string"))
-    rows = known.select("page_id", "place", "version", "raw", refers.alias("refers_to")).sortWithinPartitions("page_id", "place")
+            for file in batch.column(0).to_pylist():
+                yield from use(file, shared.get(f"{out}/{file}"))
+
+    files = manifest.select("file")
+    return files.repartition(max(1, min(files.count(), 100_000)), "file").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(out, ".warc.gz", file_bytes)
-        for batch in batches:
-            for _, place, version, raw, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = next(parse_arc(raw, version))
-                files.add(convert(record.fields, record.block, place, refers_to))
-                if files.full:
-                    yield files.flush()
-        if files.parts:
-            yield files.flush()
 
-    return shared.kept(rows.mapInArrow(run, "file string, n long"), "warc")
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.record_batch([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-_PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string"
+def read_arc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
+    """A row for each record of the archives in the manifest, without the version blocks and without the records' bytes."""
+
+    def use(file: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for seq, r in enumerate(parse_arc(content)):
+            if "archive" in r.fields:
+                continue
+            head, payload = split_http(r.block) or (b"", r.block)
+            page = http_field(head, "X-Page-Id")
+            rows.append((file, seq, None if page is None else int(page), f"{file}@{r.offset}", digest(payload), r.fields["url"], iso(r.fields["date"])))
+        yield _table(rows, _ARC)
+
+    return _each(spark, out, manifest, use, _ARC)
+
+
+_VERDICT = "seq int, payload_digest string, page long, record string, uri string, date string"
+
+
+def write_warc(spark: SparkSession, arc: str, listed: DataFrame, out: str) -> DataFrame:
+    """Converts the archives that `listed` lists to WARC archives; equal payloads are kept once. The manifest (file, n)."""
+    records = shared.kept(read_arc(spark, arc, listed), "records")
+    # Of rows that share the largest page_id, all are responses; revisits name the first of them.
+    first = F.max(F.struct("page_id", (-F.xxhash64("place")).alias("turn"), "place", "url", "warc_date")).alias("first")
+    largest = records.where("page_id IS NOT NULL").groupBy("payload_digest").agg(first)
+    other = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    told = [F.when(other, F.col(f"first.{c}")).alias(n) for c, n in (("page_id", "page"), ("place", "place_"), ("url", "uri"), ("warc_date", "date"))]
+    verdicts = records.join(largest, "payload_digest", "left").select("file", "seq", "payload_digest", *told)
+
+    def put(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("seq", "payload_digest", "page", "place_", "uri", "date")), strict=True))
+        file = table["file"][0].as_py()
+        told = [(s, d, p, None if p is None else record_id(u, t, d, place), None if p is None else uri_of(u), t) for s, d, p, place, u, t in rows]
+        sink = pa.BufferOutputStream()
+        batch = _table(told, _VERDICT)
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        shared.put(f"{arc}/{file}.verdicts", sink.getvalue().to_pybytes())
+        return pa.table({"file": pa.array([file])})
+
+    shared.kept(verdicts.groupBy("file").applyInArrow(put, "file string"), "verdicts-done")
+
+    def use(file: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        known = {r["seq"]: r for r in pa.ipc.open_stream(shared.get(f"{arc}/{file}.verdicts")).read_all().to_pylist()}
+        parts = []
+        for seq, r in enumerate(parse_arc(content)):
+            verdict = known.get(seq)
+            refers = Refers(verdict["page"], verdict["record"], verdict["uri"], verdict["date"]) if verdict and verdict["page"] is not None else None
+            parts.append(deflate(convert(r.fields, r.block, f"{file}@{r.offset}", refers, verdict["payload_digest"] if verdict else None)))
+        name = file.removesuffix(".arc.gz") + ".warc.gz"
+        shared.put(f"{out}/{name}", b"".join(parts))
+        yield _table([(name, len(parts))], "file string, n long")
+
+    return shared.kept(_each(spark, arc, listed, use, "file string, n long"), "warc")
+
+
+_PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string, refers_to_record string"
 
 
 def read_warc(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """A row for each response and revisit in the archives of the manifest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _PAGE.split(", ")]
-        for batch in batches:
-            for content in batch.column(1):
-                rows = []
-                for h, block in parse_warc(content.as_py()):
-                    kind = h["warc-type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    head, payload = split_http(block) or (b"", block)
-                    page, refers = http_field(head, "X-Page-Id"), h.get("warc-refers-to-page")
-                    own = h["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(payload) != own:
-                        raise ValueError("a payload that differs from its digest")
-                    size = len(payload) if kind == "response" else int(http_field(head, "Content-Length") or 0)
-                    rows.append((None if page is None else int(page), size, own, kind, None if refers is None else int(refers), h["warc-target-uri"], h["warc-date"], h["warc-record-id"]))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
-
-    return _listed(spark, out, ".warc.gz", manifest).mapInArrow(run, _PAGE)
+    def use(_: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for h, block in parse_warc(content):
+            kind = h["warc-type"]
+            if kind not in ("response", "revisit"):
+                continue
+            head, payload = split_http(block) or (b"", block)
+            page, refers = http_field(head, "X-Page-Id"), h.get("warc-refers-to-page")
+            own = h["warc-payload-digest"].removeprefix("sha1:")
+            if kind == "response" and digest(payload) != own:
+                raise ValueError("a payload that differs from its digest")
+            size = len(payload) if kind == "response" else int(http_field(head, "Content-Length") or 0)
+            rows.append((None if page is None else int(page), size, own, kind, None if refers is None else int(refers), h["warc-target-uri"], h["warc-date"], h["warc-record-id"], h.get("warc-refers-to")))
+        yield _table(rows, _PAGE)
+
+    return _each(spark, out, manifest, use, _PAGE)
 
 
 def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -355,6 +392,6 @@ def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     listed = write_arc(pages, arc, file_bytes=file_bytes)
     if not listed.count():
         return spark.createDataFrame([], _PAGE)
-    done = write_warc(read_arc(spark, arc, listed), warc, file_bytes)
+    done = write_warc(spark, arc, listed, warc)
     shared.drop(spark, arc)
     return read_warc(spark, warc, done)

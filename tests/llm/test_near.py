@@ -169,6 +169,13 @@ def test_archive_of_pages(spark):
     assert legacy_archive.archive(pages.limit(0)).count() == 0
 
 
+def test_archive_of_urls_that_look_like_version_blocks(spark):
+    rows = [(1, "filedesc://x", "a"), (2, "filedesc://", "a"), (3, "filedesc://y 1 2 3", ""), (4, "http://h\r\nX: 1", "b")]
+    got = {r["page_id"]: r for r in legacy_archive.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), file_bytes=1).collect()}
+    assert {p: (r["record_type"], r["refers_to"], r["url"]) for p, r in got.items()} == {1: ("revisit", 2, "filedesc://x"), 2: ("response", None, "filedesc://"), 3: ("response", None, "filedesc://y%201%202%203"), 4: ("response", None, "http://hX:%201")}
+    assert got[1]["refers_to_record"] == got[2]["record_id"] and got[1]["payload_bytes"] == 1
+
+
 def test_arc_versions_and_damage():
     v1 = legacy_archive.arc_version_block("a.arc", 1, "19990101000000") + legacy_archive.arc_record(1, "http://a/b c", "1.2.3.4", "19990102", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi")
     v2 = legacy_archive.arc_version_block("b.arc", 2, "20040101000000") + legacy_archive.arc_record(2, "dns:a", "0.0.0.0", "200401", "text/dns", b"a 1.2.3.4")
