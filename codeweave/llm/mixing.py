@@ -4,16 +4,19 @@ Sources form a tree (domain, language, source). A budget of tokens goes down the
 children by weight, but no child gets more than its own leaves hold in `epochs` passes. What a child cannot take goes to its siblings
 by their weights; only what no child of a node can take is missing above, where the node's own cap already sends
 it to the node's siblings. For one node that is water-filling: with children ordered by cap / weight, the level is the greatest
-(budget - caps before) / (weights from here on), and a child gets min(cap, weight * level), rounded down.
+(budget - caps before) / (weights from here on), and a child gets min(cap, weight * level), rounded down; the tokens that
+rounding leaves go, one each, to the first children by name that have room, so a node deals out all it has.
 
 A leaf that gets A of its T tokens is read A div T times as a whole and once more for the A mod T tokens that are left, each
 pass in the order of a seeded hash of its own; the last document of a prefix is cut at the budget. Prefixes come from
-sums over ranges of the hash, refined `LEVELS` times, so no task orders more than a 256**LEVELS-th of a leaf.
+sums over ranges of the hash, refined `LEVELS` times, so no task orders more than a 256**LEVELS-th of a leaf; where that
+still is more than `CELL` rows, as many rows share a doc_id, ranges of a hash of the rows' `tie` refine it further.
 
 Edge cases: null values of the tree's columns are a leaf of their own, ''; nodes of weight 0 get nothing; documents
-without tokens are never chosen; rows that repeat a doc_id are separate, in one place of each order; null
+without tokens are never chosen; rows that repeat a doc_id are separate, in one place of each order, there by the hash
+of their tie (the text, if nothing else is named; rows alike in that, too, in any order); null
 doc_ids hash as ''; a budget above what the tree holds is cut to it; an empty table gives an empty result;
-columns that are named as results are replaced. Tokens are words, runs of characters other than space and 0x09-0x0D, where no column of counts is named.
+columns that are named as results are replaced, all others stay, whatever their names. Tokens are words, runs of characters other than space and 0x09-0x0D, where no column of counts is named.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from . import shared
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 LEVELS = 3
+#: Rows of the range in which a budget ends, up to which they are put in order.
+CELL = 100_000
 #: Leaves up to which the table of budgets is broadcast.
 LEAVES = 10_000
 
@@ -38,10 +43,14 @@ def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     part = Window.partitionBy(*parent) if parent else Window.partitionBy()
     order = part.orderBy(F.col("cap") / F.col("weight"), name)
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = children.withColumn("_level", (F.col("budget") - before).cast("double") / onward.cast("double"))
-    top = F.greatest(F.max("_level").over(part), F.lit(0.0))
-    return level.withColumn("share", F.least(F.col("cap"), F.floor(F.col("weight") * top).cast("long"))).drop("_level")
+    num, den = F.greatest(F.col("budget") - before, F.lit(0)), F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    level = children.withColumns({"_num": num.cast("long"), "_den": den.cast("long")})
+    top = F.max(F.struct((F.col("_num").cast("double") / F.col("_den").cast("double")).alias("level"), "_num", "_den")).over(part)
+    whole = level.withColumn("_top", top).withColumn("_share", F.expr("least(cap, (cast(weight as decimal(19,0)) * cast(_top._num as decimal(19,0))) div cast(_top._den as decimal(19,0)))").cast("long"))
+    left = F.least("budget", F.sum("cap").over(part)) - F.sum("_share").over(part)
+    turn = F.row_number().over(part.orderBy(F.desc(F.col("cap") > F.col("_share")), name))
+    more = (F.col("cap") > F.col("_share")) & (F.col("_turn") <= F.col("_left"))
+    return whole.withColumns({"_left": left, "_turn": turn}).withColumn("share", F.col("_share") + more.cast("long")).select(*children.columns, "share")
 
 
 def budgets(leaves: DataFrame, tree: list[str], weights: dict[str, dict[str, int]], budget: int | float, epochs: int) -> DataFrame:
@@ -66,16 +75,20 @@ def budgets(leaves: DataFrame, tree: list[str], weights: dict[str, dict[str, int
     return leaves.join(done.select(*tree, "share"), tree)
 
 
-def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | float, epochs: int = 4, seed: int = 17, tokens: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | float, epochs: int = 4, seed: int = 17, tokens: str | None = None, tie: str = "text") -> DataFrame:
     """The chosen rows of docs with all their columns, and `mix_epoch`, `n_tokens`, `take_tokens`; `tree` names the
     levels and gives their values."""
     names = [f"mix_{c}" for c in tree]
     spark = docs.sparkSession
     shared.slim(spark)
-    leafed = docs.withColumns({n: F.coalesce(v.cast("string"), F.lit("")) for n, v in zip(names, tree.values(), strict=True)})
+    results = [*names, "mix_epoch", "n_tokens", "take_tokens"]
+    # The rows travel as one struct, so that no name of theirs meets one of the plan's.
+    values = {n: F.coalesce(v.cast("string"), F.lit("")) for n, v in zip(names, tree.values(), strict=True)}
     count = F.col(tokens).cast("long") if tokens else n_words(F.col("text").cast("string"))
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    leafed = docs.select(*[v.alias(n) for n, v in values.items()], doc_id.alias("_id"), F.md5(F.coalesce(F.col(tie).cast("string"), F.lit("")).cast("binary")).alias("_tie"), count.alias("n_tokens"), F.struct(*docs.columns).alias("_row"))
     # Words are counted once for all sums: the plan is made on a narrow table.
-    thin = shared.kept(leafed.select(*names, "doc_id", count.alias("n_tokens")).where("n_tokens > 0"), "thin")
+    thin = shared.kept(leafed.drop("_row").where("n_tokens > 0"), "thin")
     leaves = shared.kept(thin.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     planned = shared.kept(budgets(leaves, names, {f"mix_{k}": v for k, v in weights.items()}, budget, epochs), "budgets")
     plan = planned.select(*names, F.floor(F.col("share") / F.col("tokens")).cast("int").alias("_whole"), (F.col("share") % F.col("tokens")).alias("_rest"))
@@ -84,27 +97,31 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     def with_leaf(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         return df.join(F.broadcast(table) if few else table, names, how)
 
-    key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.concat(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("_whole").cast("string"), "_id").cast("binary")), "_tie")
     narrow = with_leaf(thin, plan).where("_rest > 0").withColumn("_key", key).select(*names, "_key", "n_tokens", "_rest")
     placed = with_leaf(leafed, plan).withColumn("_key", key)
     cuts = plan.where("_rest > 0").select(*names, F.lit("").alias("_cut"), F.lit(0).cast("long").alias("_before"), "_rest")
-    for level in range(LEVELS):
-        cell = F.substring("_key", 1, 2 * (level + 1))
+    for level in range(2 * LEVELS):
+        # First the hash of doc_id, 32 characters, then that of the tie.
+        cell = F.substring("_key", 1, 2 * (level + 1) if level < LEVELS else 32 + 2 * (level - LEVELS + 1))
         inside = with_leaf(narrow.drop("_rest"), cuts).where(F.col("_key").startswith(F.col("_cut"))) if level else narrow.withColumn("_before", F.lit(0).cast("long"))
-        sums = inside.groupBy(*names, cell.alias("_cell"), "_before", "_rest").agg(F.sum("n_tokens").alias("_n"))
+        sums = inside.groupBy(*names, cell.alias("_cell"), "_before", "_rest").agg(F.sum("n_tokens").alias("_n"), F.count("*").alias("_rows"))
         upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_cell"))
-        cuts = shared.kept(sums.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))).select(*names, F.col("_cell").alias("_cut"), (F.col("_upto") - F.col("_n")).alias("_before"), "_rest"), "cuts")
+        ends = sums.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest")))
+        found = shared.kept(ends.select(*names, F.col("_cell").alias("_cut"), (F.col("_upto") - F.col("_n")).alias("_before"), "_rest", "_rows"), "cuts")
+        cuts = found.drop("_rows")
+        if level >= LEVELS - 1 and (found.agg(F.max("_rows")).first()[0] or 0) <= CELL:
+            break
     # Rows of the cell in which the budget ends are put in order; there are few of them.
-    last = with_leaf(placed.drop("_rest"), cuts).where(F.col("_key").startswith(F.col("_cut"))).withColumn("n_tokens", count)
-    order = Window.partitionBy(*names).orderBy("_key", "doc_id")
+    last = with_leaf(placed.drop("_rest"), cuts).where(F.col("_key").startswith(F.col("_cut")))
+    order = Window.partitionBy(*names).orderBy("_key")
     last = last.withColumn("_start", F.col("_before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     ends = last.where("_start < _rest AND n_tokens > 0").withColumn("take_tokens", F.least("n_tokens", F.col("_rest") - F.col("_start"))).withColumn("mix_epoch", F.col("_whole"))
-    first = with_leaf(placed, cuts.select(*names, "_cut"), "left").withColumn("n_tokens", count).where("n_tokens > 0")
+    first = with_leaf(placed, cuts.select(*names, "_cut"), "left").where("n_tokens > 0")
     passes = F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>"))
     early = F.when((F.col("_rest") > 0) & (F.col("_key") < F.col("_cut")), F.array("_whole")).otherwise(F.array().cast("array<int>"))
     whole = first.withColumn("mix_epoch", F.explode(F.concat(passes, early))).withColumn("take_tokens", F.col("n_tokens"))
-    results = [*names, "mix_epoch", "n_tokens", "take_tokens"]
-    columns = [*[c for c in docs.columns if c not in results], *results]
+    columns = [*[F.col("_row")[c].alias(c) for c in docs.columns if c not in results], *results]
     return whole.select(*columns).unionAll(ends.select(*columns))
 
 
@@ -135,11 +152,13 @@ def _levels_sql() -> str:
         else:
             source = f"SELECT n.*, (SELECT least(floor(0.6::double * sum(tokens)), sum(cap))::bigint FROM caps) AS budget FROM ({source}) n"
         part = f"PARTITION BY {parent}" if parent else ""
-        out.append(f"""level{i} AS (
-  SELECT *, least(cap, floor(weight * greatest(max(level) OVER ({part}), 0::double))::bigint)::bigint AS share FROM (
-    SELECT *, (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap::double / weight, {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::double
-      / (sum(weight) OVER ({part} ORDER BY cap::double / weight, {c} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::double AS level
-    FROM ({source})))""")
+        out.append(f"""ratios{i} AS (
+  SELECT *, greatest(budget - coalesce(sum(cap) OVER ({part} ORDER BY cap::double / weight, {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::hugeint AS num,
+    sum(weight) OVER ({part} ORDER BY cap::double / weight, {c} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::hugeint AS den FROM ({source})),
+tops{i} AS (SELECT *, first_value(num) OVER w AS top_num, first_value(den) OVER w AS top_den FROM ratios{i} WINDOW w AS ({part} ORDER BY num::double / den::double DESC, num DESC, den DESC)),
+floors{i} AS (SELECT *, least(cap, (weight::hugeint * top_num) // top_den)::bigint AS low FROM tops{i}),
+rests{i} AS (SELECT *, least(budget, sum(cap) OVER ({part})) - sum(low) OVER ({part}) AS over_, row_number() OVER ({part} ORDER BY (cap > low) DESC, {c}) AS turn FROM floors{i}),
+level{i} AS (SELECT *, low + CASE WHEN cap > low AND turn <= over_ THEN 1 ELSE 0 END AS share FROM rests{i})""")
         above = f"level{i}"
     return ",\n".join(out)
 

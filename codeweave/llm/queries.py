@@ -26,8 +26,8 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    counted = shared.kept(docs.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_words")), "counted")
-    mixed = mixing.mix(counted, mixing.tree(), mixing.WEIGHTS, budget=0.6, epochs=4, seed=17, tokens="n_words")
+    counted = shared.kept(docs.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_words"), F.md5(F.col("text").cast("binary")).alias("text_md5")), "counted")
+    mixed = mixing.mix(counted, mixing.tree(), mixing.WEIGHTS, budget=0.6, epochs=4, seed=17, tokens="n_words", tie="text_md5")
     return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "n_tokens", "take_tokens")
 
 

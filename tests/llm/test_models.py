@@ -212,6 +212,31 @@ def test_mixing_takes_prefixes_of_seeded_orders(spark, budget, epochs):
     assert mixing.mix(docs.limit(0), tree, {}, budget).count() == 0
 
 
+def test_mixing_deals_all_and_keeps_columns_of_any_name(spark):
+    leaves = spark.createDataFrame([(d, 1000) for d in "abcdefg"], "d string, tokens long")
+    share = {r["d"]: r["share"] for r in mixing.budgets(leaves, ["d"], {"d": {"a": 2}}, 1003, 1).collect()}
+    assert share == {"a": 251, "b": 126, "c": 126, "d": 125, "e": 125, "f": 125, "g": 125}
+    own = ["_rest", "_whole", "_key", "_cut", "_before", "_row", "_id", "_tie", "_cell", "_rows", "cap", "weight", "budget", "share", "tokens", "n_words", "_N", "mix_epoch"]
+    docs = spark.createDataFrame([(i, f"a b c d{i}", "en", "s", *["kept"] * len(own)) for i in range(9)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in own))
+    got = mixing.mix(docs, mixing.tree(), {}, 0.5, 1)
+    assert got.columns == [*docs.columns[:-1], "mix_domain", "mix_lang", "mix_source", "mix_epoch", "n_tokens", "take_tokens"]
+    assert sum(r["take_tokens"] for r in got.collect()) == 18 and {r[c] for r in got.collect() for c in own[:-1]} == {"kept"}
+
+
+def test_mixing_of_many_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 3)
+    docs = spark.createDataFrame([(None if i % 2 else 7, " ".join(["w"] * (1 + i % 5)) + f" {i}", "en", "s") for i in range(60)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, mixing.tree(), {}, 101, 1).collect()
+    rows = [(hashlib.md5(f"17|0|{'' if r['doc_id'] is None else 7}".encode()).hexdigest() + hashlib.md5(r["text"].encode()).hexdigest(), r["text"]) for r in docs.collect()]
+    want, at = [], 0
+    for _, t in sorted(rows):
+        n = len(t.split())
+        if at < 101:
+            want.append((t, min(n, 101 - at)))
+        at += n
+    assert sorted((r["text"], r["take_tokens"]) for r in got) == sorted(want)
+
+
 def test_cut_text(spark):
     from pyspark.sql import functions as F
 
