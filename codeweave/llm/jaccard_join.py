@@ -2,20 +2,25 @@
 
 Tokens are hashes of runs of words. Documents whose sets are equal are one class and go on as one representative. All
 tokens' document frequencies are counted over the corpus (`chunks.ask`); tokens are ordered from rare to frequent.
-Two sets that are similar enough share at least k tokens among the first |s| - ceil(t |s|) + k of each. With prefixes
-extended to k = 2:
+Two sets that are similar enough share at least K tokens among the first |s| - ceil(t |s|) + K of each, t being the
+coefficient. With prefixes extended to K = C + 1, tokens being dealt to C classes by a hash:
 
-* a shared token of the rare classes is found by its own index entry;
-* where none of the shared tokens in the prefixes is rare, two frequent ones are shared, so pairs of frequent tokens
-  are indexed. A prefix with more than `WIDE` frequent tokens would have too many pairs: it is indexed by its
-  single frequent tokens, and all others ask that index too.
+* a shared token of the rare ranks is found by its own index entry;
+* where none of the shared tokens in the prefixes is rare, two of them are in one class, so the pairs of frequent tokens
+  within each class are indexed.
+
+C grows with the set, so that a class has about `PER_CLASS` tokens of the prefix and the pairs grow with the prefix, not with
+its square; it goes by powers of two of the size, and a set that may link with sets of the next lower power is indexed for that,
+too. Sets of which too few tokens occur elsewhere to link with anything have no entry.
 
 Tokens of one document alone have no entry. Candidates then are verified on whole sets. Entries are not expanded to all
 their pairs: first each document is compared with one partner of each entry, by which most of a group of copies
 becomes one component; then only pairs of one entry that are still in different components are compared, if their sizes,
 their numbers of tokens that other documents have, too, and parities of their tokens' hashes allow the overlap that a
 link takes. So every link between different components is found, and a group of n copies costs about n
-comparisons.
+comparisons. Pairs of one entry are made within neighbouring ranges of sizes alone. What remains at worst is many
+unlike texts of like sizes that nearly all consist of passages others have, too: pairs of one entry of theirs are compared
+by sizes, counts and parities, spread over tasks by the entry, and the sets of few are read.
 
 Edge cases: null and empty texts, and texts without words, have empty sets and are alone; rows that repeat a doc_id
 are one node of the graph, linked with what any of them is linked with; null doc_ids are alone, with a null component; an empty table gives an
@@ -24,6 +29,7 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,9 +43,9 @@ from .words import mix, shingles, words
 
 #: Documents from which on a token counts as frequent.
 FREQUENT = 64
-#: Frequent tokens in a prefix up to which their pairs are indexed.
-WIDE = 48
-_SALT = {"one": np.uint64(0x243F6A8885A308D3), "two": np.uint64(0x13198A2E03707344), "wide": np.uint64(0xA4093822299F31D0)}
+#: Tokens of a prefix that a class has, about.
+PER_CLASS = 12
+_SALT = {"one": np.uint64(0x243F6A8885A308D3), "two": np.uint64(0x13198A2E03707344), "class": np.uint64(0xA4093822299F31D0)}
 
 
 def _sets(row: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,29 +58,36 @@ def _classes(df: np.ndarray) -> np.ndarray:
     return np.where(df > 1, 1 + np.floor(np.log2(np.maximum(df - 1, 1))), 0).astype(np.uint8)
 
 
-def entries(tokens: np.ndarray, classes: np.ndarray, percent: int, frequent: int = FREQUENT, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of one set, and whether each only asks (1) or also answers (0)."""
+def classes_of(size: int, percent: int, per_class: int = PER_CLASS) -> list[tuple[int, int]]:
+    """(power of two, number of classes) for each range of sizes in which a set of this size is indexed: its own, and that
+    of the least set it may link with."""
+    powers = {size.bit_length(), (-(-percent * size // 100)).bit_length()}
+    return [(p, max(1, (100 - percent) * (1 << (p - 1)) // (100 * per_class))) for p in sorted(powers)]
+
+
+def entries(tokens: np.ndarray, classes: np.ndarray, percent: int, frequent: int = FREQUENT, per_class: int = PER_CLASS) -> np.ndarray:
+    """Index entries of one set."""
     n = len(tokens)
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    prefix = min(n, n - -(-percent * n // 100) + 2)
-    order = np.lexsort((tokens, classes))[:prefix]
-    own, cls = tokens[order], classes[order]
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((tokens, classes))
+    ranges = classes_of(n, percent, per_class)
+    base = n - -(-percent * n // 100) + 1
     first = int(_classes(np.array([frequent]))[0])
-    rare = own[(cls > 0) & (cls < first)]
-    often = own[cls >= first]
+    prefix = order[: base + max(c for _, c in ranges)]
+    rare = tokens[prefix][(classes[prefix] > 0) & (classes[prefix] < first)]
     out = [mix(rare ^ _SALT["one"])]
-    roles = [np.zeros(len(rare), np.uint8)]
-    if len(often) <= wide:
-        often = np.sort(often)
-        i, j = np.triu_indices(len(often), 1)
-        pairs = mix(mix(often[i] ^ _SALT["two"]) + often[j])
-        out += [pairs, mix(often ^ _SALT["wide"])]
-        roles += [np.zeros(len(pairs), np.uint8), np.ones(len(often), np.uint8)]
-    else:
-        out.append(mix(often ^ _SALT["wide"]))
-        roles.append(np.zeros(len(often), np.uint8))
-    return np.concatenate(out), np.concatenate(roles)
+    for power, parts in ranges:
+        prefix = order[: base + parts]
+        often = tokens[prefix][classes[prefix] >= first]
+        part = mix(often ^ _SALT["class"]) % np.uint64(parts)
+        turn = np.lexsort((often, part))
+        often, part = often[turn], part[turn]
+        salt = mix(np.array([power], np.uint64) ^ _SALT["two"])
+        for gap in range(1, int(np.bincount(part.astype(np.int64)).max(initial=0))):
+            same = part[gap:] == part[:-gap]
+            out.append(mix(mix(often[:-gap][same] ^ salt) + often[gap:][same]))
+    return np.concatenate(out)
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -114,11 +127,13 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "labels") -> Data
             return labels
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT, wide: int = WIDE) -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT, per_class: int = PER_CLASS, few: int = C.FEW, bundle: int = C.BUNDLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
-    Sets of runs of k words link where their Jaccard coefficient is at least percent / 100.
+    Sets of runs of k words link where their Jaccard coefficient is at least percent / 100, which is above a half.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("the coefficient must be above a half")
     spark = docs.sparkSession
     chunked = C.cut(docs)
     total = chunked.agg(F.sum("n_words")).first()[0] or 0
@@ -141,10 +156,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
 
     def choose(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        shared.put(f"{chosen}/{chunk}.bin", C.squeeze(np.sort(table["place"].to_numpy()).astype("<i4").tobytes()))
-        return pa.table({"chunk": pa.array([chunk], pa.int64())})
+        return pa.table({"chunk": pa.array([chunk], pa.int64()), "part": pa.array([0], pa.int32()), "blob": pa.array([C.squeeze(np.sort(table["place"].to_numpy()).astype("<i4").tobytes())], pa.binary())})
 
-    shared.kept(reps.groupBy("chunk").applyInArrow(choose, "chunk long"), "chosen-done")
+    C.gather(reps.groupBy("chunk").applyInArrow(choose, "chunk long, part int, blob binary"), chosen, "chosen")
 
     def own_sets(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of a chunk's representatives, their bounds, and the representatives' places."""
@@ -158,12 +172,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
     def keys_of(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         tokens, _, _ = own_sets(row)
         keys, counts = np.unique(tokens >> np.uint64(16), return_counts=True)
-        return keys, [np.minimum(counts, 65535).astype(np.uint16)]
+        return keys, [counts.astype(np.uint32)]
 
-    def answer(keys: list[np.ndarray], beside: list[list[np.ndarray]], _: list[int]) -> list[np.ndarray]:
+    def answer(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> list[np.ndarray]:
         return [_classes(t) for t in C.totals(keys, [b[0] for b in beside])]
 
-    counted = C.ask(chunked, keys_of, answer, ["<u2"], C.parts_for(total, spark), 48, "frequencies")
+    question = C.Question(["<u4"], 48, keys_of, answer, C.merge_counts((1 << 32) - 1), C.spread_alike)
+    counted = C.ask(chunked, question, total, "frequencies", few, bundle)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.pieces(batches, 1):
@@ -174,25 +189,27 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
                 continue
             _, back = np.unique(tokens >> np.uint64(16), return_inverse=True)
             cls = C.answers(counted, chunk)[back]
-            out: list[tuple[int, int, int, np.ndarray, np.ndarray, bytes, np.ndarray]] = []
+            out: list[tuple[int, int, int, np.ndarray, bytes, np.ndarray]] = []
             for i, place in enumerate(places.tolist()):
                 a, b = int(at[i]), int(at[i + 1])
-                sig, role = entries(tokens[a:b], cls[a:b], percent, frequent, wide)
+                common = int(np.count_nonzero(cls[a:b]))
+                # Whatever it links with, at least percent of its own tokens are in both.
+                sig = entries(tokens[a:b], cls[a:b], percent, frequent, per_class) if common * 100 >= (b - a) * percent else ()
                 if len(sig):
-                    out.append((ids[place], b - a, int(np.count_nonzero(cls[a:b])), sig, role, np.sort(tokens[a:b]).tobytes(), parities(tokens[a:b])))
+                    out.append((ids[place], b - a, common, sig, np.sort(tokens[a:b]).tobytes(), parities(tokens[a:b])))
             if out:
                 sizes = np.array([len(o[3]) for o in out])
-                blobs = [x for o in out for x in (o[5], *[None] * (len(o[3]) - 1))]
+                blobs = [x for o in out for x in (o[4], *[None] * (len(o[3]) - 1))]
                 columns = [np.repeat(np.array([o[j] for o in out], t), sizes) for j, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
-                yield pa.record_batch({"rep": columns[0], "n": columns[1], "shared": columns[2], "sig": np.concatenate([o[3] for o in out]).view(np.int64), "asks": np.concatenate([o[4] for o in out]).astype(np.int8), "tokens": pa.array(blobs, pa.binary()), **{c: np.repeat(np.array([o[6][j] for o in out]), sizes) for j, c in enumerate(BITS)}})
+                yield pa.record_batch({"rep": columns[0], "n": columns[1], "shared": columns[2], "sig": np.concatenate([o[3] for o in out]).view(np.int64), "tokens": pa.array(blobs, pa.binary()), **{c: np.repeat(np.array([o[5][j] for o in out]), sizes) for j, c in enumerate(BITS)}})
 
-    indexed = shared.kept(chunked.mapInArrow(index, "rep long, n int, shared int, sig long, asks byte, tokens binary, " + ", ".join(f"{c} long" for c in BITS)), "index")
+    indexed = shared.kept(chunked.mapInArrow(index, "rep long, n int, shared int, sig long, tokens binary, " + ", ".join(f"{c} long" for c in BITS)), "index")
     sets = shared.kept(indexed.where("tokens IS NOT NULL").select("rep", "tokens"), "tokens")
-    rows = indexed.select("rep", "n", "shared", "sig", "asks", *BITS)
+    rows = indexed.select("rep", "n", "shared", "sig", *BITS)
     # The partner of an entry's documents is the one that has the largest share of tokens in common with others: of a
     # text and its edited copies that is the text.
     partner = F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("rep")).alias("rep"), "n", "shared", *BITS))
-    busy = rows.groupBy("sig").agg(F.count("*").alias("docs"), F.min("asks").alias("answered"), partner.alias("first")).where("docs > 1 AND answered = 0")
+    busy = rows.groupBy("sig").agg(F.count("*").alias("docs"), partner.alias("first")).where("docs > 1")
     postings = shared.kept(rows.join(busy.select("sig", (-F.col("first.rep")).alias("first"), F.col("first.n").alias("first_n"), F.col("first.shared").alias("first_shared"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in BITS]), "sig"), "postings")
 
     def fits(there: Callable[[str], str]) -> F.Column:
@@ -213,12 +230,17 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
 
     # What is left: pairs of one entry in different components. Both sides keep the entry's key, so a popular entry is
     # split like any skewed join; entries within one component drop out before.
-    known = postings.join(labels, F.col("rep") == F.col("node")).select("sig", "rep", "n", "shared", "asks", "label", *BITS)
+    known = postings.join(labels, F.col("rep") == F.col("node")).select("sig", "rep", "n", "shared", "label", *BITS)
     mixed = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
     apart = shared.kept(known.join(mixed, "sig"), "apart")
-    other = apart.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("asks").alias("asks2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in BITS])
-    cross = apart.join(other, "sig").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & (F.col("asks") + F.col("asks2") < 2) & fits(lambda c: f"{c}2"))
-    rest = cross.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    # Sizes of sets that link are in one range or in neighbouring ones.
+    span = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    near = F.array("span", F.col("span") - 1) if percent < 100 else F.array("span")
+    mine = apart.withColumn("span", span)
+    other = mine.select("sig", F.explode(near).alias("span"), F.col("span").alias("span2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in BITS])
+    once = (F.col("span") < F.col("span2")) | (F.col("rep") < F.col("rep2"))
+    cross = mine.join(other, ["sig", "span"]).where(once & (F.col("label") != F.col("label2")) & fits(lambda c: f"{c}2"))
+    rest = cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     rest = shared.kept(rest, "rest").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     _, more = _verified(rest, sets, percent)
     ends = components(nodes, links.union(more), "components") if not more.isEmpty() else labels

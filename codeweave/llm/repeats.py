@@ -7,10 +7,11 @@ level all but the first occurrence of each window (smaller doc_id, then earlier
 go. Windows are judged on the input, not on what is left.
 
 Levels go through `chunks.ask`: keys are hashes of windows, of `BITS` bits at the first levels, where a false match
-only makes a candidate, and of 64 at the last.
+only makes a candidate, and of 64 at the last, which has a second hash of 64 bits, of other bytes and other factors, beside
+each key: windows count as equal where all 128 bits are.
 
 Edge cases: null and empty texts have no words; texts shorter than the window keep all; rows that repeat a doc_id are
-separate documents, the one read first being the earlier; null doc_ids come before all others; an empty table gives an
+separate documents, the one that lies first in the table of chunks being the earlier; null doc_ids come before all others; an empty table gives an
 empty result. Other columns are not read.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .words import Words, windows, words
+from .words import Words, second, windows, windows_at, words
 
 BITS = 48
 BASE = 5
@@ -79,19 +80,65 @@ def _order(row: dict, w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[doc], (first - w.bounds[doc]).astype(np.int64)
 
 
-def _firsts(row: dict, w: Words, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, and doc_id, start and window number of the first occurrence of each within the chunk."""
+def _firsts(row: dict, w: Words, keys: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct windows of a chunk, ascending by hash; second hash, doc_id and start of the first occurrence of each; and
+    that occurrence's number among the windows. Windows of one hash and different second hashes all stay: then a
+    key comes more than once, which packs as a difference of 0."""
     ids, start = _order(row, w, first)
-    order = np.lexsort((np.arange(len(keys)), start, ids, keys))
+    second = _second(w, window)[first]
+    order = np.lexsort((np.arange(len(keys)), start, ids, second, keys))
     new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
     pick = order[new]
-    return keys[pick], ids[pick], start[pick], pick
+    return keys[pick], [second[pick], ids[pick], start[pick]], pick
 
 
-def dedup(docs: DataFrame, window: int = 20, base: int = BASE) -> DataFrame:
+def _second(w: Words, window: int) -> np.ndarray:
+    """Another hash of the window from each word on, from another hash of each word."""
+    return windows_at(second(w), window)
+
+
+def _least(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of all occurrences the distinct windows, what lies beside the first of each, which that is, and each one's window."""
+    every, chunk = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    second, ids, start = (np.concatenate([b[i] for b in beside]) for i in range(3))
+    order = np.lexsort((chunk, start, ids, second, every))
+    new = np.ones(len(every), bool)
+    new[1:] = (every[order[1:]] != every[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    pick = order[new]
+    group = np.empty(len(every), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return every[pick], [second[pick], ids[pick], start[pick]], pick, group
+
+
+def _split(flags: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    at = C.sizes(keys)
+    return [flags[at[i] : at[i + 1]] for i in range(len(keys))]
+
+
+def _first_of_all(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> list[np.ndarray]:
+    flags = np.zeros(sum(map(len, keys)), np.uint8)
+    flags[_least(keys, beside)[2]] = 1
+    return _split(flags, keys)
+
+
+def _merge_firsts(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return _least(keys, beside)[:2]
+
+
+def _spread_firsts(answer: np.ndarray, _: tuple, keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Of a bundle's window that is the first of all, the occurrence that is the bundle's first."""
+    flags = np.zeros(sum(map(len, keys)), np.uint8)
+    flags[_least(keys, beside)[2]] = answer
+    return _split(flags, keys)
+
+
+def _repeated(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [(t > 1).astype(np.uint8) for t in C.totals(keys, [b[0] for b in beside])]
+
+
+def dedup(docs: DataFrame, window: int = 20, base: int = BASE, few: int = C.FEW, bundle: int = C.BUNDLE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row of docs (doc_id, text); kept is the text that is left."""
-    spark = docs.sparkSession
     chunked = C.cut(docs)
     total = chunked.agg(F.sum("n_words")).first()[0] or 0
     steps, folders = levels(window, base), []
@@ -104,28 +151,15 @@ def dedup(docs: DataFrame, window: int = 20, base: int = BASE) -> DataFrame:
             distinct, counts = np.unique(keys >> np.uint64(64 - BITS), return_counts=True)
             return distinct, [np.minimum(counts, 2).astype(np.uint8)]
 
-        def answer(keys: list[np.ndarray], beside: list[list[np.ndarray]], _: list[int]) -> list[np.ndarray]:
-            return [(t > 1).astype(np.uint8) for t in C.totals(keys, [b[0] for b in beside])]
-
-        folders.append(C.ask(chunked, keys_of, answer, ["<u1"], C.parts_for(total, spark), BITS, f"level-{length}"))
+        question = C.Question(["<u1"], BITS, keys_of, _repeated, C.merge_counts(2), C.spread_alike)
+        folders.append(C.ask(chunked, question, total, f"level-{length}", few, bundle))
 
     def last_keys(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         w, where = _state(row, steps, folders)
-        keys, ids, start, _ = _firsts(row, w, *_runs(w, window, where))
-        return keys, [ids, start]
-
-    def first_of_all(keys: list[np.ndarray], beside: list[list[np.ndarray]], numbers: list[int]) -> list[np.ndarray]:
-        every, at = np.concatenate(keys), C.sizes(keys)
-        chunk = np.repeat(np.arange(len(keys)), np.diff(at))
-        ids, start = (np.concatenate([b[i] for b in beside]) for i in (0, 1))
-        order = np.lexsort((chunk, start, ids, every))
-        new = np.ones(len(every), bool)
-        new[1:] = every[order[1:]] != every[order[:-1]]
-        out = np.zeros(len(every), np.uint8)
-        out[order[new]] = 1
-        return [out[at[i] : at[i + 1]] for i in range(len(keys))]
-
-    final = C.ask(chunked, last_keys, first_of_all, ["<i8", "<i8"], C.parts_for(total, spark), 64, f"level-{window}")
+        return _firsts(row, w, *_runs(w, window, where), window)[:2]
+
+    question = C.Question(["<u8", "<i8", "<i8"], 64, last_keys, _first_of_all, _merge_firsts, _spread_firsts)
+    final = C.ask(chunked, question, total, f"level-{window}", few, bundle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.shared.pieces(batches, 1):
@@ -135,7 +169,7 @@ def dedup(docs: DataFrame, window: int = 20, base: int = BASE) -> DataFrame:
             covered = np.zeros(len(w.hashes) + 1, np.int64)
             if len(keys):
                 said = C.answers(final, row["chunk"].as_py())
-                _, _, _, pick = _firsts(row, w, keys, first)
+                pick = _firsts(row, w, keys, first, window)[2]
                 later = np.ones(len(keys), bool)
                 later[pick[said.astype(bool)]] = False
                 np.add.at(covered, first[later], 1)

@@ -1,12 +1,13 @@
 """Words of texts, and hashes of words and of runs of words, as arrays.
 
 A word is a run of bytes other than space and 0x09-0x0D. Its hash is a polynomial over its bytes modulo 2**64, mixed
-together with its length; that of a run of words is a polynomial over the words' hashes, mixed. Prefix sums give all of
-them at once.
+together with its length; that of a run of words is a polynomial over the words' hashes, mixed. Prefix sums give those of
+a block of bytes or words at once, so what a long text needs beside its words' places and hashes is one block's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers (any will do), and their inverses modulo 2**64.
 _B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_B2, _C2 = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
+#: Bytes, or words, that are worked on at once.
+BLOCK = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -58,42 +62,82 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     counts = np.maximum(np.diff(bounds) - k + 1, 0)
     if n < k or not counts.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out, width, step = hashes.copy(), 1, np.uint64(_C)
-    total, done = np.zeros(n, np.uint64), 0
-    factor = np.uint64(1)
-    while True:  # by doubling: binary digits of k
+    total = windows_at(hashes, k)
+    first = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    first += np.arange(len(first))
+    return mix(total[first]), first
+
+
+def windows_at(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each on, whatever their documents, not mixed."""
+    total = np.empty(len(hashes), np.uint64)
+    for a in range(0, len(hashes), BLOCK):
+        total[a : a + BLOCK] = _runs(hashes[a : a + BLOCK + k - 1], k)[:BLOCK]
+    return total
+
+
+def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Polynomials over k hashes from each on, by doubling: binary digits of k. The last k - 1 mean nothing."""
+    n = len(hashes)
+    out, width = hashes.copy(), 1
+    total, done, factor = np.zeros(n, np.uint64), 0, np.uint64(1)
+    while True:
         if k >> (width.bit_length() - 1) & 1:
-            shifted = np.zeros(n, np.uint64)
-            shifted[: n - done] = out[done:]
-            total += factor * shifted
+            total[: n - done] += factor * out[done:]
             done += width
             factor = np.uint64(pow(_C, done, 1 << 64))
-        if done == k:
-            break
-        nxt = np.zeros(n, np.uint64)
-        nxt[: n - width] = out[width:]
-        out = out + np.uint64(pow(int(step), width, 1 << 64)) * nxt
+        if done >= k or width >= n or done >= n:
+            return total
+        out[: n - width] += np.uint64(pow(_C, width, 1 << 64)) * out[width:]
         width *= 2
-    first = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
-    return mix(total[first]), first
 
 
 def words(texts: list[bytes], lower: bool = False) -> Words:
     data = b" ".join(texts) + b" "
     raw = np.frombuffer(data, np.uint8)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    parts = []
+    for a, b in _blocks(raw):
+        starts, ends, hashes = _hashed(raw[a:b], lower, _B, _C)
+        parts.append(((starts + a).astype(np.uint32), (ends + a).astype(np.uint32), hashes))
+    starts, ends, hashes = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, begins.astype(np.uint32)))
+
+
+def second(w: Words) -> np.ndarray:
+    """Hashes of the words by other factors."""
+    raw = np.frombuffer(w.data, np.uint8)
+    return np.concatenate([_hashed(raw[a:b], False, _B2, _C2)[2] for a, b in _blocks(raw)])
+
+
+def _blocks(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    a = 0
+    while a < len(raw):
+        b = _cut(raw, a + BLOCK)
+        yield a, b
+        a = b
+
+
+def _cut(raw: np.ndarray, at: int) -> int:
+    """The end of the word that goes on at a place, or the end of all."""
+    while at < len(raw):
+        space = np.flatnonzero(_SPACE[raw[at - 1 : at + 4096]])
+        if len(space):
+            return at + int(space[0])
+        at += 4097
+    return len(raw)
+
+
+def _hashed(raw: np.ndarray, lower: bool, base: int, mixer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    bounds = np.searchsorted(starts, begins)
-    if lower:
-        raw = _LOWER[raw]
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_B, n), out=sums[1:])
-    back = _powers(pow(_B, -1, 1 << 64), n)
+    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=sums[1:])
+    back = _powers(pow(base, -1, 1 << 64), n)
     plain = (sums[ends] - sums[starts]) * back[starts]
-    return Words(data, starts, ends, mix(plain + (ends - starts).astype(np.uint64) * np.uint64(_C)), bounds)
+    return starts, ends, mix(plain + (ends - starts).astype(np.uint64) * np.uint64(mixer))
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 
 from codeweave.llm import chunks, jaccard_join, legacy_archive, repeats, words
 
-from .helpers import documents
+from .helpers import documents, prose
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,6 +53,42 @@ def test_jaccard_join(spark, k, percent, frequent, wide):
     assert got == components(pairs, k, percent)
 
 
+@pytest.mark.parametrize("per_class", [2, 12, 1000])
+def test_jaccard_join_of_texts_with_hundreds_of_frequent_tokens(spark, per_class):
+    rng = random.Random(per_class)
+    passages = [prose(rng, 60) for _ in range(12)]
+    pairs = []
+    for i in range(60):  # whole texts of passages that others have, too, some with an edit
+        text = [w for p in rng.sample(passages[: 4 + i % 9], 4) for w in p]
+        pairs.append((i, " ".join(text)))
+        if i % 2:
+            text = list(text)
+            for _ in range(rng.randint(1, 9)):
+                text[rng.randrange(len(text))] = f"new{i}"
+            pairs.append((100 + i, " ".join(text)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, 3, 80, 3, per_class, few=10**9, bundle=2).collect()}
+    assert got == components(pairs, 3, 80)
+
+
+def test_classes_of_sets_that_link_meet():
+    for percent in (51, 60, 85, 100):
+        for n in (*range(2, 300), 5000, 100_000):
+            for m in {n, -(-percent * n // 100)}:
+                assert dict(jaccard_join.classes_of(n, percent)).keys() & dict(jaccard_join.classes_of(m, percent)).keys()
+    rng = np.random.default_rng(1)
+    tokens = words.mix(np.arange(20_000, dtype=np.uint64))
+    assert len(jaccard_join.entries(tokens, np.full(len(tokens), 20, np.uint8), 85)) < 60 * 3000
+    for _ in range(40):  # two sets at the threshold always share an entry
+        n = int(rng.integers(20, 3000))
+        own = rng.permutation(tokens)[: n + n // 10]
+        a, b = own[:n], np.concatenate([own[: n - int(0.08 * n)], own[n:][: int(0.08 * n)]])
+        cls = dict(zip(own.tolist(), rng.integers(0, 20, len(own)).astype(np.uint8).tolist(), strict=True))
+        cls |= {x: max(1, cls[x]) for x in (set(a.tolist()) & set(b.tolist()))}
+        keys = [set(jaccard_join.entries(x, np.array([cls[t] for t in x.tolist()], np.uint8), 85).tolist()) for x in (a, b)]
+        assert keys[0] & keys[1] or not jaccard_join.similar(a, b, 85)
+
+
 def test_jaccard_join_of_chains_and_of_nothing(spark):
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -100,6 +137,13 @@ def test_repeats(spark, window, base):
     assert got == brute_repeats(pairs, window)
 
 
+def test_repeats_by_an_exchange_in_two_steps(spark):
+    docs = documents(spark, seed=9).repartition(9)
+    pairs = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = {r[0]: tuple(r)[1:] for r in repeats.dedup(docs, 6, 3, few=10**9, bundle=2).drop("kept").collect()}
+    assert got == brute_repeats(pairs, 6)
+
+
 def test_repeats_within_one_text_and_in_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c a b c a b c"), (2, "x a b c y"), (2, "x a b c y"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in repeats.dedup(docs, 3, 2).collect())
