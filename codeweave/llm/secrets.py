@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and strings that a Markov model finds more random than an identifier.
 
 Everything is DataFrame expressions. Positions come from the pieces between matches: `split` gives the gaps,
-`regexp_extract_all` the matches, and running sums of their lengths the spans, in code points.
+`regexp_extract_all` the matches, and running sums of their lengths the spans, in code points. Sums run over blocks of `BLOCK`
+matches and then over the blocks, so that a text with very many matches costs little more than their number.
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are counted from
 labelled samples. A candidate, a run of `LEAST` or more of the alphabet's characters that no fixed pattern touches, is a secret
-where the log-likelihood ratio of its character pairs is at least `PER_CHAR` a pair and `TOTAL` in all.
+where the log-likelihood ratio of its character pairs is at least `PER_CHAR` a pair and `TOTAL` in all; shorter runs are no
+candidates. The training sees at most `SAMPLE` documents, one row for each.
 
 Edge cases: null and empty texts have no spans; without samples of both kinds the ratio is 0 and nothing is added;
 rows that repeat a doc_id are scanned each; null doc_ids stay. All other columns pass through `scan` unchanged.
@@ -14,6 +16,7 @@ rows that repeat a doc_id are scanned each; null doc_ids stay. All other columns
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,36 +39,75 @@ TOTAL = 12.0
 SAMPLE = 2_000
 MADE = 3_000
 
+#: Matches of a text that one running sum goes over.
+BLOCK = 128
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int, least: int, keep: Column | None = None) -> Column:
-    """Spans of the matches whose group has the least length, ascending."""
-    matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    rows = F.arrays_zip(F.slice(F.transform(parts, lambda x: F.length(x)), F.lit(1), F.size(matches)).alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("size"), F.transform(groups, lambda x: F.length(x)).alias("own"))
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(rows: Column) -> Column:
+    """An array in blocks."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(rows, i + 1, F.lit(BLOCK)))
+
+
+def _located(rows: Column, kind: int) -> Column:
+    """Spans of the matches (gap, size, keep) that are kept: a match begins `gap` after the end of the one before."""
     empty = F.array().cast(_SPAN)
 
+    def places(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"]))
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["size"]
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def all_of(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, places(blocks), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
+
+    return _with(rows, lambda r: _with(_blocks(r), all_of))
+
+
+def spans(text: Column, pattern: str, kind: int, group: int, least: int, keep: Column | None = None) -> Column:
+    """Spans of the matches whose group has the least length, ascending."""
+    matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    long = F.transform(groups, lambda x: F.length(x) >= least)
+    rows = F.arrays_zip(F.slice(F.transform(parts, lambda x: F.length(x)), F.lit(1), F.size(matches)).alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("size"), long.alias("keep"))
+    return F.when(text.rlike(pattern), _located(rows, kind)).otherwise(F.array().cast(_SPAN))
 
 
 # --- Markov models --------------------------------------------------------------------------------------------------
 
 
+def identifiers(words: Column) -> Column:
+    """Names as code and settings have them: each three words in turn as snake_case, CamelCase, kebab-case and UPPER_CASE."""
+
+    def name(i: Column) -> Column:
+        own = F.slice(words, i, F.lit(3))
+        forms = [F.lower(F.array_join(own, "_")), F.array_join(F.transform(own, lambda w: F.initcap(w)), ""), F.array_join(own, "-"), F.upper(F.array_join(own, "_"))]
+        turn = (i / 3).cast("int") % 4
+        return F.when(turn == 0, forms[0]).when(turn == 1, forms[1]).when(turn == 2, forms[2]).otherwise(forms[3])
+
+    starts = F.when(F.size(words) >= 3, F.sequence(F.lit(1), F.size(words) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, name)
+
+
 def samples(docs: DataFrame, sample: int = SAMPLE, made: int = MADE) -> DataFrame:
     """Labelled strings (s, random): secrets that the fixed patterns find in a bounded sample of documents and strings
-    made from digests are random; the sample's other words are ordinary."""
+    made from digests are random; the sample's other words, and names made of them, are ordinary."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    seen = shared.kept(docs.join(F.broadcast(chosen), "doc_id").select(text.alias("t")), "secret-sample")
+    # Of rows that share a doc_id the least text, so that the bound holds.
+    seen = shared.kept(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("t")).groupBy("doc_id").agg(F.min("t").alias("t")).select("t"), "secret-sample")
     found = [seen.select(F.explode(F.regexp_extract_all("t", F.lit(p), F.lit(g))).alias("s")).where(F.length("s") >= least) for p, g, least in PATTERNS.values()]
     digest = F.unhex(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256))
     flat = F.translate(F.base64(digest), "\r\n", "")
@@ -74,7 +116,9 @@ def samples(docs: DataFrame, sample: int = SAMPLE, made: int = MADE) -> DataFram
     for i, t in enumerate(turns[:-1]):
         form = F.when(F.col("id") % len(turns) == i, t).otherwise(form)
     own = spark.range(made).select(F.substring(form, 1, 32).alias("s"))
-    plain = seen.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace("t", PATTERNS["assign"][0], " "), f"{PATTERNS['access'][0]}|{PATTERNS['hex'][0]}", " "), F.lit("[A-Za-z_-]{5,}"), F.lit(0))).alias("s"))
+    clean = F.regexp_replace(F.regexp_replace("t", PATTERNS["assign"][0], " "), f"{PATTERNS['access'][0]}|{PATTERNS['hex'][0]}", " ")
+    plain = seen.select(clean.alias("t")).select(F.regexp_extract_all("t", F.lit("[A-Za-z_-]{5,}"), F.lit(0)).alias("words"), F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("parts"))
+    plain = plain.select(F.explode(F.concat("words", identifiers(F.col("parts")))).alias("s"))
     rows = own.withColumn("random", F.lit(1))
     for f in found:
         rows = rows.unionByName(f.withColumn("random", F.lit(1)))
@@ -129,17 +173,15 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
 
     flagged = F.transform(CANDS, lambda s: secret(s))
     sizes, parts = F.transform(CANDS, lambda s: F.length(s)), F.transform(F.split(text, CANDIDATE, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(CANDS)).alias("gap"), sizes.alias("size"), F.col(FLAGS).alias("hit"))
-    empty = F.array().cast(_SPAN)
+    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(CANDS)).alias("gap"), sizes.alias("size"), F.col(FLAGS).alias("keep"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        free = x["hit"] & ~F.exists(F.col(BASE), lambda b: (b["start"] < end) & (b["end"] > start))
-        span = F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(free, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def untouched(block: Column) -> Column:
+        """Those of a block of spans that no fixed pattern touches; only patterns' spans near the block are looked at."""
+        first, last = F.try_element_at(block, F.lit(1))["start"], F.try_element_at(block, F.lit(-1))["end"]
+        return _with(F.filter(BASE, lambda b: (b["start"] < last) & (b["end"] > first)), lambda near: F.filter(block, lambda x: ~F.exists(near, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))))
 
-    more = F.when(F.exists(FLAGS, lambda x: x), F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    free = _with(_located(rows, 3), lambda found: F.flatten(F.transform(_blocks(found), untouched)))
+    more = F.when(F.exists(FLAGS, lambda x: x), free).otherwise(F.array().cast(_SPAN))
     return docs.withColumn(BASE, F.array_sort(base)).withColumn(CANDS, cands).withColumn(FLAGS, flagged).withColumn(FOUND, F.array_sort(F.concat(BASE, more))).drop(CANDS, FLAGS)
 
 
