@@ -7,21 +7,26 @@ toxic texts, each weighted by its smoothed log-odds. Phrases of a term and a nei
 texts become exceptions; hits inside them do not count. A text's sum of weights, by itself and divided by the text's
 length, goes through a logistic function fitted on the same rows.
 
-The fit sees at most `sample` labelled rows, those with the least hashed ids; counts meet by term, and the
-driver gets the `terms` best. Every text is scored as a whole.
+The fit sees at most `sample` labelled documents, those with the least hashed ids, as whole texts; of copies and near copies
+among them, told by two least hashes over all runs of `RUN` words, it sees one. A term must be in `SUPPORT` of the toxic
+texts, a phrase in as many clean ones and no toxic one, so rarer ones are not learned; counts meet by term, and the driver gets
+the `terms` best terms and as many of the most frequent phrases, so of a lexicon that would be larger the weakest are not
+learned. All this bounds what is learned, not what is scored: every text is scored as a whole.
 
 Edge cases: null and empty texts have no hits and get the score of such; null doc_ids are kept and never held out;
 without labelled rows of both kinds the lexicon is empty and scores are 0; a doc_id that repeats in the labels counts as toxic
-if any of its rows says so; rows that repeat a doc_id are scored each. Other columns are not read.
+if any of its rows says so; rows that repeat a doc_id are scored each, and the least text of them is learned from. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .words import mix, shingles, words
 
+#: Labelled documents that the fit may see; terms, and phrases, of a lexicon.
 SAMPLE = 12_000
 TERMS = 3_000
-#: Toxic texts that a term must be in, and its least log-odds.
+#: Toxic texts that a term must be in (and clean ones that a phrase must be in), and a term's least log-odds.
 SUPPORT = 4
 ODDS = 2.0
 LENGTHS = (4, 5, 6)
-#: Characters in the middle of a text by which copies are told.
-MIDDLE = 80
+#: Words of the runs by which copies are told.
+RUN = 5
 
 #: Look-alike letters (fixed values).
 LOOKALIKES = str.maketrans({
@@ -105,7 +112,7 @@ class Lexicon:
 def hits(automaton, text: str) -> tuple[list[tuple[int, int, float]], int]:
     """Hits (start, end, weight) outside exceptions, the heaviest of each word; the text's number of spaces and line ends, plus 1."""
     text = fold(text)
-    words = text.count(" ") + text.count("\n") + 1
+    length = text.count(" ") + text.count("\n") + 1
     found: dict[int, tuple[int, float]] = {}
     spared: list[tuple[int, int]] = []
     for last, kinds in automaton.iter(text):
@@ -120,7 +127,14 @@ def hits(automaton, text: str) -> tuple[list[tuple[int, int, float]], int]:
                 spared.append((start, end))
             elif w > found.get(start, (0, 0.0))[1]:
                 found[start] = (end, w)
-    return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(s <= a and b <= e for s, e in spared)], words
+    spared.sort()
+    starts, reach = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(starts, a)
+        return not i or reach[i - 1] < b
+
+    return [(a, b, w) for a, (b, w) in sorted(found.items()) if free(a, b)], length
 
 
 def features(own: list[tuple[int, int, float]], words: int) -> list[float]:
@@ -145,14 +159,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text the least of two hashes over all its runs of RUN words; texts of J in common agree in each by a chance of J."""
+    for batch in batches:
+        w = words([(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], lower=True)
+        own, at = shingles(w, RUN)
+        least = []
+        for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
+            mixed = np.append(mix(own ^ salt), ~np.uint64(0))
+            least.append(np.where(at[1:] > at[:-1], np.minimum.reduceat(mixed, np.minimum(at[:-1], len(own))), 0).astype(np.uint64).view(np.int64)[: batch.num_rows])
+        yield pa.record_batch({"doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), "toxic": batch.column(batch.schema.get_field_index("toxic")), "one": least[0], "two": least[1]})
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Lexicon:
     """Lexicon, exceptions and logistic function from the labelled rows that are not held out."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    # Copies would make any word of theirs a term: of rows that are alike in the middle one is learned from.
-    middle = F.md5(F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.lit(MIDDLE)).cast("binary"))
-    rows = shared.kept(found.groupBy(middle, "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "labelled")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    seen = shared.kept(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled-all")
+    # Copies would make any word of theirs a term: of those one is learned from.
+    told = seen.mapInArrow(_prints, "doc_id long, toxic int, one long, two long")
+    for c in ("one", "two"):
+        told = told.groupBy("toxic", c).agg(F.min_by(F.struct(*[x for x in told.columns if x not in ("toxic", c)]), "doc_id").alias("x")).select("toxic", "x.*")
+    rows = shared.kept(seen.join(F.broadcast(told.select("doc_id")), "doc_id").select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not toxic or not clean:
