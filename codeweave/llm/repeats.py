@@ -7,7 +7,7 @@ level all but the first occurrence of each window (smaller doc_id, then earlier
 go. Windows are judged on the input, not on what is left.
 
 Levels go through `chunks.ask`: keys are hashes of windows, of `BITS` bits at the first levels, where a false match
-only makes a candidate, and of 64 at the last, which has a second hash of 64 bits, of other bytes and other factors, beside
+only makes a candidate, and of 64 at the last, which has a second hash of 64 bits, by another factor, beside
 each key: windows count as equal where all 128 bits are.
 
 Edge cases: null and empty texts have no words; texts shorter than the window keep all; rows that repeat a doc_id are
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .words import Words, second, windows, windows_at, words
+from .words import Words, second, windows, words
 
 BITS = 48
 BASE = 5
@@ -85,30 +85,23 @@ def _firsts(row: dict, w: Words, keys: np.ndarray, first: np.ndarray, window: in
     that occurrence's number among the windows. Windows of one hash and different second hashes all stay: then a
     key comes more than once, which packs as a difference of 0."""
     ids, start = _order(row, w, first)
-    second = _second(w, window)[first]
-    order = np.lexsort((np.arange(len(keys)), start, ids, second, keys))
+    other = second(w, window)[first]
+    order = np.lexsort((np.arange(len(keys)), start, ids, other, keys))
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
     pick = order[new]
-    return keys[pick], [second[pick], ids[pick], start[pick]], pick
+    return keys[pick], [other[pick], ids[pick], start[pick]], pick
 
 
-def _second(w: Words, window: int) -> np.ndarray:
-    """Another hash of the window from each word on, from another hash of each word."""
-    return windows_at(second(w), window)
-
-
-def _least(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of all occurrences the distinct windows, what lies beside the first of each, which that is, and each one's window."""
+def _least(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of all occurrences the distinct windows, what lies beside the first of each, and which that is."""
     every, chunk = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    second, ids, start = (np.concatenate([b[i] for b in beside]) for i in range(3))
-    order = np.lexsort((chunk, start, ids, second, every))
+    other, ids, start = (np.concatenate([b[i] for b in beside]) for i in range(3))
+    order = np.lexsort((chunk, start, ids, other, every))
     new = np.ones(len(every), bool)
-    new[1:] = (every[order[1:]] != every[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    new[1:] = (every[order[1:]] != every[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
     pick = order[new]
-    group = np.empty(len(every), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return every[pick], [second[pick], ids[pick], start[pick]], pick, group
+    return every[pick], [other[pick], ids[pick], start[pick]], pick
 
 
 def _split(flags: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:

@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _B2, _C2 = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 #: Bytes, or words, that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -68,15 +68,15 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(total[first]), first
 
 
-def windows_at(hashes: np.ndarray, k: int) -> np.ndarray:
+def windows_at(hashes: np.ndarray, k: int, base: int = _C) -> np.ndarray:
     """Hashes of the k words from each on, whatever their documents, not mixed."""
     total = np.empty(len(hashes), np.uint64)
     for a in range(0, len(hashes), BLOCK):
-        total[a : a + BLOCK] = _runs(hashes[a : a + BLOCK + k - 1], k)[:BLOCK]
+        total[a : a + BLOCK] = _runs(hashes[a : a + BLOCK + k - 1], k, base)[:BLOCK]
     return total
 
 
-def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
+def _runs(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
     """Polynomials over k hashes from each on, by doubling: binary digits of k. The last k - 1 mean nothing."""
     n = len(hashes)
     out, width = hashes.copy(), 1
@@ -85,10 +85,10 @@ def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
         if k >> (width.bit_length() - 1) & 1:
             total[: n - done] += factor * out[done:]
             done += width
-            factor = np.uint64(pow(_C, done, 1 << 64))
+            factor = np.uint64(pow(base, done, 1 << 64))
         if done >= k or width >= n or done >= n:
             return total
-        out[: n - width] += np.uint64(pow(_C, width, 1 << 64)) * out[width:]
+        out[: n - width] += np.uint64(pow(base, width, 1 << 64)) * out[width:]
         width *= 2
 
 
@@ -98,16 +98,15 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     parts = []
     for a, b in _blocks(raw):
-        starts, ends, hashes = _hashed(raw[a:b], lower, _B, _C)
+        starts, ends, hashes = _hashed(raw[a:b], lower)
         parts.append(((starts + a).astype(np.uint32), (ends + a).astype(np.uint32), hashes))
     starts, ends, hashes = (np.concatenate(p) for p in zip(*parts, strict=True))
     return Words(data, starts, ends, hashes, np.searchsorted(starts, begins.astype(np.uint32)))
 
 
-def second(w: Words) -> np.ndarray:
-    """Hashes of the words by other factors."""
-    raw = np.frombuffer(w.data, np.uint8)
-    return np.concatenate([_hashed(raw[a:b], False, _B2, _C2)[2] for a, b in _blocks(raw)])
+def second(w: Words, k: int) -> np.ndarray:
+    """Other hashes of the k words from each on, of the words' hashes mixed anew, by another factor."""
+    return windows_at(mix(w.hashes ^ np.uint64(_C2)), k, _B2)
 
 
 def _blocks(raw: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -128,16 +127,16 @@ def _cut(raw: np.ndarray, at: int) -> int:
     return len(raw)
 
 
-def _hashed(raw: np.ndarray, lower: bool, base: int, mixer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n)
+    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * _powers(_B, n), out=sums[1:])
+    back = _powers(pow(_B, -1, 1 << 64), n)
     plain = (sums[ends] - sums[starts]) * back[starts]
-    return starts, ends, mix(plain + (ends - starts).astype(np.uint64) * np.uint64(mixer))
+    return starts, ends, mix(plain + (ends - starts).astype(np.uint64) * np.uint64(_C))
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
