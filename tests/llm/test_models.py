@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -122,6 +123,60 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), lexicon).count() == 0
 
 
+def plain_score(lexicon, text):
+    """The score by a search for each term, without the automaton."""
+    folded = toxicity.fold(text or "")
+    spared = [(a, a + n) for e in lexicon.exceptions for n in [len(toxicity.fold(e))] for a in range(len(folded)) if folded.startswith(toxicity.fold(e), a) and not folded[a - 1 : a].isalpha() and not folded[a + n : a + n + 1].isalpha()]
+    at: dict = {}
+    for term, weight in lexicon.weights.items():
+        bare, place = term.removesuffix("."), folded.find(term.removesuffix("."))
+        while place >= 0:
+            end = place + len(bare)
+            if not (place and folded[place - 1].isalpha()) and not (term.endswith(".") and folded[end : end + 1].isalpha()) and weight > at.get(place, (0, 0))[1]:
+                at[place] = (end, weight)
+            place = folded.find(bare, place + 1)
+    total = sum(w for a, (b, w) in at.items() if not any(s <= a and b <= e for s, e in spared))
+    n = folded.count(" ") + folded.count("\n") + 1 if text else 1
+    x = [1.0, math.log1p(total), math.log1p(100 * total / (n + 20)), math.log(n + 1)]
+    return 1 / (1 + math.exp(-sum(c * v for c, v in zip(lexicon.coef, x, strict=True))))
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_toxicity_of_the_tables_by_a_plain_search(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, lexicon).collect()}
+    for r in docs.where("doc_id % 5 = 0").collect():
+        assert got[r["doc_id"]]["score"] == pytest.approx(plain_score(lexicon, r["text"]), rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marked = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    told = toxicity.score(marked, toxicity.learn(docs, labels)).where("held_out").join(labels, "doc_id").groupBy("toxic").agg({"predicted": "avg", "*": "count"}).collect()
+    share = {r["toxic"]: r["avg(predicted)"] for r in told}
+    assert share[1] >= 0.9 and share[0] <= 0.02
+
+
+def test_copies_and_near_copies_teach_once(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    rows, marks = [], []
+    for i in range(40):  # one toxic text with few edits, many times, and as many clean ones
+        text = list(base)
+        text[int(rng.integers(0, 400))] = f"edit{i}"
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1))
+        rows.append((100 + i, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 400))))
+        marks.append((100 + i, 0))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert not lexicon.weights
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Ѕ1LLY $illy Ｓilly") == "siiiy siiiy siiiy"
     lexicon = toxicity.Lexicon({"bad.": 2.0, "awfu": 1.0}, ["not bad"], (0.0, 1.0, 0.0, 0.0))
@@ -172,6 +227,32 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert score[0] > secrets.TOTAL and score[2] < 0
 
 
+def test_models_on_held_out_strings(spark):
+    rng = np.random.default_rng(12)
+    table = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    words = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in re.findall("[A-Za-z]{3,}", r["text"])]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    random_ = ["".join(rng.choice(list(letters), int(rng.integers(24, 44)))) for _ in range(300)]
+    plain = []
+    for i in range(300):
+        own = [str(w) for w in rng.choice(words, int(rng.integers(3, 6)))]
+        plain.append(["_".join(own).lower(), "".join(w.capitalize() for w in own), "-".join(own)][i % 3])
+    rows = [(i, f"x = {s} ;") for i, s in enumerate(random_ + plain) if len(s) >= secrets.LEAST]
+    got = {r["doc_id"]: r["n_markov"] + r["n_hex"] + r["n_access"] for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert np.mean([got[i] > 0 for i in got if i < 300]) >= 0.95  # recall
+    assert np.mean([got[i] > 0 for i in got if i >= 300]) <= 0.02
+
+
+def test_secrets_of_texts_with_very_many_matches(spark):
+    text = " ".join(f"password=abcdefghijkl{i:05d} {'zQ8xK2mV9pL4tB7nR3wY6cE1' if i % 3 else 'plain'} deadbeefdeadbeef" for i in range(3000))
+    table = secrets.fit(documents(spark, 3))
+    (r,) = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string"), table).collect()
+    spans = brute_secrets(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    more = [(m.start(), m.end()) for m in re.finditer("zQ8xK2mV9pL4tB7nR3wY6cE1", text)]
+    assert [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("markov")] == more
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
