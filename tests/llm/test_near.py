@@ -137,6 +137,19 @@ def test_repeats(spark, window, base):
     assert got == brute_repeats(pairs, window)
 
 
+def test_a_text_of_several_blocks(spark):
+    rng = random.Random(5)
+    own = ["".join(rng.choice("abcdefgh") for _ in range(18)) for _ in range(480_000)]
+    own[300_000:300_040] = own[1000:1040]
+    text = " ".join(own)
+    assert len(text) > 2 * words.BLOCK
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, " ".join(own[470_000:]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.dedup(docs, 20).drop("kept").collect()}
+    assert got == {1: (480_000, 40), 2: (480_001, 480_000), 3: (10_000, 10_000)}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_repeats_by_an_exchange_in_two_steps(spark):
     docs = documents(spark, seed=9).repartition(9)
     pairs = [tuple(r) for r in docs.select("doc_id", "text").collect()]
