@@ -135,9 +135,9 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 SPANS = """spans AS (SELECT o_custkey || '/' || o_orderpriority AS id, 'c' || o_custkey AS file_path, min(date_diff('day', DATE '1970-01-01', o_orderdate::date))::integer AS start_line,
   max(date_diff('day', DATE '1970-01-01', o_orderdate::date))::integer AS end_line FROM orders GROUP BY o_custkey, o_orderpriority)"""
 
-#: Lines to look up: for each customer, a day from its number (in the SQL, for those whose number is divisible by 3); and some of no customer.
+#: Lines to look up: for each customer, a day from its number and some of no customer.
 PROBE = "(9000 + (c_custkey * 37) % 1500)::integer"
-PROBES = f"probes AS (SELECT c_custkey AS probe, 'c' || c_custkey AS file_path, {PROBE} AS line FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT -s_suppkey, 'none' || s_suppkey, 9500 FROM supplier)"
+PROBES = f"probes AS (SELECT c_custkey AS probe, 'c' || c_custkey AS file_path, {PROBE} AS line FROM customer UNION ALL SELECT -s_suppkey, 'none' || s_suppkey, 9500 FROM supplier)"
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:

@@ -98,8 +98,8 @@ def structural_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REFS = """refs AS (
-  SELECT DISTINCT 'order:' || l_orderkey AS source, p_name AS target_name, p_brand AS file_path, 'parts' AS repo_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0
-  UNION SELECT DISTINCT 'order:' || l_orderkey, s_name, 'x', 'suppliers' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 10 = 0),
+  SELECT DISTINCT 'order:' || l_orderkey AS source, p_name AS target_name, p_brand AS file_path, 'parts' AS repo_name FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT DISTINCT 'order:' || l_orderkey, s_name, 'x', 'suppliers' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 callables AS (SELECT 'part:' || p_partkey AS id, p_name AS name, p_brand AS file_path, 'parts' AS repo_name FROM part
   UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 's', 'suppliers' FROM supplier),
 one_ref AS (SELECT source, target_name, repo_name, min(file_path) AS file_path FROM refs GROUP BY ALL)"""
@@ -135,12 +135,12 @@ def resolve_unique_names(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_unique(refs.withColumns({"type": F.lit("EXTENDS"), "repo_name": F.lit("r")}), nodes).select("source", "target", "type")
 
 
-@query(f"""WITH {L.CALLS} SELECT 'r::' || source AS source, target FROM calls WHERE source LIKE 'part:%'""")
+@query(f"""WITH {L.EDGES} SELECT 'r::' || source AS source, CASE WHEN type = 'CONTAINS' THEN 'r::' ELSE '' END || target AS target FROM edges""")
 def globalise_ids(spark: SparkSession, d: str) -> DataFrame:
     return resolve.globalise(L.edges(spark, d), "r").select("source", "target")
 
 
-@query("""SELECT 'part:' || l_partkey AS source, l_orderkey || '/' || l_linenumber || '/' || l_suppkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size <= 10""")
+@query("""SELECT 'part:' || l_partkey AS source, l_orderkey || '/' || l_linenumber || '/' || l_suppkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10""")
 def link_findings(spark: SparkSession, d: str) -> DataFrame:
     items = L.table(spark, d, "lineitem")
     findings = items.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("node_id"))
@@ -268,10 +268,14 @@ def edge_total(spark: SparkSession, d: str) -> DataFrame:
     return stats.edge_total(L.edges(spark, d))
 
 
-@query("""SELECT source, count(*)::bigint AS total, round(coalesce(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1), 0)::double, 0), 9) AS precision,
+_METRICS = """count(*)::bigint AS total, round(coalesce(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1), 0)::double, 0), 9) AS precision,
   round(coalesce(avg(quality)::double, 0), 9) AS recall, round(coalesce(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1), 0)::double, 0), 9) AS unsupported_claim_rate,
   round(coalesce(avg(n_chars)::double, 0), 6) AS avg_latency_ms, round(coalesce(avg(n_chars * 0.5::double), 0), 6) AS avg_cost_usd
-FROM labels JOIN documents USING (doc_id) WHERE source = 'src1' GROUP BY source""")
+FROM labels JOIN documents USING (doc_id)"""
+
+
+@query(f"""SELECT source, {_METRICS} WHERE source = 'src1' GROUP BY source
+UNION ALL SELECT NULL::varchar AS source, {_METRICS}""")
 def evaluation_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = L.table(spark, d, "labels").join(L.table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
@@ -328,7 +332,7 @@ def line_caps(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "documents").select("doc_id", F.array_join(ranking.first_lines(F.col("text"), 2), "|").alias("preview"))
 
 
-@query("""SELECT c_mktsegment AS file_path, min(c_custkey)::bigint AS first_rank, string_agg(c_name, ',' ORDER BY c_custkey) AS members FROM customer WHERE c_custkey <= 50 GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment AS file_path, min(c_custkey)::bigint AS first_rank, string_agg(c_name, ',' ORDER BY c_custkey) AS members FROM customer GROUP BY c_mktsegment""")
 def group_by_file(spark: SparkSession, d: str) -> DataFrame:
     rows = L.table(spark, d, "customer").select(F.col("c_mktsegment").alias("file_path"), F.col("c_custkey").alias("rank"), F.col("c_name").alias("id"))
     return ranking.by_file(rows).select("file_path", "first_rank", F.array_join(F.transform("members", lambda m: m["id"]), ",").alias("members"))
@@ -434,19 +438,24 @@ def fulltext_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "benchmark").select("item_id", search.full_text_query(F.col("text")).alias("terms"))
 
 
-@query("""SELECT doc_id AS id, term, count(*)::bigint AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE source = 'src1') GROUP BY ALL""")
+@query("""SELECT doc_id AS id, term, count(*)::bigint AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL""")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(L.table(spark, d, "documents"), "doc_id", F.col("text")).select("id", "term", "tf")
 
 
 #: What full-text search looks for among the types of a user's events.
 _EVENT_TERMS = ["error", "signup"]
+_BEST_USERS = """x AS (SELECT user_id, count(*) AS len FROM events GROUP BY user_id), xc AS (SELECT count(*) AS n, avg(len) AS a FROM x),
+xh AS (SELECT user_id, event_type AS term, count(*) AS tf FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL), xf AS (SELECT term, count(*) AS df FROM xh GROUP BY term),
+xs AS (SELECT 'user:' || user_id AS id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / a))), 9) AS s
+  FROM xh JOIN x USING (user_id) JOIN xf USING (term), xc GROUP BY 1),
+lex AS (SELECT id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY s DESC, id) - 1) AS l FROM xs ORDER BY s DESC, id LIMIT 3)"""
 
 
 @query(f"""WITH {L.USERS}, sure AS (SELECT * FROM user_calls WHERE confidence >= 0.5), {_walk_sql("sure", _SEEDS, 2, False, "o")}, {_walk_sql("sure", _SEEDS, 2, True, "i")},
 c AS (SELECT id, max(s) AS call, min(distance) AS distance FROM (SELECT id, 0.25::double / distance AS s, distance FROM o UNION ALL SELECT id, 0.20::double / distance, distance FROM i) GROUP BY id),
 sem AS (SELECT 'user:' || user_id AS id, max(value) / 200.0::double AS s FROM events WHERE event_type = 'purchase' GROUP BY 1),
-lex AS (SELECT 'user:' || user_id AS id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY user_id) - 1) AS l FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 50 = 3)),
+{_BEST_USERS},
 ids AS (SELECT id FROM c UNION SELECT id FROM sem UNION SELECT id FROM lex UNION SELECT * FROM ({_SEEDS}))
 SELECT ids.id, round(CASE WHEN ids.id IN ({_SEEDS}) THEN 1.0::double WHEN greatest(coalesce(s, 0), coalesce(l, 0)) > 0 AND call IS NOT NULL THEN greatest(coalesce(s, 0), coalesce(l, 0)) + 0.10::double
   WHEN greatest(coalesce(s, 0), coalesce(l, 0)) > 0 THEN greatest(coalesce(s, 0), coalesce(l, 0)) ELSE call END, 9) AS score
@@ -486,7 +495,8 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "pages").select("page_id", T.content_hash(F.col("html")).alias("hash"))
 
 
-@query("""SELECT doc_id, 'METHOD ' || source || ' in ' || lang || '/' || source || ': ' || substr(regexp_replace(string_split(text, e'\\n')[1], '^\\s+|\\s+$', '', 'g'), 1, 512) AS node_text FROM documents WHERE length(string_split(text, e'\\n')[1]) > 0 AND regexp_matches(string_split(text, e'\\n')[1], '\\S')""")
+@query(r"""WITH t AS (SELECT doc_id, source, lang, coalesce(regexp_replace(string_split(text, e'\n')[1], '^\s+|\s+$', '', 'g'), source) AS line FROM documents)
+SELECT doc_id, 'METHOD ' || source || ' in ' || CASE WHEN line <> '' THEN lang || '/' || source || ': ' || substr(line, 1, 512) ELSE 'a\' || lang || '/' || source || '.java' END AS node_text FROM t""")
 def node_text(spark: SparkSession, d: str) -> DataFrame:
     line = F.element_at(F.split("text", "\n", -1), 1)
     path = F.concat(F.lit("a\\"), "lang", F.lit("/"), "source", F.lit(".java"))
@@ -543,7 +553,12 @@ def epicentre(spark: SparkSession, d: str) -> DataFrame:
     return X.epicentres(X.frames(L.traces(spark, d))).select("trace_id", "file_path", "line")
 
 
-@query("""SELECT p_partkey AS trace_id, 'Svc' || p_partkey || '.java:' || p_partkey || ';Store' || p_partkey || ':' || p_partkey || ';or:' || p_partkey || ';Util' || p_partkey || ':4' AS hints FROM part WHERE p_partkey % 5 = 4""")
+_HINT = r"(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)"
+
+
+@query(f"""WITH {L.TRACES}, found AS (SELECT trace_id, regexp_extract_all(text, '{_HINT}', 1) AS file, regexp_extract_all(text, '{_HINT}', 2) AS line FROM traces)
+SELECT trace_id, concat_ws(';', nullif(array_to_string(list_transform(generate_series(1, len(file)), lambda i: file[i] || ':' || line[i]), ';'), ''),
+  CASE WHEN trace_id % 5 = 4 THEN 'Store' || trace_id || ':' || trace_id || ';or:' || trace_id || ';Util' || trace_id || ':4' END) AS hints FROM found""")
 def line_hints(spark: SparkSession, d: str) -> DataFrame:
     hints = F.array_join(F.transform(X.line_hints(F.col("text")), lambda h: F.concat_ws(":", h["file_hint"], h["line"].cast("string"))), ";")
     return L.traces(spark, d).select("trace_id", hints.alias("hints"))
