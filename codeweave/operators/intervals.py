@@ -8,25 +8,42 @@ from pyspark.sql import functions as F
 #: Rank of nodes that start above the line but do not enclose it.
 NOT_ENCLOSING = 999_999
 TOP = 3
+#: Probes up to which hints are broadcast, and characters by which more of them are joined.
+FEW, TAIL = 1000, 8
 
 
 def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] | None = None) -> DataFrame:
     """The nodes of each probe, best first: the innermost that enclose the line, then the nearest that start above it.
 
     probes: (probe, line) and either the columns `on`, equal in both tables, or `file_hint`, a part of the path. Equal
-    columns make it a hash join; a hint is compared with all paths, so it is for few probes.
+    columns make it a hash join. Hints are matched with the distinct paths alone, in memory where they are few, else by
+    the hint's last `TAIL` characters, at each place of a path where these may end.
     """
     if on:
         pairs = probes.join(nodes, on).where("start_line <= line")
     else:
-        few = F.broadcast(probes) if probes.limit(1001).count() <= 1000 else probes
-        pairs = nodes.join(few, (F.col("start_line") <= F.col("line")) & F.col("file_path").contains(F.col("file_hint")))
+        pairs = nodes.join(_matched(nodes, probes), "file_path").where("start_line <= line")
     encloses = (F.col("end_line") >= F.col("line")) & (F.col("end_line") > F.col("start_line"))
     span = F.when(encloses, F.col("end_line") - F.col("start_line")).otherwise(NOT_ENCLOSING)
     order = Window.partitionBy("probe").orderBy("span", F.desc("start_line"), "id")
     return pairs.withColumns({"span": span, "encloses": encloses}).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _matched(nodes: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes, once for each path that has the hint in it."""
+    paths = nodes.select("file_path").distinct()
+    if probes.limit(FEW + 1).count() <= FEW:
+        return paths.join(F.broadcast(probes), F.col("file_path").contains(F.col("file_hint")))
+    # A hint in a path ends at some place of it, so their last characters agree there: a join on equality.
+    long = probes.where(F.length("file_hint") >= TAIL).withColumn("_tail", F.right("file_hint", F.lit(TAIL)))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("file_path") - TAIL + 1), lambda i: F.substring(F.col("file_path"), i, F.lit(TAIL)))
+    cut = paths.where(F.length("file_path") >= TAIL).select("file_path", F.explode(F.array_distinct(pieces)).alias("_tail"))
+    found = cut.join(long, "_tail").where(F.col("file_path").contains(F.col("file_hint"))).drop("_tail")
+    # Shorter hints tell little: each is held against all paths.
+    short = probes.where(F.length("file_hint") < TAIL)
+    return found.unionByName(paths.join(short, F.col("file_path").contains(F.col("file_hint"))))
+
+
 def batch_lookup(nodes: DataFrame, probes: DataFrame, on: list[str] | None = None) -> DataFrame:
     """The best node of each probe; a probe without one keeps its row, with `found` false."""
     best = at_line(nodes, probes, 1, on).select("probe", "id", "span", "encloses")

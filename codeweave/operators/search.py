@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +50,15 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int) -> DataFrame:
     """(id, score) of the k best documents that have any of the terms.
 
-    One pass counts lengths and the query's terms alone, so what is grouped is a row for each document that has a term, not the
-    whole index.
+    Two passes over the text and no shuffle: one counts documents, lengths and, for each of the terms, the documents that have it;
+    one scores each document by itself.
     """
     wanted = sorted({t.lower() for t in terms})
     if not wanted:
@@ -60,11 +66,12 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int) -
     tokens = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)).alias("terms")).select(
         "id", F.size("terms").alias("len"), F.filter("terms", lambda t: t.isin(wanted)).alias("own")
     )
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = tokens.where(F.size("own") > 0).select("id", "len", F.explode("own").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # `df` has a row for each term of the query, `corpus` one row: both are bounded.
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus), how="cross").groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    has = [F.count_if(F.array_contains("own", t)).alias(f"df{i}") for i, t in enumerate(wanted)]
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *has).first()  # one row
+    score = F.lit(0.0)
+    for i, t in enumerate(wanted):
+        df = corpus[f"df{i}"]
+        idf = math.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5))
+        tf = F.size(F.filter("own", _is(t)))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(corpus["avg_len"] or 1.0)))
+    return tokens.where(F.size("own") > 0).select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -18,11 +18,17 @@ def clamp(depth: float, cap: int) -> int:
     return int(max(1, min(depth, cap)))
 
 
+def settled(df: DataFrame, most: int = SEEDS) -> DataFrame:
+    """The rows as a local table, to be broadcast, where there are at most `most`: their plan runs once, not at each use."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, inbound: bool = False) -> DataFrame:
     """(id, distance) of the nodes that 1 to `hops` edges reach from the seeds (id), seeds in cycles included."""
     a, b = ("target", "source") if inbound else ("source", "target")
     steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    level = F.broadcast(seeds.select("id").distinct()) if seeds.limit(SEEDS + 1).count() <= SEEDS else seeds.select("id").distinct()
+    level = settled(seeds.select("id").distinct())
     out: DataFrame | None = None
     for d in range(1, hops + 1):
         level = steps.join(level, F.col("_from") == F.col("id"), "left_semi").select(F.col("_to").alias("id")).distinct()
@@ -35,7 +41,7 @@ def calls_graph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int
     """(id, direction, distance): callees and callers of the seeds over confident calls, at most 3 hops. Ends are
     methods and functions of the repository that are no seeds; what lies between may be anything."""
     calls = confident(edges.where("type = 'CALLS'"), least)
-    hops = clamp(depth, 3)
+    hops, seeds = clamp(depth, 3), settled(seeds.select("id").distinct())
     both = walk(calls, seeds, hops).withColumn("direction", F.lit("callee")).unionAll(walk(calls, seeds, hops, True).withColumn("direction", F.lit("caller")))
     ends = in_repo(nodes.where(F.col("type").isin("METHOD", "FUNCTION")), repo).select("id")
     return both.join(seeds.select("id"), "id", "left_anti").join(ends, "id", "left_semi").select("id", "direction", "distance")
@@ -57,17 +63,24 @@ def _related(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int, inbou
 
 def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes that containment, definitions and calls reach from the seeds in at most 3 hops, without the seeds."""
+    seeds = settled(seeds.select("id").distinct())
     found = walk(edges.where(F.col("type").isin("CONTAINS", "DEFINES", "CALLS")), seeds, clamp(depth, 3))
-    return nodes.join(found.join(seeds.select("id"), "id", "left_anti"), "id")
+    return nodes.join(found.join(seeds, "id", "left_anti"), "id")
 
 
 def call_counts(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, callers, callees): distinct neighbours over calls; 0 where there are none, no row for unknown ids."""
-    calls = edges.where("type = 'CALLS'").select("source", "target").distinct()
-    known = nodes.select("id").join(ids.select("id").distinct(), "id", "left_semi")
-    into = calls.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers"))
-    out = calls.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("callees"))
-    return known.join(into, "id", "left").join(out, "id", "left").select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))
+    wanted = settled(ids.select("id").distinct())
+    known = nodes.select("id").join(wanted, "id", "left_semi")
+    calls = edges.where("type = 'CALLS'")
+
+    def degree(end: str, other: str, name: str) -> DataFrame:
+        # Only edges at the wanted ids are counted.
+        own = calls.select(F.col(end).alias("id"), F.col(other).alias("_other")).join(wanted, "id", "left_semi")
+        return own.distinct().groupBy("id").agg(F.count("*").alias(name))
+
+    found = known.join(degree("target", "source", "callers"), "id", "left").join(degree("source", "target", "callees"), "id", "left")
+    return found.select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))
 
 
 def paths(edges: DataFrame, seeds: DataFrame, types: list[str], hops: int) -> DataFrame:

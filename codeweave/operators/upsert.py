@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resolve import last_of
+
 
 def merge_nodes(base: DataFrame, delta: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """One row for each key: of every column the latest value of the delta that is not null, by `order`, else the base's."""
@@ -15,12 +17,16 @@ def merge_nodes(base: DataFrame, delta: DataFrame, order: list[str], key: str =
     return joined.select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in delta.columns else F.col(c) for c in columns])
 
 
-def merge_edges(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """One edge for each (source, type, target); the delta's properties replace the base's."""
+def merge_edges(base: DataFrame, delta: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One edge for each (source, type, target); the delta's properties replace the base's, the later by `order` those
+    before, and the largest where no order says."""
     key = ["source", "type", "target"]
     rest = [c for c in base.columns if c not in key]
-    both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", *[F.coalesce(c, F.lit("")).cast("string") if t == "string" else F.col(c) for c, t in base.select(*rest).dtypes])).alias("_v")).select(*key, "_v.*").select(*base.columns)
+    places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order or [])]
+    new = delta.select(*[c for c in base.columns if c in delta.columns], *places, F.lit(1).alias("_new"))
+    both = base.withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    turn = F.struct("_new", *[f"_order{i}" for i in range(len(places))], *[F.coalesce(c, F.lit("")) if t == "string" else F.col(c) for c, t in base.select(*rest).dtypes])
+    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), turn).alias("_v")).select(*key, "_v.*").select(*base.columns)
 
 
 def clear_repo(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
@@ -31,8 +37,9 @@ def clear_repo(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame
 
 
 def set_embeddings(embeddings: DataFrame, delta: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Embeddings (id, embedding) with those of the delta put in their place; ids that no node has are ignored."""
-    known = delta.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    """Embeddings (id, embedding) with those of the delta put in their place, of several for one id the last by `ordinal` if the
+    delta has one; ids that no node has are ignored."""
+    known = last_of(delta.join(nodes.select("id"), "id", "left_semi"), ["id"])
     return embeddings.join(known.select("id"), "id", "left_anti").unionByName(known.select("id", "embedding"))
 
 
@@ -58,6 +65,13 @@ def evidence_entities(incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_findings(base: DataFrame, delta: DataFrame, nodes: DataFrame, repo: str) -> DataFrame:
-    """Findings by id, the delta's over the base's, of nodes that exist, stamped with the repository."""
-    known = delta.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").withColumn("repo_name", F.lit(repo)).dropDuplicates(["id"])
+    """Findings by id, the delta's over the base's and the last of the delta by `ordinal` if it has one, of nodes that exist,
+    stamped with the repository."""
+    known = last_of(delta.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").withColumn("repo_name", F.lit(repo)), ["id"])
     return base.join(known.select("id"), "id", "left_anti").unionByName(known.select(*base.columns))
+
+
+def merge_rows(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
+    """Rows by key, the delta's over the base's as a whole, the last of the delta by `ordinal` if it has one."""
+    new = last_of(delta, [key])
+    return base.join(new.select(key), key, "left_anti").unionByName(new.select(*base.columns))

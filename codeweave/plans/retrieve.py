@@ -24,7 +24,7 @@ def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None =
         exact = exact.unionAll(filters.by_name(nodes, symbol, repo).select("id"))
     if file_path:
         exact = exact.unionAll(filters.in_file(nodes, file_path, repo).select("id"))
-    exact = exact.distinct()
+    exact = traverse.settled(exact.distinct())
     none = spark.createDataFrame([], "id string, score double")
     if not question or ((symbol or file_path) and not exact.isEmpty()):
         return exact, none, none
@@ -32,21 +32,22 @@ def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None =
     semantic = none
     if embeddings is not None and vector is not None:
         # A search within one repository has no final limit; one over all stops at the seeds.
-        semantic = search.vector_search(embeddings, vector, k=None if repo else SEMANTIC_SEEDS, ids=own if repo else None)
+        hits = search.vector_search(embeddings, vector, k=None if repo else SEMANTIC_SEEDS, ids=own if repo else None)
+        semantic = traverse.settled(hits)
     terms = spark.range(1).select(search.query_terms(F.lit(question)).alias("t")).first()["t"]
-    hits = search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS) if terms else none
+    hits = traverse.settled(search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS)) if terms else none
     order = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1  # three rows
     return exact, semantic, hits.withColumn("score", fusion.lexical_score(order)) if terms else none
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, exact: DataFrame, semantic: DataFrame, lexical: DataFrame, depth: int = 1, limit: int = 4, repo: str | None = None, node_type: str | None = None) -> DataFrame:
     """(id, type, name, file_path, score, distance, callers, callees), best first, from seeds; methods and functions that have source alone."""
-    start = exact.select("id").unionAll(semantic.select("id")).unionAll(lexical.select("id")).distinct()
+    start = exact.select("id").unionAll(semantic.select("id")).unionAll(lexical.select("id"))
     calls = fusion.call_scores(traverse.calls_graph(nodes, edges, start, depth, repo))
     fused = fusion.fuse(exact, semantic, lexical, calls)
     found = filters.results(nodes, node_type).join(fused, "id")
-    if "first_line" in nodes.columns:
+    if "first_line" in nodes.columns:  # what lenses without source do not have
         lines = ranking.first_lines(F.coalesce("source_code", "first_line", F.lit("")), SOURCE_LINES)
         found = found.withColumn("source_lines", lines).where((F.size("source_lines") > 0) | (F.coalesce("first_line", F.lit("")) != ""))
-    top = ranking.top_results(found, limit)
+    top = traverse.settled(ranking.top_results(found, limit))
     return top.join(traverse.call_counts(nodes, edges, top), "id")
