@@ -15,6 +15,15 @@ FIRST_LINE = 500
 TEXT_CAP = 512
 
 
+#: What a body's constants, string literals and getters look like (fixed values).
+CONSTANT = r"\bAdapterConstants\.\w+|getConfigurationItem\([^)]+\)"
+CONSTANT_WRAPPER = r"getConfigurationItem\(|AdapterConstants\.|\)"
+LITERAL = r'"([^"\\]{8,100})"'
+NOT_READABLE = r"^https?://|^\$\{|^[A-Z_]{6,}$"
+GETTER = r"\.get[A-Z][a-zA-Z]{2,}\(\)"
+GETTER_WRAPPER = r"^\.|get|\(\)"
+
+
 def trim_all(x: Column) -> Column:
     """Without any white space at the ends."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -65,21 +74,21 @@ def location(path: Column) -> Column:
 
 def config_constants(body: Column) -> Column:
     """Up to four names of configuration constants that a body reads."""
-    found = F.regexp_extract_all(body, F.lit(r"\bAdapterConstants\.\w+|getConfigurationItem\([^)]+\)"), F.lit(0))
-    bare = F.transform(found, lambda m: trim_all(F.regexp_replace(m, r"getConfigurationItem\(|AdapterConstants\.|\)", "")))
+    found = F.regexp_extract_all(body, F.lit(CONSTANT), F.lit(0))
+    bare = F.transform(found, lambda m: trim_all(F.regexp_replace(m, CONSTANT_WRAPPER, "")))
     return F.slice(F.filter(bare, lambda m: m != ""), 1, 4)
 
 
 def key_strings(body: Column) -> Column:
     """Up to three readable string literals of 8 to 100 characters: with three letters in a row, no URL, no template, no constant's name."""
-    found = F.transform(F.regexp_extract_all(body, F.lit(r'"([^"\\]{8,100})"'), F.lit(1)), trim_all)
-    return F.slice(F.filter(found, lambda s: s.rlike("[A-Za-z]{3}") & ~s.rlike(r"^https?://|^\$\{|^[A-Z_]{6,}$")), 1, 3)
+    found = F.transform(F.regexp_extract_all(body, F.lit(LITERAL), F.lit(1)), trim_all)
+    return F.slice(F.filter(found, lambda s: s.rlike("[A-Za-z]{3}") & ~s.rlike(NOT_READABLE)), 1, 3)
 
 
 def getter_names(body: Column) -> Column:
     """Up to four names of getters; every 'get' in them goes, not the first alone."""
-    found = F.regexp_extract_all(body, F.lit(r"\.get[A-Z][a-zA-Z]{2,}\(\)"), F.lit(0))
-    return F.slice(F.transform(found, lambda m: F.regexp_replace(m, r"^\.|get|\(\)", "")), 1, 4)
+    found = F.regexp_extract_all(body, F.lit(GETTER), F.lit(0))
+    return F.slice(F.transform(found, lambda m: F.regexp_replace(m, GETTER_WRAPPER, "")), 1, 4)
 
 
 def node_text(kind: Column, name: Column, path: Column, signature: Column, body: Column) -> Column:
@@ -92,10 +101,6 @@ def node_text(kind: Column, name: Column, path: Column, signature: Column, body:
     return F.concat(kind, F.lit(" "), name, F.lit(" in "), where)
 
 
-def plural(n: Column, word: str) -> Column:
-    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
-
-
 def extensions_option(value: str) -> list[str]:
     """'ts, .js' as ['.ts', '.js']; case stays as it is."""
     parts = [p.strip() for p in value.split(",")]

@@ -1,8 +1,9 @@
-"""The tools of the server as methods that return DataFrames; their text is made last."""
+"""The tools of the server as methods that return DataFrames, and `ask`, which gives a tool's text."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,16 @@ from ..functions import embed
 from ..operators import filters, intervals, ranking, stats, upsert
 from ..sources import scan
 from ..sources.graph_store import GraphStore
-from . import diagnose, index, retrieve
+from . import diagnose, index, replies, retrieve
 
 _TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "findings": schema.FINDINGS, "incidents": schema.INCIDENTS, "entities": schema.ENTITIES, "links": "source string, target string, type string", "evaluations": schema.EVALUATIONS}
 MAX_NODES, MAX_LINES = 10, 100
 
 
 class CodeGraph:
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.store = spark, GraphStore(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, counter: replies.Counter | None = None, analyse: Callable[[str], str] | None = None) -> None:
+        """`counter` counts the tokens of requests and replies, `analyse` is asked for a cause; neither is there by default."""
+        self.spark, self.store, self.counter, self.analyse = spark, GraphStore(spark, folder), counter, analyse
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name, _TABLES[name])
@@ -38,16 +40,13 @@ class CodeGraph:
             records = self.store.read("records", index._RECORD)
             nodes, edges = index.build(records, repo, root, level)
             raw = filters.level_edges(records.where("record = 'edge'").select("type"), level)
-        old_nodes, old_edges = upsert.clear_repo(self.table("nodes"), self.table("edges"), repo)
-        gone = self.table("nodes").where(F.col("repo_name") == repo).select("id")
-        links = self.table("links").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target", "type")
-        vectors = self.table("embeddings").join(gone, "id", "left_anti")
-        self.store.write("links", links)
-        self.store.write("embeddings", vectors)
-        self.store.write("edges", old_edges.unionByName(edges))
-        self.store.write("nodes", old_nodes.unionByName(nodes))
-        own = self.table("nodes").where(F.col("repo_name") == repo)
-        self.store.write("embeddings", self.table("embeddings").unionByName(embed.embed_nodes(own, level, embedder)))
+        # Incidents and findings stay, their edges to nodes of the old state go.
+        gone = self.store.read("nodes", schema.NODES, repo).select(F.col("id").alias("target"))
+        self.store.write("links", self.table("links").join(gone, "target", "left_anti").select("source", "target", "type"))
+        self.store.write("nodes", nodes, repo)
+        self.store.write("edges", edges, repo)
+        own = self.store.read("nodes", schema.NODES, repo)
+        self.store.write("embeddings", embed.embed_nodes(own, level, embedder), repo)
         return stats.index_summary(files.select("rel_path"), own, raw)
 
     def index_github(self, url: str, folder: str, present: bool = False, run=None) -> DataFrame:
@@ -57,6 +56,9 @@ class CodeGraph:
         run(scan.clone_command(url, folder, present))
         return self.index_repo(folder, scan.parse_repository(url)[1])
 
+    def embeddings_of(self, repo: str) -> int:
+        return self.store.read("embeddings", _TABLES["embeddings"], repo).count()
+
     def reset_index(self) -> None:
         self.store.drop("embeddings")
 
@@ -78,7 +80,8 @@ class CodeGraph:
         nodes = filters.in_repo(self.table("nodes"), repo)
         found = intervals.batch_lookup(nodes, asked)
         body = F.array_join(F.slice(F.split(F.coalesce("source_code", F.lit("")), "\n", -1), 1, max_lines), "\n")
-        return found.join(nodes.select("id", "type", "name", "file_path", "start_line", "end_line", body.alias("source")), "id", "left").orderBy("probe")
+        known = filters.project(nodes).drop("source_code", "repo_path", "hash").join(nodes.select("id", body.alias("source")), "id")
+        return found.join(known, "id", "left").orderBy("probe")
 
     def get_node_context(self, file: str, line: int, repo: str | None = None, max_lines: int = 20) -> DataFrame:
         return self.get_nodes_context([(file, line)], repo, max_lines)
@@ -109,7 +112,7 @@ class CodeGraph:
         links = links.unionByName(link_evidence(new, self.table("nodes")))
         self.store.write("entities", ranking.first_of(entities.unionByName(self.table("entities")), ["id"], [F.desc_nulls_last("version")]))
         self.store.write("links", self.table("links").unionByName(links).distinct())
-        self.store.write("incidents", self.table("incidents").where(F.col("id") != incident["id"]).unionByName(new))
+        self.store.write("incidents", upsert.merge_rows(self.table("incidents"), new))
 
     def add_findings(self, findings: DataFrame, repo: str) -> None:
         self.store.write("findings", upsert.merge_findings(self.table("findings"), findings, self.table("nodes"), repo))
@@ -117,30 +120,47 @@ class CodeGraph:
     def record_evaluation(self, evaluation: dict) -> None:
         fields = [c.split()[0] for c in schema.EVALUATIONS.split(", ")]
         new = self.spark.createDataFrame([tuple(evaluation.get(c) for c in fields)], schema.EVALUATIONS)
-        self.store.write("evaluations", self.table("evaluations").where(F.col("id") != evaluation["id"]).unionByName(new))
+        self.store.write("evaluations", upsert.merge_rows(self.table("evaluations"), new))
 
     def get_evaluation_metrics(self, repo: str | None = None) -> str:
         return json.dumps(stats.evaluation_metrics(self.table("evaluations"), repo).first().asDict())
 
     # --- text ---------------------------------------------------------------------------------------------------------
 
-    @staticmethod
-    def format_results(results: DataFrame) -> str:
-        """Results by file, with degrees; for people."""
-        rows, out, last = results.orderBy(F.desc("score"), "id").collect(), [], None
-        for r in sorted(rows, key=lambda r: min(i for i, x in enumerate(rows) if x["file_path"] == r["file_path"])):
-            if r["file_path"] != last:
-                last = r["file_path"]
-                out.append(last)
-            out.append(f"  {r['type']} {r['name']}  score {r['score']:.2f}  {_plural(r['callers'], 'caller')}, {_plural(r['callees'], 'callee')}")
-        return "\n".join(out) or "no results"
-
-    @staticmethod
-    def request_json(**params: object) -> str:
-        return json.dumps({k: v for k, v in params.items() if v is not None})
-
-
-def _plural(n: int, word: str) -> str:
-    return f"{n} {word}{'' if n == 1 else 's'}"
-
-
+    def ask(self, tool: str, **params) -> replies.Reply:
+        """A tool's reply as text, with what it costs where there is a counter."""
+        tools = {
+            "index_repo": self._index_text, "index_github": self._github_text, "query_codebase": lambda **p: replies.results(self.query_codebase(**p), p.get("repo")),
+            "get_node_context": lambda **p: replies.node(self.get_node_context(**p)), "get_nodes_context": lambda **p: replies.nodes(self.get_nodes_context(**p)),
+            "diagnose_issue": self._diagnosis_text, "ingest_incident_evidence": self._evidence_text, "record_evaluation": self._evaluation_text,
+            "get_evaluation_metrics": self.get_evaluation_metrics, "get_stats": lambda: replies.statistics(self.get_stats(), self.edge_total().first()["edges"], self.store.folder),
+        }
+        if tool not in tools:
+            raise ValueError(f"no such tool: {tool}")
+        counted = self.counter if tool in ("query_codebase", "get_node_context", "get_nodes_context", "diagnose_issue") else None
+        return replies.reply(tools[tool](**params), replies.request_json(**{k: v for k, v in params.items() if not callable(v)}), counted)
+
+    def _index_text(self, **params) -> str:
+        done = self.index_repo(**params).first()
+        return f"Indexed {params['repo']}: {done['files_scanned']} files · {done['nodes_found']} nodes · {done['edges_found']} edges · {self.embeddings_of(params['repo'])} embeddings"
+
+    def _github_text(self, **params) -> str:
+        done, repo = self.index_github(**params).first(), scan.parse_repository(params["url"])[1]
+        return f"Indexed {repo}: {done['files_scanned']} files · {done['nodes_found']} nodes · {done['edges_found']} edges · {self.embeddings_of(repo)} embeddings"
+
+    def _diagnosis_text(self, question: str, repo: str | None = None, embedder: str | None = None, runtime: str | None = None, **where) -> str:
+        context = self.diagnose_issue(question, repo, embedder, **where)
+        prompt = diagnose.prompt(context, question, where.get("error"), where.get("trace"), runtime) if self.analyse else ""
+        return replies.diagnosis(context, self.analyse, prompt)
+
+    def _evidence_text(self, incident: dict, file: str | None = None, line: int | None = None) -> str:
+        self.ingest_incident_evidence(incident, file, line)
+        found = self.get_node_context(file, line, incident.get("repo_name")).where("found").first() if file and line else None
+        return replies.stored_evidence(incident["id"], found)
+
+    def _evaluation_text(self, evaluation: dict) -> str:
+        self.record_evaluation(evaluation)
+        return replies.stored_evaluation(evaluation["id"])
+
+    format_results = staticmethod(replies.results)
+    request_json = staticmethod(replies.request_json)

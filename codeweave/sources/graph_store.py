@@ -1,16 +1,17 @@
-"""The graph as partitioned Parquet below one folder, replaced as a whole at each write of a table.
+"""The graph as Parquet below one folder, each table in parts that are replaced as wholes.
 
-`nodes` and `edges` lie in folders by `repo_name` and by `type`, so that filters on them prune files. A re-index writes the
-repository's partitions anew; readers see a table's old state until its new one is complete.
+`nodes`, `edges` and `embeddings` have a part for each repository, so indexing one writes nothing of the others; other tables are one part.
+A part is a folder of numbered states, of which the newest complete one counts: readers see the old state until the new one is there.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTITIONS = {"nodes": ["repo_name"], "edges": ["type"]}
+ALL = "all"
 
 
 class GraphStore:
@@ -22,30 +23,38 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
-    def _state(self, table: str) -> str | None:
-        """The folder of the table's newest complete state."""
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        top = path(f"{self.folder}/{table}")
-        if not fs.exists(top):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(top) if fs.exists(path(f"{s.getPath().toString()}/_SUCCESS")))
-        return f"{self.folder}/{table}/{names[-1]}" if names else None
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        at = self._state(table)
-        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(at)
-
-    def write(self, table: str, df: DataFrame) -> None:
-        """Replaces a table; the state before goes once the new one is complete."""
+        return sorted(s.getPath().getName() for s in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
+
+    def _state(self, table: str, part: str) -> str | None:
+        """The folder of a part's newest complete state."""
+        fs, path = self._fs()
+        top = f"{self.folder}/{table}/{part}"
+        done = [n for n in self._names(top) if fs.exists(path(f"{top}/{n}/_SUCCESS"))]
+        return f"{top}/{done[-1]}" if done else None
+
+    def read(self, table: str, schema: str, part: str | None = None) -> DataFrame:
+        """A table, or one part of it."""
+        parts = self._names(f"{self.folder}/{table}") if part is None else [_folder(part)]
+        at = [s for s in (self._state(table, p) for p in parts) if s]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def write(self, table: str, df: DataFrame, part: str = ALL) -> None:
+        """Replaces a part; the state before goes once the new one is complete."""
         fs, path = self._fs()
-        old = self._state(table)
+        name = _folder(part)
+        old = self._state(table, name)
         number = int(old.rpartition("/")[2].split("-")[0]) + 1 if old else 0
-        parts = [c for c in PARTITIONS.get(table, []) if c in df.columns]
-        writer = df.write.partitionBy(*parts) if parts else df.write
-        writer.parquet(f"{self.folder}/{table}/{number:09d}-{uuid.uuid4().hex[:8]}")
+        df.write.parquet(f"{self.folder}/{table}/{name}/{number:09d}-{uuid.uuid4().hex[:8]}")
         if old:
             fs.delete(path(old), True)
 
     def drop(self, table: str) -> None:
         fs, path = self._fs()
         fs.delete(path(f"{self.folder}/{table}"), True)
+
+
+def _folder(part: str) -> str:
+    """A part's name as a folder's; names of hidden files would not be read."""
+    return "p-" + quote(part, safe="")
