@@ -94,3 +94,17 @@ def paths(edges: DataFrame, seeds: DataFrame, types: list[str], hops: int) -> Da
         here = level.select(F.col("_at").alias("id"), "path", F.lit(d).alias("hops"))
         out = here if out is None else out.unionAll(here)
     return out
+
+
+def collected_callers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, callers): the distinct ids that call each method or function, in order; empty where none does."""
+    calls = edges.where("type = 'CALLS'").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("callers"))
+    own = nodes.where(F.col("type").isin("METHOD", "FUNCTION")).select("id")
+    return own.join(calls, "id", "left").select("id", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
+
+
+def classes_by_package(nodes: DataFrame) -> DataFrame:
+    """(package, id, name, file_path) of the classes and interfaces whose qualified name has a package."""
+    package = F.regexp_extract("qualified_name", r"^(.*)\.[^.]+$", 1)
+    found = nodes.where(F.col("type").isin("CLASS", "INTERFACE")).select(package.alias("package"), "id", "name", "file_path")
+    return found.where(F.col("package") != "")
