@@ -11,6 +11,7 @@ import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,27 @@ def folder(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     slim(spark)
-    return posixpath.join(_qualified(spark, base), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(_qualified(spark, base), f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+#: Places that this process has given out, but for those that are dropped again.
+_MADE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Drops at its end the places that were given out within, but for those of the names to keep. What lies in them must
+    have been used by then: a plan that still reads them would fail."""
+    before = len(_MADE)
+    yield
+    drop(spark, *[p for p in _MADE[before:] if posixpath.basename(p).rpartition("-")[0] not in keep])
+
+
+def clear(spark: SparkSession) -> None:
+    """Drops all places that this process has given out. For callers that are done with the results: these are read from there."""
+    drop(spark, *_MADE)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -45,9 +66,11 @@ def slim(spark: SparkSession) -> None:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Removes tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    for path in paths:
+    for path in list(paths):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -114,4 +137,7 @@ def _libc_trim() -> Callable[[int], int]:
 
 def _trim() -> None:
     """Freed arrays stay with a worker otherwise, and workers outlive their stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     _libc_trim()(0)

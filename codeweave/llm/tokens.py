@@ -20,13 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that the table holds; beyond them it goes back to the first quarter, which came first as it comes often.
-TABLE_CHUNKS = 1_500_000
+TABLE_CHUNKS = 700_000
 #: Mean length of a text's chunks, in characters, beyond which it goes through whole: it would fill the table for nothing.
 TABLE_CHARS = 64
 #: Text that is cut and looked up at once, in bytes.
-GATHER_BYTES = 12 << 20
+GATHER_BYTES = 4 << 20
 #: Chunks whose ids are put together at once.
-ASSEMBLE = 1 << 20
+ASSEMBLE = 1 << 18
 
 _LINE, _NONE = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
 _ODD = re.compile(r"[^\S\n ]|[\x1c-\x1f]")

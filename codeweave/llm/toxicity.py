@@ -161,7 +161,7 @@ def held_out(doc_id) -> F.Column:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text the least of two hashes over all its runs of RUN words; texts of J in common agree in each by a chance of J."""
-    for batch in batches:
+    for batch in shared.pieces(batches, 64):
         w = words([(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], lower=True)
         own, at = shingles(w, RUN)
         least = []

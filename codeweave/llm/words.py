@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _B, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _B2, _C2 = 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 #: Bytes, or words, that are worked on at once.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
