@@ -134,6 +134,11 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
     """
     if not 50 < percent <= 100:
         raise ValueError("the coefficient must be above a half")
+    with shared.scratch(docs.sparkSession, "sets", "classes", "stars", "components"):
+        return _join(docs, k, percent, frequent, per_class, few, bundle)
+
+
+def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int, few: int, bundle: int) -> DataFrame:
     spark = docs.sparkSession
     chunked = C.cut(docs)
     total = chunked.agg(F.sum("n_words")).first()[0] or 0

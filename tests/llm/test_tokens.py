@@ -23,6 +23,21 @@ def test_encoder_equals_the_library(texts):
         assert got.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_texts_of_many_scripts():
+    enc = T.encoder(PATH)
+    own = ["Привет, мир! Ёлка\nи ещё", "日本語 の テキスト です。", "مرحبا بالعالم كيف", "नमस्ते दुनिया", "👩‍👩‍👧 family e\u0301 café naïve", "한국어 문장 입니다", "Ελληνικά, κείμενο; ναι", "a\u00a0b c\u3000d", "x\u2028y z", "שלום עולם", "tab\there two  spaces", "don't we'll it's"]
+    texts = [" ".join(own[i:] + own[:i]) for i in range(len(own))] + own + [t * 3 for t in own]
+    for got, text in zip(enc.encode(texts), texts, strict=True):
+        assert got.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_goes_whole_where_chunks_do_not_come_apart():
+    enc = T.Encoder(PATH)
+    enc.opens[:] = False  # as if the library joined all chunks
+    assert enc.encode(["one two three", None, ""])[0].tolist() == enc.tokenizer.encode("one two three", add_special_tokens=False).ids
+    assert not enc.splits
+
+
 def test_encoder_keeps_its_table_bounded(monkeypatch):
     monkeypatch.setattr(T, "TABLE_CHUNKS", 50)
     enc = T.Encoder(PATH)
@@ -82,6 +97,19 @@ def test_stream_of_documents(spark):
     assert token_stream.stream(docs.limit(0), PATH).count() == 0
 
 
+def test_stream_of_rows_that_share_an_id(spark):
+    rows = [(None if i % 3 == 0 else i % 4, " ".join(["word"] * (i % 7)) + f" {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    runs = [sorted(tuple(r) for r in token_stream.stream(docs.repartition(n), PATH, 2, file_ids=60).select("start", "doc_id", "n_tokens", "ids_crc32").collect()) for n in (1, 9)]
+    assert runs[0] == runs[1]
+    at = 0
+    for start, _, n, _ in runs[0]:
+        assert start == at
+        at += n
+    ids = [r[1] for r in runs[0]]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and len(ids) == 65
+
+
 def test_packing_of_documents(spark):
     docs = documents(spark)
     docs = docs.unionAll(docs.where("doc_id = 9"))  # a repeated row
