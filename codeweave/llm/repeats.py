@@ -80,13 +80,23 @@ def _order(row: dict, w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[doc], (first - w.bounds[doc]).astype(np.int64)
 
 
+def _ordered(keys: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by keys, and where keys are equal by the rest, which most are not asked for."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(keys) else np.zeros(0, np.int64)
+    own = order[tied]
+    order[tied] = own[np.lexsort([x[own] for x in (*reversed(then), keys)])] if len(own) else own
+    return order
+
+
 def _firsts(row: dict, w: Words, keys: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct windows of a chunk, ascending by hash; second hash, doc_id and start of the first occurrence of each; and
     that occurrence's number among the windows. Windows of one hash and different second hashes all stay: then a
     key comes more than once, which packs as a difference of 0."""
     ids, start = _order(row, w, first)
     other = second(w, window)[first]
-    order = np.lexsort((np.arange(len(keys)), start, ids, other, keys))
+    order = _ordered(keys, other, ids, start, np.arange(len(keys)))
     new = np.ones(len(keys), bool)
     new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
     pick = order[new]
@@ -97,7 +107,7 @@ def _least(keys: list[np.ndarray], beside: list[list[np.ndarray]]) -> tuple[np.n
     """Of all occurrences the distinct windows, what lies beside the first of each, and which that is."""
     every, chunk = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     other, ids, start = (np.concatenate([b[i] for b in beside]) for i in range(3))
-    order = np.lexsort((chunk, start, ids, other, every))
+    order = _ordered(every, other, ids, start, chunk)
     new = np.ones(len(every), bool)
     new[1:] = (every[order[1:]] != every[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
     pick = order[new]
