@@ -50,6 +50,26 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
+def corpus(docs: DataFrame, text: Column) -> DataFrame:
+    """(docs, words): a row with the number of documents and of their terms."""
+    return docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM_PATTERN), F.lit(0)))), F.lit(0)).cast("long").alias("words"))
+
+
+def bm25_indexed(index: DataFrame, corpora: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(id, score) as `bm25` gives them, from `postings` and the `corpus` rows of the same documents: reads the
+    postings of the terms alone."""
+    wanted = sorted({t.lower() for t in terms})
+    hits = index.where(F.col("term").isin(wanted)) if wanted else index.limit(0)
+    held = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term asked
+    total = corpora.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()  # one row
+    idf = F.lit(0.0)
+    for term, df in sorted(held.items()):
+        idf = F.when(F.col("term") == term, F.lit(math.log(1 + (total["n"] - df + 0.5) / (df + 0.5)))).otherwise(idf)
+    mean = total["words"] / total["n"] if total["words"] else 1.0
+    score = F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean))))
+    return hits.groupBy("id").agg(F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def _is(term: str):
     return lambda x: x == term
 

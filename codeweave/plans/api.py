@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import embed
-from ..operators import filters, intervals, ranking, stats, upsert
+from ..operators import filters, intervals, ranking, search, stats, upsert
 from ..sources import scan
 from ..sources.graph_store import GraphStore
 from . import diagnose, index, replies, retrieve
 
-_TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "findings": schema.FINDINGS, "incidents": schema.INCIDENTS, "entities": schema.ENTITIES, "links": "source string, target string, type string", "evaluations": schema.EVALUATIONS}
+_TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "postings": schema.POSTINGS, "corpora": schema.CORPORA, "findings": schema.FINDINGS, "incidents": schema.INCIDENTS, "entities": schema.ENTITIES, "links": "source string, target string, type string", "evaluations": schema.EVALUATIONS}
 MAX_NODES, MAX_LINES = 10, 100
 
 
@@ -24,8 +24,8 @@ class CodeGraph:
         """`counter` counts the tokens of requests and replies, `analyse` is asked for a cause; neither is there by default."""
         self.spark, self.store, self.counter, self.analyse = spark, GraphStore(spark, folder), counter, analyse
 
-    def table(self, name: str) -> DataFrame:
-        return self.store.read(name, _TABLES[name])
+    def table(self, name: str, repo: str | None = None) -> DataFrame:
+        return self.store.read(name, _TABLES[name], repo)
 
     # --- indexing ---------------------------------------------------------------------------------------------------
 
@@ -47,6 +47,9 @@ class CodeGraph:
         self.store.write("edges", edges, repo)
         own = self.store.read("nodes", schema.NODES, repo)
         self.store.write("embeddings", embed.embed_nodes(own, level, embedder), repo)
+        text = retrieve.node_document()
+        self.store.write("postings", search.postings(own, "id", text).sortWithinPartitions("term"), repo)
+        self.store.write("corpora", search.corpus(own, text), repo)
         return stats.index_summary(files.select("rel_path"), own, raw)
 
     def index_github(self, url: str, folder: str, present: bool = False, run=None) -> DataFrame:
@@ -69,7 +72,7 @@ class CodeGraph:
             raise ValueError("depth and limit must not be negative")
         nodes, edges = self.table("nodes"), self.table("edges")
         vector = embed.embed_query(question, embedder) if question else None
-        seeds = retrieve.seeds(nodes, self.table("embeddings"), question, symbol, file_path, repo, vector)
+        seeds = retrieve.seeds(nodes, self.table("embeddings"), question, symbol, file_path, repo, vector, (self.table("postings", repo), self.table("corpora", repo)))
         return retrieve.retrieve(nodes, edges, *seeds, depth, limit, repo, node_type)
 
     def get_nodes_context(self, probes: list[tuple[str, int]], repo: str | None = None, max_lines: int = 20) -> DataFrame:

@@ -16,8 +16,9 @@ def node_document() -> Column:
     return F.concat_ws(" ", "name", "qualified_name", "file_path", "first_line", "source_code")
 
 
-def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """exact (id), semantic (id, score) and lexical (id, score) seeds. The latter two are empty where there is an exact one."""
+def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """exact (id), semantic (id, score) and lexical (id, score) seeds. The latter two are empty where there is an exact one.
+    `index` is the full-text index of the same nodes (postings, corpora); without it the text is read."""
     spark = nodes.sparkSession
     exact = spark.createDataFrame([], "id string")
     if symbol:
@@ -35,9 +36,11 @@ def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None =
         hits = search.vector_search(embeddings, vector, k=None if repo else SEMANTIC_SEEDS, ids=own if repo else None)
         semantic = traverse.settled(hits)
     terms = spark.range(1).select(search.query_terms(F.lit(question)).alias("t")).first()["t"]
-    hits = traverse.settled(search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS)) if terms else none
+    if not terms:
+        return exact, semantic, none
+    hits = traverse.settled(search.bm25_indexed(*index, terms, LEXICAL_SEEDS) if index else search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS))
     order = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1  # three rows
-    return exact, semantic, hits.withColumn("score", fusion.lexical_score(order)) if terms else none
+    return exact, semantic, hits.withColumn("score", fusion.lexical_score(order))
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, exact: DataFrame, semantic: DataFrame, lexical: DataFrame, depth: int = 1, limit: int = 4, repo: str | None = None, node_type: str | None = None) -> DataFrame:

@@ -17,6 +17,9 @@ EVALUATIONS = (
     "id string, repo_name string, incident_id string, made_causal_claim boolean, resolved_correctly boolean, expected_cause_identified boolean, "
     "supported_by_evidence boolean, latency_ms double, cost_usd double"
 )
+#: The full-text index: a row for each term of a node, and what each repository's texts come to.
+POSTINGS = "id string, term string, tf long, len int"
+CORPORA = "docs long, words long"
 ENTITIES = "id string, label string, name string, version string"
 
 #: Columns that queries return of a node; the embedding is a table of its own, `node_embeddings(id, embedding)`.

@@ -1,6 +1,6 @@
 """The graph as Parquet below one folder, each table in parts that are replaced as wholes.
 
-`nodes`, `edges` and `embeddings` have a part for each repository, so indexing one writes nothing of the others; other tables are one part.
+`nodes`, `edges`, `embeddings` and the full-text index (`postings`, `corpora`) have a part for each repository, so indexing one writes nothing of the others; other tables are one part.
 A part is a folder of numbered states, of which the newest complete one counts: readers see the old state until the new one is there.
 """
 

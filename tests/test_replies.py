@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweave import cli
-from codeweave.plans import replies
+from codeweave.operators import filters, search
+from codeweave.plans import replies, retrieve
 from codeweave.plans.api import CodeGraph
 
 TILL = """package shop;
@@ -54,6 +55,15 @@ def test_results_by_file(graph):
     assert graph.ask("query_codebase", symbol="nothing").text == replies.NOTHING_FOUND
 
 
+def test_index_of_texts_scores_as_the_texts_do(graph):
+    for repo in (None, "shop", "none"):
+        nodes = filters.in_repo(graph.table("nodes"), repo)
+        for terms in (["Charge", "cents", "missing"], ["missing"], []):
+            plain = search.bm25(nodes, "id", retrieve.node_document(), terms, 3).collect()
+            assert search.bm25_indexed(graph.table("postings", repo), graph.table("corpora", repo), terms, 3).collect() == plain
+            assert bool(plain) == (len(terms) > 1 and repo != "none")
+
+
 def test_node_texts(graph):
     assert graph.ask("get_node_context", file="Till.java", line=6, max_lines=2).text == "METHOD shop.Till.charge\nLocation: Till.java:5-7\nLanguage: java\nSource:\n    void charge(int cents) {\n        log(cents);"
     assert graph.ask("get_node_context", file="None.java", line=6).text == replies.NOT_AT_LINE
