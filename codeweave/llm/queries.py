@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, learned_partitions, legacy_archive, metric_tree, mixing, packing, repeats, secrets, shared, token_stream, toxicity
+from . import filter_audit, jaccard_join, learned_partitions, legacy_archive, metric_tree, mixing, packing, repeats, secrets, shared, simhash_trees, spelling, token_stream, toxicity
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -65,6 +65,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(_read(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trees.dedup(_read(spark, sf_dir, "documents"), k=3, radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
     "op2_mixing": op2_mixing,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_metric_tree": op8_metric_tree,
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_simhash_trees": op13_simhash_trees,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,4 +123,4 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM la
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::bigint AS n_words, (len(ws) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_jaccard_join": _OP3, "op6_legacy_archive": _OP6, "op8_metric_tree": _OP8, "op10_repeats": _OP10}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_jaccard_join": _OP3, "op6_legacy_archive": _OP6, "op8_metric_tree": _OP8, "op10_repeats": _OP10, "op11_spelling_variants": spelling.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
