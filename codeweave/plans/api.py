@@ -36,8 +36,8 @@ class CodeGraph:
             nodes, edges = index.inventory(files, repo, root), self.spark.createDataFrame([], schema.EDGES)
             raw = edges
         else:
-            self.store.write("records", index.parse(files))
-            records = self.store.read("records", index._RECORD)
+            self.store.write("records", index.parse(files), repo)
+            records = self.store.read("records", index.RECORD, repo)
             nodes, edges = index.build(records, repo, root, level)
             raw = filters.level_edges(records.where("record = 'edge'").select("type"), level)
         # Incidents and findings stay, their edges to nodes of the old state go.
@@ -59,6 +59,10 @@ class CodeGraph:
         run(scan.clone_command(url, folder, present))
         return self.index_repo(folder, scan.parse_repository(url)[1])
 
+    def index_errors(self, repo: str | None = None) -> DataFrame:
+        """(file_path, error) of the files that could not be parsed when they were last read."""
+        return index.errors(self.store.read("records", index.RECORD, repo))
+
     def embeddings_of(self, repo: str) -> int:
         return self.store.read("embeddings", _TABLES["embeddings"], repo).count()
 

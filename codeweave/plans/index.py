@@ -16,41 +16,31 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..operators import filters, resolve
+from ..sources import parsers
 
-_RECORD = (
-    "record string, id string, type string, name string, file_path string, start_line int, end_line int, hash string, qualified_name string, language string, documentation string, "
-    "source string, target string, confidence double, resolution string, source_line int, kind string, source_id string, target_name string, source_code string, first_line string, error string"
-)
-_COLUMNS = [c.split()[0] for c in _RECORD.split(", ")]
+_TYPES = {"record": "string"} | {c.split()[0]: c.split()[1] for table in parsers.TABLES.values() for c in table.split(", ")}
+RECORD = ", ".join(f"{c} {t}" for c, t in _TYPES.items())
+_COLUMNS = list(_TYPES)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Records of files (rel_path, content): nodes with their source lines, edges, references and errors."""
-
-    types = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    layout = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _RECORD.split(", ")])
+def parse(files: DataFrame, known: parsers.Registry | None = None) -> DataFrame:
+    """Records of files (rel_path, content): nodes with their source lines, edges, references and errors. Parsers are those that are
+    registered on the driver now, or the ones given; they go to the workers with the tasks."""
+    registered = parsers.registry() if known is None else dict(known)
+    arrow = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    layout = pa.schema([(c, arrow[t]) for c, t in _TYPES.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..sources.parsers import parse_source
-
         for batch in batches:
-            rows: list[dict] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    parsed = parse_source(path, content or "")
-                except Exception as e:  # noqa: BLE001  one bad file must not end the index; it is reported as a row
-                    rows.append({"record": "error", "file_path": path, "error": f"{type(e).__name__}: {e}"})
-                    continue
-                lines = (content or "").split("\n")
-                for n in parsed.nodes:
-                    start = n["start_line"] - 1
-                    own = lines[start : min(n["end_line"], start + T.SOURCE_LINES)] if n["type"] != "FILE" else []
-                    rows.append({"record": "node", **n, "source_code": "\n".join(own), "first_line": (lines[start] if start < len(lines) else "").strip()[: T.FIRST_LINE]})
-                rows += [{"record": "edge", **e} for e in parsed.edges]
-                rows += [{"record": "ref", **r} for r in parsed.refs]
-            yield pa.RecordBatch.from_pylist(rows, layout)
-
-    return files.select("rel_path", "content").mapInArrow(run, _RECORD)
+            found = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([{"record": kind, **values} for path, content in found for kind, values in parsers.records(path, content, registered)], layout)
+
+    return files.select("rel_path", "content").mapInArrow(run, RECORD)
+
+
+def errors(records: DataFrame) -> DataFrame:
+    """(file_path, error) of the files that their parsers could not read."""
+    return records.where("record = 'error'").select("file_path", "error")
 
 
 def inventory(files: DataFrame, repo: str, root: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, extension, normal_path
+from ..functions.text import base_name, extension
+from . import tree
 
 #: Names of files and folders that are left out (fixed values).
 IGNORE = [
@@ -36,12 +37,12 @@ def is_scanned(path: Column, extensions: list[str] | None = None, ignore: list[s
 
 
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """(rel_path, content) of the files below a root; the filter is on the path alone, so other files are not opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    found = F.regexp_replace("path", "^[a-z0-9]+:/+", "/") if "://" not in root or root.startswith("file") else F.col("path")
-    rel = F.substring(normal_path(found), len(base) + 2, 1 << 20)
-    return files.select(rel.alias("rel_path"), "content").where(is_scanned(F.col("rel_path"), extensions, ignore)).select("rel_path", F.expr("decode(content, 'UTF-8')").alias("content"))
+    """(rel_path, extension, content) of the files below a root. Ignored folders are not entered, other files not opened; what cannot be read is passed
+    over, and bytes that are no UTF-8 become U+FFFD. Filters on the start of rel_path and on extension reach the listing where the session lets them."""
+    spark.dataSource.register(tree.SourceTree)
+    names = tree.Names(sorted({*IGNORE, *(ignore or [])}), TEST_SUFFIXES, EXTENSIONS if extensions is None else extensions, FILENAMES)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("source_tree").option("names", tree.options(names)).option("prune", prune).option("partitions", 2 * spark.sparkContext.defaultParallelism).load(root)
 
 
 def parse_repository(url: str) -> tuple[str, str]:
