@@ -134,7 +134,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUEN
     """
     if not 50 < percent <= 100:
         raise ValueError("the coefficient must be above a half")
-    with shared.scratch(docs.sparkSession, "sets", "classes", "stars", "components"):
+    with shared.scratch(docs.sparkSession, "sets", "classes", "stars", "components", "labelled"):
         return _join(docs, k, percent, frequent, per_class, few, bundle)
 
 
@@ -228,9 +228,17 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
         # overlap >= percent * (n + m) / (100 + percent), and n + m - 2 * overlap tokens differ
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (own * (100 + percent) >= (n + m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
 
+    # A document that rows with several sets have holds their classes together.
+    one = F.struct("p", "q", "n_shingles")
+    several = described.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("doc_id")
+    several = shared.small(shared.kept(several, "several"))
+    held = real.join(several, "doc_id").join(classes.select("p", "q", "n_shingles", F.col("rep.doc_id").alias("rep")), ["p", "q", "n_shingles"])
+    held = shared.kept(held.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "held")
+
     star = postings.where((F.col("rep") != F.col("first")) & fits(lambda c: f"first_{c}")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
     tried, links = _verified(star, sets, percent)
-    nodes = postings.select(F.col("rep").alias("node")).distinct()
+    links = links.union(held)
+    nodes = postings.select(F.col("rep").alias("node")).union(held.select("a")).union(held.select("b")).distinct()
     labels = components(nodes, links, "stars")
 
     # What is left: pairs of one entry in different components. Both sides keep the entry's key, so a popular entry is
@@ -251,12 +259,15 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
     ends = components(nodes, links.union(more), "components") if not more.isEmpty() else labels
 
     owners = classes.select("p", "q", "n_shingles", F.col("rep.doc_id").alias("rep")).join(ends, F.col("rep") == F.col("node"), "left").select("p", "q", "n_shingles", F.coalesce("label", "rep").alias("component"))
-    return described.join(owners, ["p", "q", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Rows of such a document without words have no class; their document may have a component all the same.
+    apart = several.join(ends, F.col("doc_id") == F.col("node")).select("doc_id", "label")
+    named = described.join(owners, ["p", "q", "n_shingles"], "left").join(shared.small(shared.kept(apart, "labelled")), "doc_id", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "component", "doc_id")).alias("component_id"))
 
 
 def kept_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those that a document of smaller doc_id stands for: of each component the
-    least doc_id stays. Documents without words, and null doc_ids, stay; of equal rows of one doc_id one stays."""
+    least doc_id stays, with all its texts. Documents without words, and null doc_ids, stay; of equal rows of one doc_id one stays."""
     found = shared.kept(join(docs, k, percent).select("doc_id", "component_id"), "components-of")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -25,6 +25,7 @@ def sets_of(pairs, k):
 
 
 def components(pairs, k, percent):
+    """(doc_id, set size, component) of each row; rows of one doc_id are one document, null doc_ids are alone."""
     sets = sets_of(pairs, k)
     label = list(range(len(pairs)))
 
@@ -36,21 +37,40 @@ def components(pairs, k, percent):
     for i in range(len(sets)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and pairs[i][0] is not None and pairs[j][0] is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            named = pairs[i][0] is not None and pairs[j][0] is not None
+            if named and (pairs[i][0] == pairs[j][0] or (both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both))):
                 label[find(i)] = find(j)
     least: dict = {}
     for i, (d, _) in enumerate(pairs):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return {d: (len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(pairs)}
+    return Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(pairs))
+
+
+def joined(docs, *args, **more):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, *args, **more).collect())
 
 
 @pytest.mark.parametrize("k,percent,frequent,wide", [(4, 85, 64, 48), (2, 60, 3, 30), (2, 60, 3, 2)])
 def test_jaccard_join(spark, k, percent, frequent, wide):
     docs = documents(spark, seed=k + wide)
     pairs = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, k, percent, frequent, wide).collect()}
-    assert got == components(pairs, k, percent)
+    assert joined(docs, k, percent, frequent, wide) == components(pairs, k, percent)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_rows_that_share_ids(spark, seed):
+    rng = random.Random(seed)
+    a, b, c, d = (" ".join(prose(rng, 40)) for _ in range(4))
+    pairs = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, None), (5, c), (None, a), (None, a), (None, d), (6, ""), (6, d), (7, d + " x"), (8, "one"), (8, "two"), (9, "two"), (5, "  ")]
+    pairs += [(rng.randint(20, 30), " ".join(prose(rng, 12) * rng.randint(1, 2))) for _ in range(20)] + [(rng.randint(20, 30), rng.choice([a, b, c, d, None, "", "two"])) for _ in range(6)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    got = joined(docs, 3, 80)
+    assert got == components(pairs, 3, 80)
+    kept = jaccard_join.kept_of(docs, 3, 80).collect()
+    own = {d: x for d, _, x in got}
+    assert Counter((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == Counter({(d, t) for d, t in pairs if d is not None and own[d] == d})
+    assert sum(r["doc_id"] is None for r in kept) == 3
 
 
 @pytest.mark.parametrize("per_class", [2, 12, 1000])
@@ -67,8 +87,7 @@ def test_jaccard_join_of_texts_with_hundreds_of_frequent_tokens(spark, per_class
                 text[rng.randrange(len(text))] = f"new{i}"
             pairs.append((100 + i, " ".join(text)))
     docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, 3, 80, 3, per_class, few=10**9, bundle=2).collect()}
-    assert got == components(pairs, 3, 80)
+    assert joined(docs, 3, 80, 3, per_class, few=10**9, bundle=2) == components(pairs, 3, 80)
 
 
 def test_classes_of_sets_that_link_meet():
@@ -109,7 +128,7 @@ def test_kept_of_keeps_one_of_each_group(spark):
     kept = jaccard_join.kept_of(docs)
     want = components([tuple(r) for r in docs.select("doc_id", "text").distinct().collect()], 5, 80)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, (_, c) in want.items() if d is None or c in (None, d))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, c in want if d is None or c in (None, d))
 
 
 def brute_repeats(pairs, k):

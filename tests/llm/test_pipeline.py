@@ -119,8 +119,8 @@ def test_pipeline_by_brute_force(spark):
     lexicon = toxicity.learn(docs, labels)
     rows = [d.asDict() for d in docs.collect()]
     rows = [d for d in rows if plain_score(lexicon, d["text"]) < corpus_pipeline.THRESHOLD]
-    kept = components([(d["doc_id"], d["text"]) for d in rows], corpus_pipeline.WORDS, corpus_pipeline.PERCENT)
-    rows = [d for d in rows if kept[d["doc_id"]][1] == d["doc_id"]]
+    kept = {doc: least for doc, _, least in components([(d["doc_id"], d["text"]) for d in rows], corpus_pipeline.WORDS, corpus_pipeline.PERCENT)}
+    rows = [d for d in rows if kept[d["doc_id"]] == d["doc_id"]]
     left = spark.createDataFrame(rows, docs.schema)
     table, k = secrets.fit(left), len(secrets.ALPHABET) + 1
     for d in rows:
