@@ -60,6 +60,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _ASCII = bytes(ord(DIGITS.get(chr(c), chr(c))) if c < 128 else c for c in range(256))
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTER, _AFTER = re.compile(r"[^\W\d_]"), re.compile(r" [^\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -215,11 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
                 own, words = hits(automaton, text)
                 folded, phrases = fold(text), []
                 for a, b, _ in own:
-                    while b < len(folded) and folded[b].isalpha():
-                        b += 1
-                    before, after = re.search(r"[^\W\d_]+ $", folded[max(0, a - 40) : a]), re.match(r" [^\W\d_]+", folded[b : b + 40])
-                    phrases += [before[0] + folded[a:b]] if before else []
-                    phrases += [folded[a:b] + after[0]] if after else []
+                    phrases += beside(folded, a, b)
                 out.append((1 if y == 1 else 0, features(own, words), sorted(set(phrases))))
             yield pa.record_batch({"y": pa.array([o[0] for o in out], pa.int32()), "x": pa.array([o[1] for o in out], pa.list_(pa.float64())), "phrases": pa.array([o[2] for o in out], pa.list_(pa.string()))})
 
@@ -234,6 +231,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     return lexicon
 
 
+def beside(folded: str, a: int, b: int) -> list[str]:
+    """The term at a to b, to the end of its word, with the whole word before it and with the whole word after it, where a single space parts them."""
+    while b < len(folded) and folded[b].isalpha():
+        b += 1
+    first = a - 1
+    while first > 0 and _LETTER.match(folded, first - 1):
+        first -= 1
+    after = _AFTER.match(folded, b)
+    before = a > 0 and folded[a - 1] == " " and first < a - 1
+    return ([folded[first:b]] if before else []) + ([folded[a : after.end()]] if after else [])
+
+
 _SCORED = "doc_id long, score double, n_hits long"
 
 

@@ -177,6 +177,17 @@ def test_copies_and_near_copies_teach_once(spark):
     assert not lexicon.weights
 
 
+def test_words_beside_a_term_are_whole():
+    long = "x" * 5000
+    for text, want in [
+        ("a bad b", ["a bad", "bad b"]), ("bad", []), (" bad ", []), ("a  bad", []), ("1 bad 2", []), (f"{long} bad {long}y z", [f"{long} bad", f"bad {long}y"]), ("no bad, b", ["no bad"]), ("n-o badly b", ["o badly", "badly b"]), ("x1 bad", []), ("1x bad", ["x bad"]),
+    ]:
+        at = text.index("bad")
+        assert toxicity.beside(text, at, at + 3) == want
+        before, word = re.search(r"[^\W\d_]+ $", text[:at]), re.match(r"[^\W\d_]+", text[at:])[0]
+        assert bool(before) == (bool(want) and want[0].endswith(f" {word}"))
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Ѕ1LLY $illy Ｓilly") == "siiiy siiiy siiiy"
     lexicon = toxicity.Lexicon({"bad.": 2.0, "awfu": 1.0}, ["not bad"], (0.0, 1.0, 0.0, 0.0))
