@@ -6,8 +6,8 @@ L + 1): one edit leaves at least max(L, L') - 1 of them in common, none moved by
 To keep that local, words meet in shards: an edit lies in one half of a word, so the other half is equal, at the start or at
 the end. A word of L code points is in the shards (L, start, its first L // 2), (L, end, the rest), and, as the longer word of a pair, in those of
 L - 1. A cell of a shard (`shards.cells`, bounded in size) is an inverted index of the q-grams outside the common half, by gram, place and length; a word merges the
-postings of its grams, in order of the words (a heap merge), for the lengths and at the places that one edit allows, and words met often enough
-to reach the overlap bound are verified. A pair is met in one shard; where an insertion falls between the halves, it counts in the first.
+postings of its grams, in order of the words (a heap merge of the shorter ones, the longer ones being looked up), for the lengths and at the places that one
+edit allows, and words met often enough to reach the overlap bound are verified. A pair is met in one shard; where an insertion falls between the halves, it counts in the first.
 
 Each cell adds up what a word has near it, so what leaves a cell are rows for words, not for pairs.
 
@@ -18,6 +18,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import re
@@ -33,18 +34,25 @@ from . import shards, shared
 
 LEAST_LENGTH, LEAST_COUNT, TYPO = 5, 3, 97
 #: Words of a cell, and distinct words that a task counts before it hands them on.
-LIMIT, HELD = 4096, 100_000
+LIMIT, HELD = 4096, 250_000
 #: Code points of a text that are searched for runs at once.
 BLOCK = 1 << 20
 _RUN, _GAP = re.compile("[A-Za-zÀ-ÿ]+"), re.compile("[^A-Za-zÀ-ÿ]")
 _START, _END = "\x02", "\x03"
 
 
-def altered(doc_id: int | None, run: str, typo: int = TYPO) -> str:
-    """A run, lower-cased, without one code point where the hash of document and run says so."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def begun(doc_id: int | None) -> int:
+    """The hash of what stands before a document's runs."""
+    return zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+
+def altered(before: int, run: str, typo: int = TYPO) -> str:
+    """A lower-cased run, without one code point where the hash of its document (`begun`) and run says so."""
+    h = zlib.crc32(run.encode(), before)
+    if h % typo:
+        return run
     at = h % len(run)
-    return run[:at] + run[at + 1 :] if h % typo == 0 else run
+    return run[:at] + run[at + 1 :]
 
 
 def runs(text: str | None, block: int = BLOCK) -> Iterator[list[str]]:
@@ -70,9 +78,10 @@ def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: i
 
         for batch in shared.pieces(batches, 64):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                before = begun(doc_id)
                 for found in runs(text.as_py()):
                     for word, n in Counter(found).items():
-                        made = altered(doc_id, word, typo)
+                        made = altered(before, word, typo)
                         if len(made) >= least_length:
                             held[made] += n
                     if len(held) >= HELD:
@@ -104,30 +113,50 @@ def near(a: str, b: str) -> bool:
 
 
 class Index:
-    """The inverted index of a cell: words of `length` and one more that agree in one half."""
+    """The inverted index of a cell: words of `length` and one more that agree in one half. It is built when it is first asked."""
 
     def __init__(self, length: int, side: int) -> None:
         self.length, self.side, self.half = length, side, length // 2
         self.words: list[str] = []
         self.postings: dict[tuple[str, int, int], list[int]] = {}
+        self.lengths: set[int] = set()
+        self.indexed = 0
         #: Grams of the common half, which all words of the cell share.
         self.common = self.half if side == 0 else length - self.half
 
     def add(self, word: str) -> None:
-        for gram, place in grams(word, self.length, self.side):
-            self.postings.setdefault((gram, place, len(word)), []).append(len(self.words))
         self.words.append(word)
+        self.lengths.add(len(word))
+
+    def _built(self) -> dict[tuple[str, int, int], list[int]]:
+        for number in range(self.indexed, len(self.words)):
+            word = self.words[number]
+            for gram, place in grams(word, self.length, self.side):
+                self.postings.setdefault((gram, place, len(word)), []).append(number)
+        self.indexed = len(self.words)
+        return self.postings
 
     def find(self, word: str) -> Iterator[int]:
         """Numbers of the indexed words that are near `word` and belong to this shard."""
-        for other in (self.length, self.length + 1):
-            if len(word) == other == self.length + 1:
-                continue  # of two longer words the shards of their own length have the pair
-            moves = {0, other - len(word)}
-            lists = [p for gram, place in grams(word, self.length, self.side) for move in moves if (p := self.postings.get((gram, place + move, other)))]
-            bound = max(len(word), other) - 1 - self.common
-            for number, met in itertools.groupby(heapq.merge(*lists)):
-                if sum(1 for _ in met) >= bound and near(word, self.words[number]) and self.owns(word, self.words[number]):
+        # Of two longer words the shards of their own length have the pair.
+        asked = {self.length} if len(word) > self.length else {self.length, self.length + 1}
+        for other in asked & self.lengths:
+            postings, moves = self._built(), {0, other - len(word)}
+            lists = [p for gram, place in grams(word, self.length, self.side) for move in moves if (p := postings.get((gram, place + move, other)))]
+            bound = max(1, max(len(word), other) - 1 - self.common)
+            if len(lists) < bound:
+                continue
+            # What is in `bound` lists is in one of all but bound - 1: the shorter ones are merged, the longer ones looked up.
+            lists.sort(key=len)
+            merged, rest = lists[: len(lists) - bound + 1], lists[len(lists) - bound + 1 :]
+            for number, found in itertools.groupby(heapq.merge(*merged)):
+                met = sum(1 for _ in found)
+                for held in rest:
+                    if met >= bound:
+                        break
+                    at = bisect.bisect_left(held, number)
+                    met += at < len(held) and held[at] == number
+                if met >= bound and near(word, self.words[number]) and self.owns(word, self.words[number]):
                     yield number
 
     def owns(self, a: str, b: str) -> bool:
@@ -135,8 +164,8 @@ class Index:
         return self.side == 0 or a[: self.half] != b[: self.half]
 
 
-def shard_keys(word: F.Column) -> F.Column:
-    """The shards of a word, as structs (length, side, half)."""
+def shard_keys(word: F.Column, least_length: int) -> F.Column:
+    """The shards of a word, as structs (length, side, half); none is of a length that no word has."""
     n = F.length(word)
 
     def two(length: F.Column) -> list[F.Column]:
@@ -144,13 +173,13 @@ def shard_keys(word: F.Column) -> F.Column:
         start = F.struct(length.alias("length"), F.lit(0).alias("side"), F.substring(word, F.lit(1), half).alias("half"))
         return [start, F.struct(length.alias("length"), F.lit(1).alias("side"), F.right(word, length - half).alias("half"))]
 
-    return F.array(*two(n), *two(n - 1))
+    return F.when(n > least_length, F.array(*two(n), *two(n - 1))).otherwise(F.array(*two(n)))
 
 
-def near_words(words: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_words(words: DataFrame, limit: int = LIMIT, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(word, n_near, best struct<neg_n, form>) of the words (word, n) that have near ones: how many, and the one of largest n."""
     keys = ["length", "side", "half"]
-    rows = words.select("word", "n", F.explode(shard_keys(F.col("word"))).alias("s")).select("s.*", "word", "n")
+    rows = words.select("word", "n", F.explode(shard_keys(F.col("word"), least_length)).alias("s")).select("s.*", "word", "n")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[str, int, int, str]]:
