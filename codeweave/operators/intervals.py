@@ -5,7 +5,7 @@ the order of starts, and gives a state for each start: the spans that are open t
 A probe finds its one state by an equality join on buckets of lines, and what it reads of the state is as deep as the
 nesting, however many spans the file has. Buckets are of four widths; a state lies in a few of the narrowest that hold it so, and
 gaps and the open end of a file cost no more than other lines. States with more than `DEEP` open spans, or with a span of a million lines, are empty:
-probes that meet one are joined with all spans above them.
+probes that meet one are joined with all spans above them. So are those of files of at most `FEW` spans, which need no states.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 #: Rank of nodes that start above the line but do not enclose it.
 NOT_ENCLOSING = 999_999
 TOP = 3
-#: Open spans beyond which a state is empty.
-DEEP = 64
+#: Open spans beyond which a state is empty, and spans up to which a file needs no states.
+DEEP, FEW = 64, 64
 #: Bits of a bucket of lines, from the narrowest, and buckets that a state lies in at most where a wider one is left.
 WIDTHS, MANY = (6, 12, 18, 24), 64
 #: Lengths of the pieces of paths that hints are looked up by.
@@ -32,7 +32,7 @@ _LAST = (1 << 31) - 1
 Span = tuple[str, int, int]
 
 
-def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] | None = None, deep: int = DEEP) -> DataFrame:
+def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] | None = None, deep: int = DEEP, few: int = FEW) -> DataFrame:
     """(the probes' columns, id, start_line, end_line, span, encloses, rank): the nodes of each probe, best first: the innermost that
     enclose the line, then the nearest that start above it; ties go to the later start, then to the smaller id.
 
@@ -40,11 +40,19 @@ def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] |
     """
     keys = on or ["file_path"]
     asked = (probes if on else matched(nodes, probes)).where("line IS NOT NULL")
-    rows = nodes.select(*keys, "id", "start_line", "end_line").where("start_line IS NOT NULL").join(asked.select(*keys).distinct(), keys, "left_semi")
-    met = located(states(rows, keys, top, deep), asked, keys)
-    near = met.where("spans IS NOT NULL").select(*asked.columns, F.explode("spans").alias("_n")).select(*asked.columns, "_n.*")
-    above = met.where("spans IS NULL").select(*asked.columns).join(rows, keys).where("start_line <= line").select(*asked.columns, "id", "start_line", "end_line")
-    pairs = near.unionByName(above)
+    rows = nodes.select(*keys, "id", "start_line", "end_line").where("start_line IS NOT NULL")
+    large = rows.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).count().where(F.col("count") > few).select(*keys)
+
+    def above(some: DataFrame, spans: DataFrame) -> DataFrame:
+        return some.select(*asked.columns).join(spans, keys).where("start_line <= line").select(*asked.columns, "id", "start_line", "end_line")
+
+    if large.isEmpty():
+        pairs = above(asked, rows)
+    else:
+        own = rows.join(large, keys, "left_semi")
+        met = located(states(own, keys, top, deep), asked.join(large, keys, "left_semi"), keys)
+        near = met.where("spans IS NOT NULL").select(*asked.columns, F.explode("spans").alias("_n")).select(*asked.columns, "_n.*")
+        pairs = near.unionByName(above(met.where("spans IS NULL"), own)).unionByName(above(asked.join(large, keys, "left_anti"), rows))
     encloses = F.coalesce((F.col("end_line") >= F.col("line")) & (F.col("end_line") > F.col("start_line")), F.lit(False))
     span = F.when(encloses, F.col("end_line") - F.col("start_line")).otherwise(NOT_ENCLOSING)
     order = Window.partitionBy("probe").orderBy("span", F.desc("start_line"), "id")

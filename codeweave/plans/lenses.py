@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import traverse
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +58,21 @@ def kept(spark: SparkSession, d: str, lens) -> DataFrame:
     return _KEPT[lens.__name__][1]
 
 
+_ADJACENT: dict[str, tuple[str, traverse.Adjacency]] = {}
+
+
+def adjacent(spark: SparkSession, d: str, lens) -> traverse.Adjacency:
+    """A lens of edges in buckets, made once for a folder; the one of another folder goes."""
+    key = f"{spark.sparkContext.applicationId} {d}"
+    known = _ADJACENT.get(lens.__name__)
+    if known and known[0] == key:
+        return known[1]
+    if known and known[0].split()[0] == spark.sparkContext.applicationId:
+        known[1].drop()
+    _ADJACENT[lens.__name__] = (key, traverse.adjacency(lens(spark, d)))
+    return _ADJACENT[lens.__name__][1]
+
+
 NODES = """places AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'FILE' AS type, r_name AS name, r_name AS file_path, r_name AS repo_name FROM region

@@ -199,12 +199,12 @@ SELECT id, distance FROM w WHERE id NOT IN ({_SEEDS})"""
 
 @query(_calls_graph_sql(False))
 def calls_graph_callee(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.calls_graph(L.user_nodes(spark, d), L.user_calls(spark, d), _seed_users(spark, d), 3).where("direction = 'callee'").select("id", "distance")
+    return traverse.calls_graph(L.user_nodes(spark, d), L.adjacent(spark, d, L.user_calls), _seed_users(spark, d), 3).where("direction = 'callee'").select("id", "distance")
 
 
 @query(_calls_graph_sql(True))
 def calls_graph_caller(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.calls_graph(L.user_nodes(spark, d), L.user_calls(spark, d), _seed_users(spark, d), 3).where("direction = 'caller'").select("id", "distance")
+    return traverse.calls_graph(L.user_nodes(spark, d), L.adjacent(spark, d, L.user_calls), _seed_users(spark, d), 3).where("direction = 'caller'").select("id", "distance")
 
 
 def _user_related(inbound: bool) -> str:
@@ -214,13 +214,13 @@ def _user_related(inbound: bool) -> str:
 @query(_user_related(True))
 def callers_2hop(spark: SparkSession, d: str) -> DataFrame:
     nodes = L.user_nodes(spark, d)
-    return traverse.callers(nodes, L.user_calls(spark, d), nodes.agg(F.min("id")).first()[0], 2).select("id", "distance")
+    return traverse.callers(nodes, L.adjacent(spark, d, L.user_calls), nodes.agg(F.min("id")).first()[0], 2).select("id", "distance")
 
 
 @query(_user_related(False))
 def callees_2hop(spark: SparkSession, d: str) -> DataFrame:
     nodes = L.user_nodes(spark, d)
-    return traverse.callees(nodes, L.user_calls(spark, d), nodes.agg(F.min("id")).first()[0], 2).select("id", "distance")
+    return traverse.callees(nodes, L.adjacent(spark, d, L.user_calls), nodes.agg(F.min("id")).first()[0], 2).select("id", "distance")
 
 
 @query(f"""WITH {L.NODES}, {L.EDGES}, {_walk_sql("edges", "SELECT id FROM nodes WHERE id = 'region:1'", 3)} SELECT w.id, distance, type FROM w JOIN nodes USING (id)""")
@@ -253,6 +253,19 @@ def call_paths(spark: SparkSession, d: str) -> DataFrame:
     return traverse.paths(L.user_calls(spark, d), seed, ["CALLS"], 2).select("id", F.array_join("path", ">").alias("path"), "hops")
 
 
+_CHAIN = [f"c{i} AS (SELECT target AS id, path || '>' || target AS path, list_append(used, source || '>' || target) AS used FROM c{i - 1} JOIN user_calls ON source = c{i - 1}.id WHERE NOT list_contains(used, source || '>' || target))" for i in (2, 3, 4)]
+
+
+@query(f"""WITH {L.USERS}, c1 AS (SELECT target AS id, source || '>' || target AS path, [source || '>' || target] AS used FROM user_calls WHERE source = (SELECT min(id) FROM user_nodes)), {", ".join(_CHAIN)},
+found AS ({" UNION ALL ".join(f"SELECT id, path, {i} AS hops FROM c{i}" for i in (1, 2, 3, 4))})
+SELECT * FROM found WHERE id IN (SELECT 'user:' || user_id FROM events WHERE event_type = 'signup')""")
+def call_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of 1 to 4 calls from a user to those who have signed up."""
+    seed = L.user_nodes(spark, d).agg(F.min("id").alias("id"))
+    ends = L.table(spark, d, "events").where("event_type = 'signup'").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id"))
+    return traverse.paths(L.adjacent(spark, d, L.user_calls), seed, ["CALLS"], 4, ends).select("id", F.array_join("path", ">").alias("path"), "hops")
+
+
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 

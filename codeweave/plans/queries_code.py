@@ -160,6 +160,17 @@ def index_edges(spark: SparkSession, d: str) -> DataFrame:
     return index.build(L.kept(spark, d, records), REPO)[1].select("source", "target", "type", "confidence", "resolution", "source_line")
 
 
+_KIN = "k AS (SELECT DISTINCT source, target FROM indexed WHERE type IN ('EXTENDS', 'IMPLEMENTS'))"
+
+
+@query(f"""WITH {_INDEXED}, {_KIN}, k2 AS (SELECT DISTINCT a.source, b.target FROM k a JOIN k b ON a.target = b.source), k3 AS (SELECT DISTINCT a.source, b.target FROM k2 a JOIN k b ON a.target = b.source)
+SELECT '{REPO}::' || source AS id, '{REPO}::' || target AS ancestor, min(d)::integer AS distance FROM (SELECT *, 1 AS d FROM k UNION ALL SELECT *, 2 FROM k2 UNION ALL SELECT *, 3 FROM k3) GROUP BY source, target""")
+def inheritance(spark: SparkSession, d: str) -> DataFrame:
+    """What 1 to 3 steps of extending and implementing lead to."""
+    edges = index.build(L.kept(spark, d, records), REPO)[1]
+    return traverse.ancestors(edges, ["EXTENDS", "IMPLEMENTS"], 3)
+
+
 @query(f"WITH {_NODES} SELECT '{REPO}::' || id AS id, type, 'high' AS index_level, '{REPO}' AS repo_name FROM all_nodes")
 def index_nodes(spark: SparkSession, d: str) -> DataFrame:
     return index.build(L.kept(spark, d, records), REPO)[0].select("id", "type", "index_level", "repo_name")

@@ -108,3 +108,63 @@ def test_place_of_a_failure(spark):
     assert diagnose.place(spark, "see Bar.ts:7 and line 3 in Baz") == ("Bar.ts", 7)
     assert diagnose.place(spark, "q", file="A.java", line=3, trace=java) == ("A.java", 3)
     assert diagnose.place(spark, "nothing here") == (None, None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hub", [1_000_000, 3])
+def test_walks_over_buckets(spark, hub):
+    nodes, edges, ndf, edf = graph(spark, 7, 30, 120)
+    kept = traverse.adjacency(edf, hub)
+    assert (kept.hubs_out is None) == (hub > 3)
+    seeds = spark.createDataFrame([("n0",), ("n1",), ("n2",)], "id string")
+    assert {tuple(r) for r in traverse.calls_graph(ndf, kept, seeds, 3).select("id", "direction", "distance").collect()} == {tuple(r) for r in traverse.calls_graph(ndf, edf, seeds, 3).select("id", "direction", "distance").collect()}
+    calls = [(a, b) for a, b, t, _ in edges if t == "CALLS"]
+    assert {(r["id"], r["distance"]) for r in traverse.callers(ndf, kept, "n2", 4).collect()} == set(walk(calls, ["n2"], 4, True).items())
+    every = spark.createDataFrame([(n[0],) for n in nodes], "id string")
+    assert sorted(map(tuple, traverse.call_counts(ndf, kept, every).collect())) == sorted(map(tuple, traverse.call_counts(ndf, edf, every).collect()))
+    kept.drop()
+
+
+def test_hops_over_buckets_move_no_edges(spark):
+    _, _, ndf, edf = graph(spark, 9, 40, 200)
+    kept = traverse.adjacency(edf)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for inbound in (False, True):
+            plan = plan_of(traverse.walk(kept.where("type = 'CALLS'"), ndf.select("id"), 3, inbound)).split("\n")
+            scans = [i for i, line in enumerate(plan) if "FileScan" in line and "adjacency" in line]
+            assert len(scans) >= 3 and "Bucketed: true" in plan[scans[-1]]
+            for i in scans[1:]:  # between a scan and the join above it is no exchange
+                above = next(j for j in range(i, -1, -1) if "Join" in plan[j])
+                assert not any("Exchange" in line for line in plan[above:i])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        kept.drop()
+
+
+def brute_paths(edges, seeds, hops):
+    out, level = set(), [(s,) for s in seeds]
+    for d in range(1, hops + 1):
+        level = [(*p, b) for p in level for a, b in edges if a == p[-1] and (a, b) not in list(zip(p, p[1:], strict=False))]
+        out |= {(p[-1], p, d) for p in level}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_paths_and_ancestors(spark, seed):
+    rng = random.Random(seed)
+    edges = list({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(16)} | {("hub", f"n{i}") for i in range(9)} | {(f"n{i}", "hub") for i in range(0, 9, 3)})
+    edf = spark.createDataFrame([(a, b, "CALLS", 1.0) for a, b in edges for _ in range(1 + (a == b))] + [("n0", "x", "OTHER", 1.0)], "source string, target string, type string, confidence double")
+    seeds = spark.createDataFrame([("n0",), ("n1",)], "id string")
+    want = brute_paths(edges, ["n0", "n1"], 4)
+    got = [(r["id"], tuple(r["path"]), r["hops"]) for r in traverse.paths(edf, seeds, ["CALLS"], 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    ends = spark.createDataFrame([("hub",), ("n5",), ("none",)], "id string")
+    assert {(r["id"], tuple(r["path"]), r["hops"]) for r in traverse.paths(edf, seeds, ["CALLS"], 4, ends).collect()} == {w for w in want if w[0] in ("hub", "n5")}
+    for hops in (1, 2, 3, 6):
+        near = {(n, x, d) for n in {a for a, _ in edges} for x, d in walk(edges, [n], hops).items()}
+        assert {tuple(r) for r in traverse.ancestors(edf, ["CALLS"], hops).collect()} == near
