@@ -24,10 +24,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_search(embeddings: DataFrame, query: list[float], threshold: float = SEMANTIC_THRESHOLD, k: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(id, score) of the vectors at least as near as the threshold, best first; among `ids` alone if they are given.
-    Without k there is no limit, which is what a search within one repository gives."""
+    Without k there is no limit. Vectors of another length, zero ones and those whose score is no number are not found."""
     rows = embeddings if ids is None else embeddings.join(ids.select("id"), "id", "left_semi")
     vector = F.array(*[F.lit(float(x)) for x in query])
-    hits = rows.select("id", cosine(F.col("embedding"), vector).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "id")
+    hits = rows.select("id", cosine(F.col("embedding"), vector).alias("score")).where((F.col("score") >= threshold) & ~F.isnan("score")).orderBy(F.desc("score"), "id")
     return hits if k is None else hits.limit(k)
 
 

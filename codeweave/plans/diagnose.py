@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import traces
-from ..operators import filters, intervals, ranking, search, traverse
+from ..operators import filters, intervals, ranking, traverse, vector_index
 
 #: Caps of the context and of the prompt (fixed values).
 FINDINGS, EVIDENCE, NEIGHBOURS, TESTS = 5, 3, 3, 2
@@ -40,7 +40,7 @@ def place(spark, question: str | None, error: str | None = None, trace: str | No
     return file, line
 
 
-def context(nodes: DataFrame, edges: DataFrame, findings: DataFrame, affects: DataFrame, incidents: DataFrame, question: str, embeddings: DataFrame | None = None, vector: list[float] | None = None, repo: str | None = None, **where) -> Context:
+def context(nodes: DataFrame, edges: DataFrame, findings: DataFrame, affects: DataFrame, incidents: DataFrame, question: str, embeddings: DataFrame | vector_index.VectorIndex | None = None, vector: list[float] | None = None, repo: str | None = None, **where) -> Context:
     """The context of a report; `where` as for `place`. An exact place need not enclose the line: the nearest node above serves."""
     spark = nodes.sparkSession
     file, line = place(spark, question, **where)
@@ -50,7 +50,7 @@ def context(nodes: DataFrame, edges: DataFrame, findings: DataFrame, affects: Da
         best = intervals.at_line(filters.in_repo(nodes, repo), probe, 1).select("id").first()
         level = "exact" if best else "none"
     if best is None and question and embeddings is not None and vector is not None:
-        hits = search.vector_search(embeddings, vector, k=None if repo else SEMANTIC, ids=filters.in_repo(nodes, repo) if repo else None)
+        hits = vector_index.scoped_search(embeddings, vector, SEMANTIC, filters.in_repo(nodes, repo) if repo else None)
         own = filters.results(nodes).where(~filters.is_test_source(F.col("file_path")))
         best = hits.join(own, "id").orderBy(F.desc("score"), "id").select("id").first()
         level = "semantic" if best else "none"

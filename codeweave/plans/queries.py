@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import traces as X
 from ..operators import filters, fusion, intervals, ranking, resolve, search, stats, traverse, upsert
+from ..operators.vector_index import VectorIndex, scoped_search
 from ..sources import scan
+from ..sources.places import shared_folder
 from . import lenses as L
 from . import retrieve as R
 
@@ -431,6 +433,29 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_search(rows, q, 0.05, ids=rows.where("label = 3")).select("id", F.round("score", 6).alias("score"))
 
 
+#: Cells of the index of a folder's vectors, and pieces of its codes.
+_CELLS, _PIECES = 16, 16
+
+
+def _vector_index(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame, list[float]]:
+    rows, q = _vector(spark, d)
+    return VectorIndex.build(rows, shared_folder(spark, "vectors"), _CELLS, _PIECES), rows, q
+
+
+@query(f"SELECT id, round(s, 6) AS score FROM ({_COSINE}) WHERE s >= 0.05 ORDER BY s DESC, id LIMIT 10")
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """From the index, all cells probed and all that is read scored exactly: the exact top."""
+    index, _, q = _vector_index(spark, d)
+    return scoped_search(index, q, 10, threshold=0.05, probes=_CELLS, refine=None).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id, round(s, 6) AS score FROM (SELECT * FROM ({_COSINE}) ORDER BY s DESC, id LIMIT 100) WHERE s >= 0.05 AND label = 3")
+def vector_index_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Within one repository (a label): of the hundred nearest of all, those that are in it."""
+    index, rows, q = _vector_index(spark, d)
+    return scoped_search(index, q, 10, rows.where("label = 3"), 0.05, _CELLS, None).select("id", F.round("score", 6).alias("score"))
+
+
 _TERMS = ["the", "ouwhea", "thonre"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, fusion, ranking, search, traverse
+from ..operators import filters, fusion, ranking, search, traverse, vector_index
 
 SEMANTIC_SEEDS = LEXICAL_SEEDS = 3
 SOURCE_LINES = 2
@@ -16,8 +16,9 @@ def node_document() -> Column:
     return F.concat_ws(" ", "name", "qualified_name", "file_path", "first_line", "source_code")
 
 
-def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def seeds(nodes: DataFrame, embeddings: DataFrame | vector_index.VectorIndex | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """exact (id), semantic (id, score) and lexical (id, score) seeds. The latter two are empty where there is an exact one.
+    `embeddings` may be a vector index; a search within one repository takes no more than its pool of candidates.
     `index` is the full-text index of the same nodes (postings, corpora); without it the text is read."""
     spark = nodes.sparkSession
     exact = spark.createDataFrame([], "id string")
@@ -32,9 +33,7 @@ def seeds(nodes: DataFrame, embeddings: DataFrame | None, question: str | None =
     own = filters.in_repo(nodes, repo)
     semantic = none
     if embeddings is not None and vector is not None:
-        # A search within one repository has no final limit; one over all stops at the seeds.
-        hits = search.vector_search(embeddings, vector, k=None if repo else SEMANTIC_SEEDS, ids=own if repo else None)
-        semantic = traverse.settled(hits)
+        semantic = traverse.settled(vector_index.scoped_search(embeddings, vector, SEMANTIC_SEEDS, own if repo else None))
     terms = spark.range(1).select(search.query_terms(F.lit(question)).alias("t")).first()["t"]
     if not terms:
         return exact, semantic, none
