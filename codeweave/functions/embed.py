@@ -6,9 +6,9 @@ a vector of unit length; others plug in by `register`. Backends are named on the
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
+import zlib
 from collections.abc import Callable
 from functools import lru_cache
 from typing import Protocol
@@ -45,15 +45,18 @@ class HashingEmbedder:
         return [w.lower() for w in words] + parts + [f"#{p[i : i + 3]}" for p in parts for i in range(len(p) - 2)]
 
     def embed(self, texts: list[str], input_type: str = "document") -> np.ndarray:
+        """Features of all texts are counted at once: each distinct one is hashed once, by CRC-32."""
+        found = [self._features(t or "") for t in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        numbers: dict[str, int] = {}
+        own = np.array([numbers.setdefault(f, len(numbers)) for each in found for f in each], np.int64)
+        hashes = np.array([zlib.crc32(f.encode()) for f in numbers], np.int64)
         out = np.zeros((len(texts), self.dims), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for f in self._features(text or ""):
-                h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
-                row[h % self.dims] += 1 if h >> 63 else -1
-            n = float(np.linalg.norm(row))
-            if n:
-                row /= n
-        return out
+        if len(own):
+            h = hashes[own]
+            np.add.at(out, (rows, h % self.dims), np.where(h >> 31, 1, -1).astype(np.float32))
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
 class HostedEmbedder:
@@ -68,7 +71,8 @@ class HostedEmbedder:
         return np.array([v for _, v in sorted(self.call(texts), key=lambda p: p[0])], np.float32).reshape(len(texts), self.dims)
 
 
-_BACKENDS: dict[str, Callable[[], Embedder]] = {"hashing": HashingEmbedder, "hosted": HostedEmbedder}
+#: `local` names what runs without a service: hashing, as there is no model here.
+_BACKENDS: dict[str, Callable[[], Embedder]] = {"hashing": HashingEmbedder, "local": HashingEmbedder, "hosted": HostedEmbedder}
 
 
 def register(name: str, make: Callable[[], Embedder]) -> None:
@@ -85,8 +89,19 @@ def chosen() -> str:
     return os.environ.get("EMBEDDER", "hashing")
 
 
+def _backend(name: str | None) -> Callable[[], Embedder]:
+    name = name or chosen()
+    if name not in _BACKENDS:
+        raise ValueError(f"no such embedder: {name}; there are {', '.join(sorted(_BACKENDS))}")
+    return _BACKENDS[name]
+
+
+def dimensions(backend: str | None = None) -> int:
+    return _made(_backend(backend)).dims
+
+
 def embed_column(text: Column, backend: str | None = None, input_type: str = "document") -> Column:
-    make = _BACKENDS[backend or chosen()]
+    make = _backend(backend)
 
     @pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
@@ -99,7 +114,7 @@ def embed_column(text: Column, backend: str | None = None, input_type: str = "do
 
 
 def embed_query(text: str, backend: str | None = None) -> list[float]:
-    return _made(_BACKENDS[backend or chosen()]).embed([text], "query")[0].tolist()
+    return _made(_backend(backend)).embed([text], "query")[0].tolist()
 
 
 def embed_nodes(nodes: DataFrame, level: str = "high", backend: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def bm25_indexed(index: DataFrame, corpora: DataFrame, terms: list[str], k: int)
     return hits.groupBy("id").agg(F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _is(term: str):
+def is_term(term: str) -> Callable[[Column], Column]:
+    """A test of an element: a lambda with the term for a second parameter would be given the place."""
     return lambda x: x == term
 
 
@@ -92,6 +94,6 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int) -
     for i, t in enumerate(wanted):
         df = corpus[f"df{i}"]
         idf = math.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5))
-        tf = F.size(F.filter("own", _is(t)))
+        tf = F.size(F.filter("own", is_term(t)))
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(corpus["avg_len"] or 1.0)))
     return tokens.where(F.size("own") > 0).select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import embed
-from ..operators import filters, intervals, ranking, search, stats, upsert
+from ..operators import intervals, ranking, search, stats, upsert
+from ..operators.fields import FieldIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import scan
 from ..sources.graph_store import GraphStore
 from . import diagnose, index, replies, retrieve
@@ -23,6 +26,8 @@ class CodeGraph:
     def __init__(self, spark: SparkSession, folder: str, counter: replies.Counter | None = None, analyse: Callable[[str], str] | None = None) -> None:
         """`counter` counts the tokens of requests and replies, `analyse` is asked for a cause; neither is there by default."""
         self.spark, self.store, self.counter, self.analyse = spark, GraphStore(spark, folder), counter, analyse
+        self.vectors: VectorIndex | None = None
+        self.texts: FieldIndex | None = None
 
     def table(self, name: str, repo: str | None = None) -> DataFrame:
         return self.store.read(name, _TABLES[name], repo)
@@ -31,26 +36,28 @@ class CodeGraph:
 
     def index_repo(self, root: str, repo: str, level: str = "high", extensions: list[str] | None = None, ignore: list[str] | None = None, embedder: str | None = None) -> DataFrame:
         """Reads a source tree in place of what was known of the repository; a row of counts."""
-        files = scan.scan(self.spark, root, extensions, ignore)
+        dims = self.dimensions()
+        if level != "low" and dims is not None and dims != (own := embed.dimensions(embedder)):
+            raise ValueError(f"the stored embeddings have {dims} dimensions, the embedder {own}: reset the index first")
+        counts = stats.IndexCounts(schema.LEVEL_EDGES[level])
+        files = counts.files(scan.scan(self.spark, root, extensions, ignore))
         if level == "low":
             nodes, edges = index.inventory(files, repo, root), self.spark.createDataFrame([], schema.EDGES)
-            raw = edges
         else:
-            self.store.write("records", index.parse(files), repo)
-            records = self.store.read("records", index.RECORD, repo)
-            nodes, edges = index.build(records, repo, root, level)
-            raw = filters.level_edges(records.where("record = 'edge'").select("type"), level)
+            self.store.write("records", counts.records(index.parse(files)), repo)
+            nodes, edges = index.build(self.store.read("records", index.RECORD, repo), repo, root, level)
         # Incidents and findings stay, their edges to nodes of the old state go.
         gone = self.store.read("nodes", schema.NODES, repo).select(F.col("id").alias("target"))
         self.store.write("links", self.table("links").join(gone, "target", "left_anti").select("source", "target", "type"))
-        self.store.write("nodes", nodes, repo)
+        self.store.write("nodes", counts.nodes(nodes), repo)
         self.store.write("edges", edges, repo)
         own = self.store.read("nodes", schema.NODES, repo)
         self.store.write("embeddings", embed.embed_nodes(own, level, embedder), repo)
         text = retrieve.node_document()
         self.store.write("postings", search.postings(own, "id", text).sortWithinPartitions("term"), repo)
         self.store.write("corpora", search.corpus(own, text), repo)
-        return stats.index_summary(files.select("rel_path"), own, raw)
+        self.vectors = self.texts = None
+        return counts.row(self.spark)
 
     def index_github(self, url: str, folder: str, present: bool = False, run=None) -> DataFrame:
         """Clones or pulls a repository with `run(command)`, then reads it."""
@@ -66,7 +73,23 @@ class CodeGraph:
     def embeddings_of(self, repo: str) -> int:
         return self.store.read("embeddings", _TABLES["embeddings"], repo).count()
 
+    def dimensions(self) -> int | None:
+        """The dimensions of the stored embeddings; None where there are none."""
+        row = self.table("embeddings").where("embedding IS NOT NULL").select(F.size("embedding")).first()
+        return row[0] if row else None
+
+    def build_vector_index(self, cells: int | None = None) -> VectorIndex:
+        """Indexes the stored embeddings; questions are answered from there until something is indexed anew."""
+        self.vectors = VectorIndex.build(self.table("embeddings"), f"{self.store.folder}-vectors/{uuid.uuid4().hex}", cells)
+        return self.vectors
+
+    def build_text_index(self) -> FieldIndex:
+        """Indexes five fields of all nodes; questions are answered from there until something is indexed anew."""
+        self.texts = FieldIndex.build(self.table("nodes"), f"{self.store.folder}-texts/{uuid.uuid4().hex}")
+        return self.texts
+
     def reset_index(self) -> None:
+        self.vectors = None
         self.store.drop("embeddings")
 
     # --- queries ----------------------------------------------------------------------------------------------------
@@ -74,9 +97,9 @@ class CodeGraph:
     def query_codebase(self, question: str | None = None, symbol: str | None = None, file_path: str | None = None, node_type: str | None = None, depth: int = 1, limit: int = 4, repo: str | None = None, embedder: str | None = None) -> DataFrame:
         if depth < 0 or limit < 0:
             raise ValueError("depth and limit must not be negative")
-        nodes, edges = self.table("nodes"), self.table("edges")
+        nodes, edges = self.table("nodes", repo), self.table("edges", repo)
         vector = embed.embed_query(question, embedder) if question else None
-        seeds = retrieve.seeds(nodes, self.table("embeddings"), question, symbol, file_path, repo, vector, (self.table("postings", repo), self.table("corpora", repo)))
+        seeds = retrieve.seeds(nodes, self.vectors or self.table("embeddings"), question, symbol, file_path, repo, vector, self.texts or (self.table("postings", repo), self.table("corpora", repo)), self.table("nodes"))
         return retrieve.retrieve(nodes, edges, *seeds, depth, limit, repo, node_type)
 
     def get_nodes_context(self, probes: list[tuple[str, int]], repo: str | None = None, max_lines: int = 20) -> DataFrame:
@@ -84,7 +107,7 @@ class CodeGraph:
         if len(probes) > MAX_NODES or not 1 <= max_lines <= MAX_LINES:
             raise ValueError(f"at most {MAX_NODES} places and 1 to {MAX_LINES} lines")
         asked = self.spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate(probes)], "probe int, file_hint string, line int")
-        nodes = filters.in_repo(self.table("nodes"), repo)
+        nodes = self.table("nodes", repo)
         found = intervals.batch_lookup(nodes, asked)
         body = F.array_join(F.slice(F.split(F.coalesce("source_code", F.lit("")), "\n", -1), 1, max_lines), "\n")
         known = filters.project(nodes).drop("source_code", "repo_path", "hash").join(nodes.select("id", body.alias("source")), "id")
@@ -104,7 +127,7 @@ class CodeGraph:
 
     def diagnose_issue(self, question: str, repo: str | None = None, embedder: str | None = None, **where) -> diagnose.Context:
         affects = self.table("links").where("type = 'AFFECTS'")
-        return diagnose.context(self.table("nodes"), self.table("edges"), self.table("findings"), affects, self.table("incidents"), question, self.table("embeddings"), embed.embed_query(question, embedder) if question else None, repo, **where)
+        return diagnose.context(self.table("nodes", repo), self.table("edges", repo), self.table("findings"), affects, self.table("incidents"), question, self.vectors or self.table("embeddings"), embed.embed_query(question, embedder) if question else None, repo, **where)
 
     def ingest_incident_evidence(self, incident: dict, file: str | None = None, line: int | None = None) -> None:
         """Stores an incident, its entities and links; a file and line link it to the node there."""

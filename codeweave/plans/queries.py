@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import traces as X
 from ..operators import filters, fusion, intervals, ranking, resolve, search, stats, traverse, upsert
+from ..operators.fields import FieldIndex
 from ..operators.vector_index import VectorIndex, scoped_search
 from ..sources import scan
 from ..sources.places import shared_folder
@@ -468,6 +469,24 @@ def fulltext_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(L.table(spark, d, "documents"), "doc_id", F.col("text"), _TERMS, 20).select("id", F.round("score", 6).alias("score"))
 
 
+_FIELDS = {"name": 2.0, "file_path": 1.5, "first_line": 1.0, "documentation": 0.5, "source_code": 1.0}
+_FIELD_TERMS = ["src3", "en", "the", "ouwhea", "thonre"]
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, source AS name, 'src/' || lang || '/' || source || '.java' AS file_path, string_split(text, e'\n')[1] AS first_line, coalesce(string_split(text, e'\n')[2], '') AS documentation, text AS source_code FROM documents),
+f AS (SELECT id, field, regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}]+') AS terms FROM ({" UNION ALL ".join(f"SELECT id, '{f}' AS field, {f} AS value FROM d" for f in _FIELDS)})),
+s AS (SELECT field, count(*) AS n, avg(len(terms)) AS a FROM f GROUP BY field), h AS (SELECT id, field, len(terms) AS len, t, len(list_filter(terms, lambda x: x = t)) AS tf FROM f, (SELECT unnest({_FIELD_TERMS}) AS t) WHERE list_contains(terms, t)),
+df AS (SELECT field, t, count(*) AS df FROM h GROUP BY field, t),
+r AS (SELECT id, round(sum(CASE field {" ".join(f"WHEN '{f}' THEN {w}::double" for f, w in _FIELDS.items())} END * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / a))), 9) AS score FROM h JOIN df USING (field, t) JOIN s USING (field) GROUP BY id)
+SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20""")
+def fulltext_fields(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.split("text", "\n", -1)
+    path = F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit(".java"))
+    docs = L.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), path.alias("file_path"), F.get(lines, F.lit(0)).alias("first_line"), F.get(lines, F.lit(1)).alias("documentation"), F.col("text").alias("source_code"))
+    index = FieldIndex.build(docs, shared_folder(spark, "fields"), _FIELDS)
+    return index.search(docs, _FIELD_TERMS, 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS u, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS a FROM benchmark),
 e AS (SELECT item_id, unnest(u) AS term, a FROM t), w AS (SELECT item_id, term, list_position(a, term) AS pos, length(term) + CASE WHEN term[1] <> lower(term[1]) THEN 3 ELSE 0 END AS weight FROM e WHERE length(term) >= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, pos) AS rank FROM w)

@@ -12,12 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
+from ..operators import stats
 from ..sources import parsers, scan
 from ..sources.places import shared_folder
 from . import index
 from . import lenses as L
 from .queries import query
-from .queries_code import made, made_sql
+from .queries_code import REPO, made, made_sql, sources
+
+#: Each file has itself and three declarations, two of which it contains, with two or three that it defines, and one or two calls.
+_EVERY_NODE = "SELECT p_partkey FROM part, range(4)"
+_EVERY_EDGE = "SELECT p_partkey FROM part, range(CASE p_partkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 6 ELSE 5 END)"
+
 
 # --- trees ------------------------------------------------------------------------------------------------------------
 
@@ -61,6 +68,17 @@ def scan_tree(spark: SparkSession, d: str) -> DataFrame:
     return scan.scan(spark, folder)
 
 
+@query(f"""SELECT (SELECT count(*) FROM part)::bigint AS files_scanned, (SELECT count(*) FROM ({_EVERY_NODE}))::bigint AS nodes_found, (SELECT count(*) FROM ({_EVERY_EDGE}))::bigint AS edges_found, 0::bigint AS findings_found""")
+def index_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of an index that are observed while its tables are written."""
+    counts, folder = stats.IndexCounts(schema.LEVEL_EDGES["high"]), shared_folder(spark, "index")
+    counts.records(index.parse(counts.files(sources(spark, d)))).write.parquet(f"{folder}/records")
+    nodes, edges = index.build(spark.read.schema(index.RECORD).parquet(f"{folder}/records"), REPO)
+    counts.nodes(nodes).write.parquet(f"{folder}/nodes")
+    edges.write.parquet(f"{folder}/edges")
+    return counts.row(spark).drop("duration_ms")
+
+
 # --- a parser of one's own --------------------------------------------------------------------------------------------
 
 

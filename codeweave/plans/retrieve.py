@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import filters, fusion, ranking, search, traverse, vector_index
+from ..operators import fields, filters, fusion, ranking, search, traverse, vector_index
 
 SEMANTIC_SEEDS = LEXICAL_SEEDS = 3
 SOURCE_LINES = 2
@@ -16,10 +16,11 @@ def node_document() -> Column:
     return F.concat_ws(" ", "name", "qualified_name", "file_path", "first_line", "source_code")
 
 
-def seeds(nodes: DataFrame, embeddings: DataFrame | vector_index.VectorIndex | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def seeds(nodes: DataFrame, embeddings: DataFrame | vector_index.VectorIndex | None, question: str | None = None, symbol: str | None = None, file_path: str | None = None, repo: str | None = None, vector: list[float] | None = None, index: tuple[DataFrame, DataFrame] | fields.FieldIndex | None = None, everything: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """exact (id), semantic (id, score) and lexical (id, score) seeds. The latter two are empty where there is an exact one.
     `embeddings` may be a vector index; a search within one repository takes no more than its pool of candidates.
-    `index` is the full-text index of the same nodes (postings, corpora); without it the text is read."""
+    `index` is the full-text index of the same nodes (postings, corpora), or one over the fields of `everything`, the nodes of all repositories;
+    without it the text is read."""
     spark = nodes.sparkSession
     exact = spark.createDataFrame([], "id string")
     if symbol:
@@ -37,7 +38,11 @@ def seeds(nodes: DataFrame, embeddings: DataFrame | vector_index.VectorIndex | N
     terms = spark.range(1).select(search.query_terms(F.lit(question)).alias("t")).first()["t"]
     if not terms:
         return exact, semantic, none
-    hits = traverse.settled(search.bm25_indexed(*index, terms, LEXICAL_SEEDS) if index else search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS))
+    if isinstance(index, fields.FieldIndex):
+        found = fields.scoped_search(index, nodes if everything is None else everything, terms, LEXICAL_SEEDS, own if repo else None)
+    else:
+        found = search.bm25_indexed(*index, terms, LEXICAL_SEEDS) if index else search.bm25(own, "id", node_document(), terms, LEXICAL_SEEDS)
+    hits = traverse.settled(found)
     order = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1  # three rows
     return exact, semantic, hits.withColumn("score", fusion.lexical_score(order))
 

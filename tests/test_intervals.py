@@ -28,8 +28,8 @@ def same(a, b):
     return a is not None and a == b
 
 
-@pytest.mark.parametrize("seed,top,deep", [(1, 3, 64), (2, 1, 64), (3, 3, 2), (4, 5, 0)])
-def test_lookup_of_any_spans(spark, seed, top, deep):
+@pytest.mark.parametrize("seed,top,deep,few", [(1, 3, 64, 0), (2, 1, 64, 42), (3, 3, 2, 0), (4, 5, 0, 45), (5, 3, 64, 999)])
+def test_lookup_of_any_spans(spark, seed, top, deep, few):
     rng = random.Random(seed)
     nodes, probes = [], []
     for i in range(160):
@@ -39,7 +39,7 @@ def test_lookup_of_any_spans(spark, seed, top, deep):
     nodes += [(f"m{i}", "f1", 30, 30 + i % 3) for i in range(12)]
     for i in range(200):
         probes.append((i, rng.choice(["f0", "f1", "f2", "f3", "none", None]), rng.choice([0, rng.randint(1, 70), rng.randint(1, 6000), 1 << 22, (1 << 31) - 1, None])))
-    got = intervals.at_line(spark.createDataFrame(nodes, NODES).repartition(3), spark.createDataFrame(probes, PROBES), top, ["file_path"], deep)
+    got = intervals.at_line(spark.createDataFrame(nodes, NODES).repartition(3), spark.createDataFrame(probes, PROBES), top, ["file_path"], deep, few)
     assert {tuple(r) for r in got.select("probe", "id", "span", "encloses", "rank").collect()} == best(nodes, probes, top, same)
 
 

@@ -144,3 +144,46 @@ def test_an_index_reads_hidden_files_and_keeps_errors(spark, lines, tmp_path):
     assert {r["id"] for r in graph.table("nodes", "one").where("type = 'FUNCTION'").collect()} == {"one::_p/.x.ts:FUNCTION:hid:1"}
     assert [tuple(r) for r in graph.index_errors("one").collect()] == [("y.foo", "ValueError: as told")]
     assert graph.index_errors("two").count() == 0
+
+
+def test_an_index_counts_while_it_writes(spark, tmp_path):
+    from codeweave.operators import stats
+
+    top = tmp_path / "code"
+    top.mkdir()
+    (top / "A.java").write_text("class A extends B { void f() { g(); } void g() { } }\nclass B { }\n")
+    (top / "b.ts").write_text("function f() { missing(); }")
+    graph = CodeGraph(spark, str(tmp_path / "store"))
+    row = graph.index_repo(str(top), "one").first()
+    records = graph.store.read("records", index.RECORD, "one")
+    same = stats.index_summary(scan.scan(spark, str(top)), graph.table("nodes", "one"), records.where("record = 'edge'").select("type")).first()
+    assert tuple(row)[:4] == tuple(same) == (2, 7, 10, 0) and row["duration_ms"] > 0
+    low = graph.index_repo(str(top), "two", "low").first()
+    assert tuple(low)[:4] == (2, 2, 0, 0)
+    counts, before = stats.IndexCounts(["CALLS"]), []
+    counts.nodes(spark.range(5)).write.parquet(str(tmp_path / "n"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    assert counts.row(spark).first()["nodes_found"] == 5
+    assert len(tracker.getJobIdsForGroup()) - before <= 1  # the row's own
+
+
+def test_embeddings_of_other_dimensions_are_refused(spark, tmp_path):
+    from codeweave.functions import embed
+
+    top = tmp_path / "code"
+    top.mkdir()
+    (top / "b.ts").write_text("function findMe() { }")
+    graph = CodeGraph(spark, str(tmp_path / "store"))
+    graph.index_repo(str(top), "one", embedder="local")
+    assert graph.dimensions() == 256
+    embed.register("tiny", lambda: embed.HashingEmbedder(8))
+    with pytest.raises(ValueError, match="256 dimensions, the embedder 8"):
+        graph.index_repo(str(top), "two", embedder="tiny")
+    with pytest.raises(ValueError, match="no such embedder: other"):
+        graph.index_repo(str(top), "two", embedder="other")
+    graph.build_vector_index()
+    assert [r["name"] for r in graph.query_codebase("find me", repo="one").collect()] == ["findMe"]
+    graph.reset_index()
+    graph.index_repo(str(top), "two", embedder="tiny")
+    assert graph.dimensions() == 8
