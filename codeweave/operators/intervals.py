@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import stored
+
 #: Rank of nodes that start above the line but do not enclose it.
 NOT_ENCLOSING = 999_999
 TOP = 3
@@ -39,7 +41,7 @@ def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] |
     probes: (probe, line) and either the columns `on`, equal in both tables, or `file_hint`, a part of the path.
     """
     keys = on or ["file_path"]
-    asked = (probes if on else matched(nodes, probes)).where("line IS NOT NULL")
+    asked = (probes if on else stored(matched(nodes, probes), "matched")).where("line IS NOT NULL")
     rows = nodes.select(*keys, "id", "start_line", "end_line").where("start_line IS NOT NULL")
     large = rows.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).count().where(F.col("count") > few).select(*keys)
 

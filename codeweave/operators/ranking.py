@@ -25,6 +25,11 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def top_of(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group, with their `rank`; Spark drops the rest before it shuffles."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
 def top_results(chunks: DataFrame, limit: int) -> DataFrame:
     """The best of each path and name (repositories share them), by score, then distance, then id."""
     order = [F.desc("score"), F.asc_nulls_first("distance"), F.asc("id")]

@@ -105,6 +105,20 @@ def walk(edges: Edges, seeds: DataFrame, hops: int, inbound: bool = False) -> Da
     return out.groupBy("id").agg(F.min("distance").alias("distance"))
 
 
+def walk_each(edges: Edges, seeds: DataFrame, hops: int, inbound: bool = False) -> DataFrame:
+    """(origin, id, distance): what 1 to `hops` edges reach from each of the seeds (origin), at the least distance."""
+    a, b = ("target", "source") if inbound else ("source", "target")
+    tables = [edges] if isinstance(edges, DataFrame) else [edges.into, edges.hubs_into] if inbound else [edges.out, edges.hubs_out]
+    level = settled(seeds.select("origin", F.col("origin").alias("id")).distinct())
+    out: DataFrame | None = None
+    for d in range(1, hops + 1):
+        found = [t.select(F.col(a).alias("id"), F.col(b).alias("_to")).join(level, "id").select("origin", F.col("_to").alias("id")) for t in tables if t is not None]
+        level = (found[0] if len(found) == 1 else found[0].unionAll(found[1])).distinct()
+        here = level.withColumn("distance", F.lit(d))
+        out = here if out is None else out.unionAll(here)
+    return out.groupBy("origin", "id").agg(F.min("distance").alias("distance"))
+
+
 def calls_graph(nodes: DataFrame, edges: Edges, seeds: DataFrame, depth: int = 1, repo: str | None = None, least: float = 0.5) -> DataFrame:
     """(id, direction, distance): callees and callers of the seeds over confident calls, at most 3 hops. Ends are
     methods and functions of the repository that are no seeds; what lies between may be anything."""

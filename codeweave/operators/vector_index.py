@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import search
+from .ranking import top_of
 
 #: Vectors that are learned from, for each cell and at most; rounds of learning; patterns of a piece.
 PER_CELL, SAMPLE, ROUNDS, PATTERNS = 64, 40_000, 12, 256
@@ -149,6 +150,26 @@ class VectorIndex:
         vector = F.array(*[F.lit(float(x)) for x in query])
         return rows.select("id", search.cosine(F.col("embedding"), vector).alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
+    def nearest(self, queries: DataFrame, n: int, threshold: float = search.SEMANTIC_THRESHOLD, probes: int | None = None) -> DataFrame:
+        """(query_id, id, score, rank): for each of the queries (query_id, vector) the n nearest vectors of its probed cells, scored on their vectors.
+        Queries go to their cells; neither they nor the cells pass the driver. A null, zero or otherwise odd vector finds nothing."""
+        model, many = self.model, probes if probes is not None else self.usual_probes()
+        kind = dict(queries.dtypes)["query_id"]
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    some = batch.slice(at, 1024)
+                    units = np.array(some.column("unit").to_pylist(), np.float64).reshape(some.num_rows, -1)
+                    cells = np.argsort(-(units @ model.centres.T), axis=1, kind="stable")[:, :many]
+                    row = pa.array(np.repeat(np.arange(some.num_rows), cells.shape[1]))
+                    yield pa.record_batch({"query_id": some.column("query_id").take(row), "vector": some.column("unit").take(row), "cell": pa.array(cells.ravel().astype(np.int32))})
+
+        rows = usable(queries.select("query_id", F.col("vector").alias("embedding")), model.dims).select("query_id", "unit")
+        routed = rows.mapInArrow(route, f"query_id {kind}, vector array<double>, cell int")
+        scored = routed.join(self.table().select("id", "embedding", "cell"), "cell").select("query_id", "id", search.cosine(F.col("embedding"), F.col("vector")).alias("score")).where(F.col("score") >= threshold)
+        return top_of(scored, ["query_id"], [F.desc("score"), F.asc("id")], n)
+
     def usual_probes(self) -> int:
         """A quarter of the cells, and eight at least."""
         return min(len(self.model.centres), max(8, len(self.model.centres) // 4))

@@ -128,9 +128,9 @@ def diagnosis(context: Context, analyse: Callable[[str], str] | None = None, pro
     if where is not None and context.evidence_level == "exact":
         out = [f"📍 Epicentre: `{where['name']}`", f"   File: {where['file_path']}  Line: {where['start_line']}", f"   {where['first_line'] or ''}"]
     elif where is not None:
-        out = ["⚠  No exact incident location resolved in the graph.", f"   Semantic candidate only: {where['name']}  ({where['file_path']}:{where['start_line']})"]
+        out = ["⚠  The report names no place that the graph knows.", f"   Closest code by meaning: {where['name']}  ({where['file_path']}:{where['start_line']})"]
     else:
-        out = ["⚠  No incident location or relevant code was resolved in the graph."]
+        out = ["⚠  The report names no place that the graph knows, and no code is close to it."]
     for title, table, line in (
         ("Callers", context.callers, _place),
         ("Callees", context.callees, _place),
@@ -144,8 +144,8 @@ def diagnosis(context: Context, analyse: Callable[[str], str] | None = None, pro
     text = "\n".join(out)
     if context.evidence_level != "exact":
         return (
-            f"{text}\n── Evidence gap ──\nThe graph cannot determine the root cause from this alert alone.\n"
-            "Provide a stack trace or failing file and line to resolve code evidence. Include trace, route, dependency, deployment, or resource observations as runtimeEvidence when available."
+            f"{text}\n── What is missing ──\nWithout a place in the code no cause is named.\n"
+            "Give a trace, or a file and a line; what was observed at run time (requests, routes, deployments, dependencies, resources) goes into runtimeEvidence."
         )
     if analyse is None:
         return f"{text}\n── AI diagnosis unavailable ──\nNo analyst is configured."

@@ -92,7 +92,7 @@ def test_diagnosis_texts(spark, graph):
     known.analyse = broken
     assert known.ask("diagnose_issue", question="why", file="Till.java", line=6).text.endswith("── AI diagnosis unavailable ──\nAI analysis failed: no key")
     gap = graph.ask("diagnose_issue", question="why", file="Nowhere.java", line=1).text
-    assert "\n── Evidence gap ──\nThe graph cannot determine the root cause from this alert alone.\n" in gap
+    assert "\n── What is missing ──\nWithout a place in the code no cause is named.\n" in gap
 
 
 def test_evaluation_texts(graph):

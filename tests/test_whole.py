@@ -1,81 +1,6 @@
-"""Queries over the whole of their tables, where the registered SQL takes a part: the same SQL without its filter, or one of its own."""
-
-import os
-
-import duckdb
-import pytest
+"""A query on rows that the driver's tables do not have."""
 
 import __spark_entry__ as entry
-from codeweave.plans import lenses
-
-from .test_queries import SF, norm
-
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-
-
-def check(spark, name, sql):
-    df = entry.queries()[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted(tuple(map(norm, r)) for r in df.select(*columns).collect())
-    with duckdb.connect() as db:
-        for f in os.listdir(SF):
-            db.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-        rel = db.sql(sql)
-        names = list(rel.columns)
-        want = sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in rel.fetchall())
-    assert got == want
-
-
-def without(name, text):
-    return entry.oracle_sql()[name].replace(text, "")
-
-
-def test_calls_of_all_orders(spark):
-    check(spark, "resolve_calls_by_name", without("resolve_calls_by_name", " WHERE l_orderkey % 10 = 0"))
-
-
-@pytest.mark.parametrize("name", ["interval_lookup_top3", "batch_interval_lookup"])
-def test_lines_of_all_customers(spark, name):
-    check(spark, name, without(name, " WHERE c_custkey % 3 = 0"))
-
-
-def test_hints_of_all_traces(spark):
-    line = r"""concat_ws(';', NULLIF(array_to_string(list_transform(generate_series(1, len(regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)'))),
-      lambda i: regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)', 1)[i] || ':' || regexp_extract_all(text, '(\w+\.(?:java|ts|js|py|go))\s*[:#]\s*(\d+)', 2)[i]), ';'), ''),
-      CASE WHEN trace_id % 5 = 4 THEN 'Store' || trace_id || ':' || trace_id || ';or:' || trace_id || ';Util' || trace_id || ':4' END)"""
-    check(spark, "line_hints", f"WITH {lenses.TRACES} SELECT trace_id, {line} AS hints FROM traces")
-
-
-def test_lexical_hits_are_the_best_three_of_all_users(spark):
-    bm25 = "sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / a)))"
-    ranking = f"""x AS (SELECT user_id, count(*) AS len FROM events GROUP BY user_id), xc AS (SELECT count(*) AS n, avg(len) AS a FROM x),
-xh AS (SELECT user_id, event_type AS term, count(*) AS tf FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL), xf AS (SELECT term, count(*) AS df FROM xh GROUP BY term),
-xs AS (SELECT 'user:' || user_id AS id, round({bm25}, 9) AS s FROM xh JOIN x USING (user_id) JOIN xf USING (term), xc GROUP BY 1),
-lex AS (SELECT id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY s DESC, id) - 1) AS l FROM xs ORDER BY s DESC, id LIMIT 3)"""
-    cut = "lex AS (SELECT 'user:' || user_id AS id, 0.85::double - 0.05::double * (row_number() OVER (ORDER BY user_id) - 1) AS l FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 50 = 3))"
-    check(spark, "hybrid_fusion", entry.oracle_sql()["hybrid_fusion"].replace(cut, ranking))
-
-
-def test_groups_of_all_customers(spark):
-    check(spark, "group_by_file", without("group_by_file", " WHERE c_custkey <= 50"))
-
-
-def test_index_of_all_documents(spark):
-    check(spark, "inverted_index", without("inverted_index", " WHERE source = 'src1'"))
-
-
-def test_metrics_of_one_source_and_of_all_rows(spark):
-    one = entry.oracle_sql()["evaluation_metrics"].partition("\nUNION ALL")[0]
-    every = one.replace("SELECT source,", "SELECT NULL::varchar AS source,").replace(" WHERE source = 'src1' GROUP BY source", "")
-    check(spark, "evaluation_metrics", f"{one} UNION ALL {every}")
-
-
-def test_ids_of_all_edges(spark):
-    check(spark, "globalise_ids", f"WITH {lenses.EDGES} SELECT 'r::' || source AS source, CASE WHEN type = 'CONTAINS' THEN 'r::' ELSE '' END || target AS target FROM edges")
-
-
-def test_findings_of_all_items(spark):
-    check(spark, "link_findings", without("link_findings", "l_returnflag = 'R' AND "))
 
 
 def test_text_of_documents_without_a_first_line(spark, tmp_path):
