@@ -4,7 +4,9 @@ On a bounded sample of rows the driver builds the graph of nearest neighbours an
 size that keep neighbours together; a small neural classifier then learns, from a vector, in which partitions its
 neighbours lie. Every row of the table is indexed in the partition that the classifier gives it, rows of the sample among
 them; a query goes to its most probable partitions, where exact cosines rank the rows. How many partitions a query
-probes follows from the recall that the sample's own held-out rows reach, and there are more partitions for larger tables.
+probes is its own: the most probable ones until their probabilities add up to a mass, the least by which the sample's held-out rows reach
+the recall. Queries within a cluster are sure of a few partitions, those between clusters of none. There are more partitions for larger
+tables, as many as the sample can teach.
 
 Only the fit sees a sample (`sample` rows, those with the least hashed ids); all rows are indexed. Rows of a partition are
 dealt to blocks, files in the shared folder, so a partition that many equal vectors fill does not meet in one task; a
@@ -31,8 +33,8 @@ from .vectors import BLOCK_ROWS, GROUP, QUERY_ROWS, apart, groups, matrix, salte
 
 #: Rows that the fit may see.
 SAMPLE = 8_000
-#: Partitions at least and at most (the sample has to teach each of them), and rows of a partition that are aimed at.
-PARTITIONS, MOST_PARTITIONS = 16, 64
+#: Partitions at least, rows of the sample that teach each of them at least, and rows of a partition that are aimed at.
+PARTITIONS, TEACHERS = 16, 60
 PARTITION_ROWS = 1 << 15
 NEIGHBOURS = 10
 HIDDEN = 128
@@ -99,13 +101,13 @@ def cut_graph(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.Genera
 
 @dataclass
 class Router:
-    """Softmax over partitions from one hidden layer; bounded by HIDDEN and MOST_PARTITIONS, so it may be broadcast."""
+    """Softmax over partitions from one hidden layer; bounded by HIDDEN and the sample's size, so it may be broadcast."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
+    mass: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(0, x @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -113,9 +115,18 @@ class Router:
     def partition(self, x: np.ndarray) -> np.ndarray:
         return self.logits(x).argmax(1)
 
-    def routes(self, x: np.ndarray) -> np.ndarray:
-        """The partitions to probe, most probable first."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, : self.probes]
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All partitions, most probable first, and what the probabilities of those before each add up to."""
+        z = self.logits(x)
+        e = np.exp(z - z.max(1, keepdims=True))
+        order = np.argsort(-z, axis=1, kind="stable")
+        own = np.take_along_axis(e / e.sum(1, keepdims=True), order, axis=1)
+        return order, np.cumsum(own, axis=1) - own
+
+    def routes(self, x: np.ndarray) -> list[list[int]]:
+        """The partitions to probe for each row, most probable first: one at least."""
+        order, before = self.ranked(x)
+        return [row[: max(1, int(n))].tolist() for row, n in zip(order, (before < self.mass).sum(1), strict=True)]
 
 
 def train(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, epochs: int = 30, rate: float = 0.01) -> Router:
@@ -142,7 +153,7 @@ def train(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, epochs: i
 
 
 def fit(x: np.ndarray, partitions: int = PARTITIONS, recall: float = RECALL, seed: int = 7) -> Router:
-    """Graph, partitions, classifier and number of probes from the sample's unit vectors."""
+    """Graph, partitions, classifier and the mass to probe from the sample's unit vectors."""
     rng = np.random.default_rng(seed)
     x = unit(x)
     near = neighbours(x, NEIGHBOURS)
@@ -155,22 +166,19 @@ def fit(x: np.ndarray, partitions: int = PARTITIONS, recall: float = RECALL, see
     held = rng.permutation(len(x))[: min(len(x) // 5, 1000)]
     rest = np.setdiff1d(np.arange(len(x)), held)
     router = train(x[rest], target[rest], rng)
-    router.probes = n_parts
     if len(held):
         # As for rows at large: neighbours lie where the classifier puts them.
-        places, order = router.partition(x), router.routes(x[held])
-        hit = np.zeros(n_parts)
-        for row, nb in zip(order, near[held], strict=True):
-            hit += np.cumsum([(places[nb] == p).sum() for p in row])
-        share = hit / max(1, near[held].size)
-        router.probes = int(np.argmax(share >= recall)) + 1 if (share >= recall).any() else n_parts
+        places, (order, before) = router.partition(x), router.ranked(x[held])
+        there = np.stack([(places[nb][None, :] == row[:, None]).sum(1) for row, nb in zip(order, near[held], strict=True)])
+        masses = [*np.linspace(0.3, 0.99, 70), *(1 - np.logspace(-2, -6, 9)), 2.0]
+        router.mass = next((m for m in masses if there[before < m].sum() >= recall * near[held].size), 2.0)
     return router
 
 
-def partitions_for(rows: int) -> int:
-    """A power of two, as partitions come from halves."""
+def partitions_for(rows: int, sample: int = SAMPLE) -> int:
+    """A power of two, as partitions come from halves; no more than the sample can teach."""
     want = PARTITIONS
-    while want < MOST_PARTITIONS and rows > want * PARTITION_ROWS:
+    while want * 2 * TEACHERS <= sample and rows > want * PARTITION_ROWS:
         want *= 2
     return want
 
@@ -185,7 +193,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = seen["dim"].to_numpy()
     dim = int(np.bincount(dims).argmax())
-    router = fit(matrix(seen["v"].filter(dims == dim)), partitions or partitions_for(rows.count()), recall)
+    router = fit(matrix(seen["v"].filter(dims == dim)), partitions or partitions_for(rows.count(), sample), recall)
     del seen
 
     @pandas_udf("array<int>")
@@ -193,7 +201,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
         out = [[-1]] * len(v)
         own = [i for i, x in enumerate(v) if len(x) == dim]
         if own:
-            for i, r in zip(own, router.routes(unit(np.array([v.iloc[i] for i in own]))).tolist(), strict=True):
+            for i, r in zip(own, router.routes(unit(np.array([v.iloc[i] for i in own]))), strict=True):
                 out[i] = r
         return pd.Series(out)
 

@@ -368,4 +368,18 @@ def test_recall_holds_far_beyond_the_sample(spark):
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
     assert hits >= 0.9 * 5 * n / 20
-    assert [learned_partitions.partitions_for(r) for r in (0, 500_000, 600_000, 10**12)] == [16, 16, 32, 64]
+    assert [learned_partitions.partitions_for(r) for r in (0, 500_000, 600_000, 10**12)] == [16, 16, 32, 128]
+    assert learned_partitions.partitions_for(10**12, 100_000) == 1024
+
+
+def test_queries_within_clusters_visit_a_minority_of_rows():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = learned_partitions.unit(centres[rng.integers(0, 40, 5000)] + 0.3 * rng.normal(size=(5000, 24)))
+    router = learned_partitions.fit(x[:1500], 16)
+    places, near = router.partition(x), learned_partitions.neighbours(x, 5, np.arange(4000, 5000))
+    hit = visited = 0
+    for own, nb in zip(router.routes(x[4000:]), near, strict=True):
+        hit += np.isin(places[nb], own).sum()
+        visited += np.isin(places, own).sum()
+    assert hit / near.size >= 0.9 and visited / (1000 * 5000) < 0.4
