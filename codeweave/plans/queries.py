@@ -524,8 +524,11 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     seeds = _seed_users(spark, d)
     graph = traverse.walk(calls, seeds, 2).withColumn("direction", F.lit("callee")).unionAll(traverse.walk(calls, seeds, 2, True).withColumn("direction", F.lit("caller")))
     semantic = events.where("event_type = 'purchase'").groupBy("user_id").agg((F.max("value") / 200.0).alias("score")).select(name, "score")
-    texts = events.groupBy("user_id").agg(F.concat_ws(" ", F.collect_list("event_type")).alias("text")).select(name, "text")
-    hits = search.bm25(texts, "id", F.col("text"), _EVENT_TERMS, R.LEXICAL_SEEDS)
+    # A user's text is the types of their events: its terms are counted as they are.
+    counts = events.where("event_type IS NOT NULL").groupBy("user_id", "event_type").agg(F.count("*").alias("tf"))
+    sizes = counts.groupBy("user_id").agg(F.sum("tf").alias("len"))
+    index = counts.join(sizes, "user_id").select(name, F.col("event_type").alias("term"), "tf", "len")
+    hits = search.bm25_indexed(index, sizes.agg(F.count("*").alias("docs"), F.sum("len").alias("words")), _EVENT_TERMS, R.LEXICAL_SEEDS)
     lexical = hits.select("id", fusion.lexical_score(F.row_number().over(R.Window.orderBy(F.desc("score"), "id")) - 1).alias("score"))  # three rows
     return fusion.fuse(seeds, semantic, lexical, fusion.call_scores(graph)).select("id", F.round("score", 9).alias("score"))
 
