@@ -38,9 +38,14 @@ NODES = """n AS (SELECT 't' || p_partkey AS id, p_partkey AS k, CASE p_partkey %
   CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE 1 END AS a, CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE 1 END + 3 + p_partkey % 50 AS b FROM part)"""
 
 
+def _vectors(spark: SparkSession, d: str) -> int:
+    """Embeddings that both nodes and reports have: as many as there are of the fewer, parts or embeddings."""
+    return min(L.table(spark, d, "embeddings").count(), L.table(spark, d, "part").count())
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """The traces; those in words are questions, and all have the vector of an embedding."""
-    n = L.table(spark, d, "embeddings").count()
+    n = _vectors(spark, d)
     vectors = L.table(spark, d, "embeddings").select((F.col("vec_id")).alias("v"), F.col("embedding").cast("array<double>").alias("vector"))
     words = F.col("trace_id") % 5 == 4
     t = L.traces(spark, d).select(F.col("trace_id").alias("report_id"), F.when(words, F.col("text")).otherwise("what is it").alias("question"), F.lit(None).cast("string").alias("error"), F.when(~words, F.col("text")).alias("trace"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), ((F.col("trace_id") * 7) % n).alias("v"))
@@ -48,19 +53,20 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    n = L.table(spark, d, "embeddings").count()
+    n = _vectors(spark, d)
     own = L.table(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") % n).alias("vec_id"))
     return own.join(L.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
 
 
 @query(f"""WITH {NODES}, t AS (SELECT 'z' || k AS id, 'run' || k || CASE WHEN k % 6 = 1 THEN 'Test' ELSE '' END AS name FROM n WHERE k % 3 = 1),
-e AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT least((SELECT count(*) FROM embeddings), (SELECT count(*) FROM part)) AS n),
 r AS (SELECT p_partkey AS report_id, p_partkey % 5 AS turn, p_partkey AS k FROM part),
 place AS (SELECT report_id, CASE turn WHEN 0 THEN 'List.java' WHEN 1 THEN 'src/store' || k || '.ts' WHEN 2 THEN 'app/job' || k || '.py' WHEN 3 THEN '/srv/work' || k || '.go' ELSE 'Svc' || k || '.java' END AS file, k AS line FROM r),
 ranked AS (SELECT report_id, id, row_number() OVER (PARTITION BY report_id ORDER BY CASE WHEN b >= line AND b > a THEN b - a ELSE 999999 END, a DESC, id) AS rank FROM place JOIN n ON contains(path, file) AND a <= line),
 exact AS (SELECT report_id, id FROM ranked WHERE rank = 1),
-near AS (SELECT report_id, id, type, row_number() OVER (PARTITION BY report_id ORDER BY id) AS rank FROM r, e, n WHERE report_id NOT IN (SELECT report_id FROM exact) AND n.k % e.n = (r.k * 7) % e.n),
-semantic AS (SELECT report_id, min(id) AS id FROM near WHERE rank <= 5 AND type <> 'CLASS' GROUP BY report_id),
+far AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS s FROM embeddings a, embeddings b, e WHERE a.vec_id < e.n AND b.vec_id < e.n AND a.vec_id IN (SELECT (k * 7) % e.n FROM r, e WHERE turn = 4)),
+near AS (SELECT report_id, id, type, row_number() OVER (PARTITION BY report_id ORDER BY s DESC, id) AS rank FROM r, e, n, far WHERE report_id NOT IN (SELECT report_id FROM exact) AND far.a = (r.k * 7) % e.n AND far.b = n.k % e.n AND s >= 0.30),
+semantic AS (SELECT report_id, first(id ORDER BY rank) AS id FROM near WHERE rank <= 5 AND type <> 'CLASS' GROUP BY report_id),
 met AS (SELECT r.report_id, coalesce(x.id, s.id) AS id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN s.id IS NOT NULL THEN 'semantic' ELSE 'none' END AS level FROM r LEFT JOIN exact x USING (report_id) LEFT JOIN semantic s USING (report_id)),
 o AS (SELECT m.id AS o, n.k, n.name FROM (SELECT DISTINCT id FROM met) m JOIN n USING (id)),
 c AS (SELECT o, string_agg('t' || (k - i), ',' ORDER BY i) AS callers FROM o, range(1, 3) x(i) WHERE k - i IN (SELECT k FROM n) GROUP BY o),
