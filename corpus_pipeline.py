@@ -10,7 +10,9 @@
 
 Each stage takes (spark, docs, sf_dir) and all that the stage before it kept; all but the last return the columns of `documents`,
 with `n_chars` kept in step with the text. Null texts are neither toxic nor duplicates and have no tokens, so the
-mixing leaves them out; an empty table stays empty.
+mixing leaves them out; an empty table stays empty. Rows that share a doc_id are one document to the second stage: they stay or go together, and of
+equal ones one stays; null doc_ids stay. Ties in the order of an epoch go by the text, and equal rows in no order that shows. Texts of any
+length are read whole, in blocks; other columns of the input, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
