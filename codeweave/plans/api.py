@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import embed
-from ..operators import filters, intervals, ranking, search, stats, upsert
+from ..operators import filters, intervals, resolve, search, stats, upsert
 from ..operators.fields import FieldIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import scan
 from ..sources.graph_store import GraphStore
+from ..sources.journal import Journal
 from . import diagnose, index, replies, retrieve
 
-_TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "postings": schema.POSTINGS, "corpora": schema.CORPORA, "findings": schema.FINDINGS, "incidents": schema.INCIDENTS, "entities": schema.ENTITIES, "links": "source string, target string, type string", "evaluations": schema.EVALUATIONS}
+_TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "postings": schema.POSTINGS, "corpora": schema.CORPORA}
+#: Tables that grow by rows, with their keys. A link has the repository of the node that it leads to, and none where it leads to an entity.
+_GROWING = {"findings": (schema.FINDINGS, ["id"]), "incidents": (schema.INCIDENTS, ["id"]), "entities": (schema.ENTITIES, ["id"]), "links": ("source string, target string, type string, repo string", ["source", "target", "type", "repo"]), "evaluations": (schema.EVALUATIONS, ["id"]), "cleared": ("repo string", ["repo"])}
 MAX_NODES, MAX_LINES = 10, 100
 
 
@@ -26,11 +29,28 @@ class CodeGraph:
     def __init__(self, spark: SparkSession, folder: str, counter: replies.Counter | None = None, analyse: Callable[[str], str] | None = None) -> None:
         """`counter` counts the tokens of requests and replies, `analyse` is asked for a cause; neither is there by default."""
         self.spark, self.store, self.counter, self.analyse = spark, GraphStore(spark, folder), counter, analyse
+        self.journal = Journal(spark, f"{self.store.folder}/journal")
         self.vectors: VectorIndex | None = None
         self.texts: FieldIndex | None = None
 
     def table(self, name: str, repo: str | None = None) -> DataFrame:
-        return self.store.read(name, _TABLES[name], repo)
+        """A table, or a repository's part of it; of what grows by rows, the last row of each key."""
+        if name in _TABLES:
+            return self.store.read(name, _TABLES[name], repo)
+        if name == "links":
+            return self._links()
+        return self.journal.last(name, *_GROWING[name])
+
+    def _links(self) -> DataFrame:
+        """The links of incidents, but for those to nodes of a repository that was indexed anew after them."""
+        made, cleared = (self.journal.rows(name, _GROWING[name][0]) for name in ("links", "cleared"))
+        last = cleared.groupBy("repo").agg(F.max("ordinal").alias("_cleared"))
+        return made.join(last, "repo", "left").where("_cleared IS NULL OR ordinal > _cleared").select("source", "target", "type").distinct()
+
+    def compact(self) -> None:
+        """Puts the writes of each growing table together, when no question is being answered."""
+        for name, (columns, keys) in _GROWING.items():
+            self.journal.compact(name, columns, keys)
 
     # --- indexing ---------------------------------------------------------------------------------------------------
 
@@ -47,8 +67,7 @@ class CodeGraph:
             self.store.write("records", counts.records(index.parse(files)), repo)
             nodes, edges = index.build(self.store.read("records", index.RECORD, repo), repo, root, level)
         # Incidents and findings stay, their edges to nodes of the old state go.
-        gone = self.store.read("nodes", schema.NODES, repo).select(F.col("id").alias("target"))
-        self.store.write("links", self.table("links").join(gone, "target", "left_anti").select("source", "target", "type"))
+        self.journal.append("cleared", self.spark.createDataFrame([(repo,)], "repo string"))
         self.store.write("nodes", counts.nodes(nodes), repo)
         self.store.write("edges", edges, repo)
         own = self.store.read("nodes", schema.NODES, repo)
@@ -136,21 +155,25 @@ class CodeGraph:
             linked += [r["id"] for r in self.get_node_context(file, line, incident.get("repo_name")).collect() if r["id"]]
         fields = [c.split()[0] for c in schema.INCIDENTS.split(", ")]
         new = self.spark.createDataFrame([tuple({**incident, "linked_ids": linked}.get(c) for c in fields)], schema.INCIDENTS)
-        entities, links = upsert.evidence_entities(new)
-        from ..operators.resolve import link_evidence
-
-        links = links.unionByName(link_evidence(new, self.table("nodes")))
-        self.store.write("entities", ranking.first_of(entities.unionByName(self.table("entities")), ["id"], [F.desc_nulls_last("version")]))
-        self.store.write("links", self.table("links").unionByName(links).distinct())
-        self.store.write("incidents", upsert.merge_rows(self.table("incidents"), new))
+        self.add_incidents(new, self.table("nodes").where(F.col("id").isin(linked)))
+
+    def add_incidents(self, incidents: DataFrame, nodes: DataFrame | None = None) -> None:
+        """Stores any number of incidents, their entities and links by appending them; `nodes` are those that they may be linked with, all by default."""
+        nodes = self.table("nodes") if nodes is None else nodes
+        entities, links = upsert.evidence_entities(incidents)
+        places = nodes.select(F.col("id").alias("target"), F.col("repo_name").alias("repo"))
+        affected = resolve.link_evidence(incidents, nodes).join(places, "target").select("source", "target", "type", "repo")
+        self.journal.append("entities", entities)
+        self.journal.append("links", links.withColumn("repo", F.lit(None).cast("string")).unionByName(affected))
+        self.journal.append("incidents", incidents)
 
     def add_findings(self, findings: DataFrame, repo: str) -> None:
-        self.store.write("findings", upsert.merge_findings(self.table("findings"), findings, self.table("nodes"), repo))
+        none = self.spark.createDataFrame([], schema.FINDINGS)
+        self.journal.append("findings", upsert.merge_findings(none, findings, self.table("nodes"), repo))
 
     def record_evaluation(self, evaluation: dict) -> None:
         fields = [c.split()[0] for c in schema.EVALUATIONS.split(", ")]
-        new = self.spark.createDataFrame([tuple(evaluation.get(c) for c in fields)], schema.EVALUATIONS)
-        self.store.write("evaluations", upsert.merge_rows(self.table("evaluations"), new))
+        self.journal.append("evaluations", self.spark.createDataFrame([tuple(evaluation.get(c) for c in fields)], schema.EVALUATIONS))
 
     def get_evaluation_metrics(self, repo: str | None = None) -> str:
         return json.dumps(stats.evaluation_metrics(self.table("evaluations"), repo).first().asDict())
