@@ -20,8 +20,8 @@ from ..sources.journal import Journal
 from . import diagnose, index, replies, retrieve
 
 _TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "embeddings": "id string, embedding array<float>", "postings": schema.POSTINGS, "corpora": schema.CORPORA}
-#: Tables that grow by rows, with their keys. A link has the repository of the node that it leads to, and none where it leads to an entity.
-_GROWING = {"findings": (schema.FINDINGS, ["id"]), "incidents": (schema.INCIDENTS, ["id"]), "entities": (schema.ENTITIES, ["id"]), "links": ("source string, target string, type string, repo string", ["source", "target", "type", "repo"]), "evaluations": (schema.EVALUATIONS, ["id"]), "cleared": ("repo string", ["repo"])}
+#: Tables that grow by rows, with their keys and whether a write leaves the fields that it lacks. A link has the repository of the node that it leads to, and none where it leads to an entity.
+_GROWING = {"findings": (schema.FINDINGS, ["id"], True), "incidents": (schema.INCIDENTS, ["id"], True), "entities": (schema.ENTITIES, ["id"], False), "links": ("source string, target string, type string, repo string", ["source", "target", "type", "repo"], False), "evaluations": (schema.EVALUATIONS, ["id"], True), "cleared": ("repo string", ["repo"], False)}
 MAX_NODES, MAX_LINES = 10, 100
 
 
@@ -49,8 +49,8 @@ class CodeGraph:
 
     def compact(self) -> None:
         """Puts the writes of each growing table together, when no question is being answered."""
-        for name, (columns, keys) in _GROWING.items():
-            self.journal.compact(name, columns, keys)
+        for name, grown in _GROWING.items():
+            self.journal.compact(name, *grown)
 
     # --- indexing ---------------------------------------------------------------------------------------------------
 

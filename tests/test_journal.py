@@ -46,6 +46,17 @@ def test_compaction_keeps_results_and_what_is_appended_later(spark, tmp_path):
     assert j.last("t", COLUMNS, ["id"]).where("id = 'a'").first()["n"] == 0
 
 
+def test_a_write_leaves_the_fields_that_it_lacks(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    for row in (("a", 1, ["x"]), ("a", None, ["y"]), ("a", 3, None), ("b", None, None)):
+        j.append("t", spark.createDataFrame([row], COLUMNS))
+    for _ in range(2):
+        assert {tuple(map(str, r)) for r in j.last("t", COLUMNS, ["id"], True).collect()} == {("a", "3", "['y']"), ("b", "None", "None")}
+        j.compact("t", COLUMNS, ["id"], True)
+    j.append("t", spark.createDataFrame([("a", 0, None)], COLUMNS))
+    assert tuple(j.last("t", COLUMNS, ["id"], True).where("id = 'a'").first()) == ("a", 0, ["y"])
+
+
 def incidents(spark, rows):
     names = [c.split()[0] for c in schema.INCIDENTS.split(", ")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema.INCIDENTS)
@@ -66,6 +77,7 @@ def test_an_incident_costs_an_incident(spark, tmp_path):
     graph.ingest_incident_evidence({"id": "i1", "summary": "up again", "repo_name": "one"}, "two.ts", 1)
     assert before <= files(tmp_path / "store")
     assert {(r["id"], r["summary"]) for r in graph.table("incidents").collect()} == {("i0", "down"), ("i1", "up again"), ("i2", "down")}
+    assert graph.table("incidents").where("id = 'i1'").first()["service"] == "pay"
     assert {(r["id"], r["name"]) for r in graph.table("entities").where("label = 'Service'").collect()} == {("one::service::pay", "pay")}
     affects = graph.table("links").where("type = 'AFFECTS'")
     assert {(r["source"], r["target"]) for r in affects.collect()} == {(f"i{n}", a) for n in range(3) for a in at.values()}
