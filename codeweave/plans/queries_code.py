@@ -188,6 +188,26 @@ def embedded_nodes(spark: SparkSession, d: str) -> DataFrame:
     return embed.embed_nodes(nodes).select("id", F.round(norm, 4).alias("norm"))
 
 
+@query(r"""WITH RECURSIVE words AS (SELECT p_partkey AS k, unnest(regexp_extract_all(p_name || ' loadXMLItem' || p_partkey || ' HTTP2Server_' || p_brand || ' ' || p_type, '\w+')) AS w FROM part),
+parts AS (SELECT k, lower(unnest(regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\d+'))) AS p FROM words),
+features AS (SELECT k, lower(w) AS f FROM words UNION ALL SELECT k, p FROM parts UNION ALL SELECT k, '#' || substr(p, i, 3) FROM (SELECT k, p, unnest(range(1, length(p) - 1)) AS i FROM parts)),
+steps(n, c, s) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM steps WHERE s < 8),
+bytes AS (SELECT n, c FROM steps WHERE s = 8),
+crc(f, i, c) AS (SELECT DISTINCT f, 0, 4294967295::bigint FROM features UNION ALL SELECT f, i + 1, xor(crc.c >> 8, bytes.c) FROM crc JOIN bytes ON n = xor(crc.c & 255, ord(substr(f, i + 1, 1))) WHERE i < length(f)),
+hashes AS (SELECT f, xor(c, 4294967295) AS h FROM crc WHERE i = length(f)),
+counts AS (SELECT k, h % 256 AS i, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END) AS c FROM features JOIN hashes USING (f) GROUP BY k, h % 256 HAVING c <> 0),
+least_ AS (SELECT k, min(abs(c)) AS least FROM counts GROUP BY k)
+SELECT k AS part_id, string_agg(i || ':' || round(12.0 * c / least)::integer, ',' ORDER BY i) AS components FROM counts JOIN least_ USING (k) GROUP BY k""")
+def embedding_components(spark: SparkSession, d: str) -> DataFrame:
+    """All components that are not zero, as twelfths of the smallest of them; the SQL hashes the features anew."""
+    p = L.table(spark, d, "part")
+    text = F.concat("p_name", F.lit(" loadXMLItem"), F.col("p_partkey").cast("string"), F.lit(" HTTP2Server_"), "p_brand", F.lit(" "), "p_type")
+    rows = p.select(F.col("p_partkey").alias("part_id"), F.filter(F.transform(embed.embed_column(text), lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda e: e["x"] != 0).alias("e"))
+    least = F.array_min(F.transform("e", lambda e: F.abs(e["x"])))
+    told = F.transform("e", lambda e: F.concat_ws(":", e["i"].cast("string"), F.round(12 * e["x"] / F.col("least")).cast("int").cast("string")))
+    return rows.withColumn("least", least).select("part_id", F.array_join(told, ",").alias("components"))
+
+
 @query("SELECT page_id, path FROM (SELECT page_id, 'conf/' || CASE page_id % 4 WHEN 0 THEN 'App.YAML' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'main.ts' ELSE 'CODEOWNERS' END AS path FROM pages) WHERE page_id % 4 <> 2")
 def config_files(spark: SparkSession, d: str) -> DataFrame:
     turn = F.col("page_id") % 4
