@@ -1,6 +1,6 @@
 """Indexing: source text to nodes, edges and references, then to edges between ids, and embeddings.
 
-Each file is parsed once, by `mapInArrow`; every record of a file is one row of a tagged union, which is written once and then filtered
+Files are dealt to tasks by their paths and each is parsed once, by `mapInArrow`; every record of a file is one row of a tagged union, which is written once and then filtered
 into tables, so no file is parsed twice and nothing is gathered on the driver. A file that cannot be parsed becomes a
 row of its error.
 """
@@ -17,6 +17,7 @@ from .. import schema
 from ..functions import text as T
 from ..operators import filters, resolve
 from ..sources import parsers
+from ..sources.places import spread
 
 _TYPES = {"record": "string"} | {c.split()[0]: c.split()[1] for table in parsers.TABLES.values() for c in table.split(", ")}
 RECORD = ", ".join(f"{c} {t}" for c, t in _TYPES.items())
@@ -35,7 +36,7 @@ def parse(files: DataFrame, known: parsers.Registry | None = None) -> DataFrame:
             found = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             yield pa.RecordBatch.from_pylist([{"record": kind, **values} for path, content in found for kind, values in parsers.records(path, content, registered)], layout)
 
-    return files.select("rel_path", "content").mapInArrow(run, RECORD)
+    return spread(files.select("rel_path", "content"), "rel_path").mapInArrow(run, RECORD)
 
 
 def errors(records: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def build(records: DataFrame, repo: str, root: str = "", level: str = "high", im
     kinds = [c.split()[0] for c in schema.EDGES.split(", ")]
     out = out.select(*kinds)
     callers = nodes.select(F.col("id").alias("source"), "file_path", "repo_name")
-    calls = raw.where("type = 'CALLS'").withColumnRenamed("target", "target_name").join(callers, "source")
+    calls = raw.where("type = 'CALLS'").withColumnRenamed("target", "target_name").join(callers.hint("merge"), "source")
     out = out.unionByName(resolve.resolve_calls(calls, nodes).select(*kinds))
     refs = records.where("record = 'ref' AND kind <> 'import'").select(F.concat(F.lit(f"{repo}::"), "source_id").alias("source"), "target_name", F.upper("kind").alias("type"), F.lit(repo).alias("repo_name"))
     linked = resolve.resolve_unique(filters.level_edges(refs, level), nodes).withColumn("source_line", F.lit(None).cast("int"))

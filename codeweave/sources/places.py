@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to some tasks for each core. A table of few bytes is read by one task, however much is made of each of its rows."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: what comes after starts from there."""
     at = shared_folder(df.sparkSession, name)

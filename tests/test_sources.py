@@ -188,3 +188,10 @@ def test_embeddings_of_other_dimensions_are_refused(spark, tmp_path):
     graph.reset_index()
     graph.index_repo(str(top), "two", embedder="tiny")
     assert graph.dimensions() == 8
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.range(400).select(F.concat(F.lit("a/B"), F.col("id").cast("string"), F.lit(".java")).alias("rel_path"), F.lit("class B { }").alias("content")).coalesce(1)
+    parsed = index.parse(files).where("type = 'CLASS'")
+    assert parsed.count() == 400
+    assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() > 4
