@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.places import shared_folder
+from ..sources.places import shared_folder, stored
 from .filters import confident, in_repo
 
 SEEDS = 10_000
@@ -197,8 +197,9 @@ def ancestors(edges: DataFrame, types: list[str], hops: int) -> DataFrame:
     near = edges.where(F.col("type").isin(types)).select(F.col("source").alias("id"), F.col("target").alias("ancestor")).distinct().withColumn("distance", F.lit(1))
     reach = 1
     while reach < hops:
+        near = stored(near, "ancestors")  # read three times
         over = near.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_over"), F.col("distance").alias("_more"))
-        longer = near.join(over, "ancestor").select("id", F.col("_over").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        longer = near.join(over.hint("merge"), "ancestor").select("id", F.col("_over").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
         near = near.unionAll(longer.where(F.col("distance") <= hops)).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
         reach *= 2
     return near

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import embed
 from ..functions import text as T
 from ..operators import filters, intervals, traverse, upsert
+from ..sources.places import spread
 from . import diagnose, index
 from . import lenses as L
 from . import retrieve as R
@@ -157,7 +158,7 @@ indexed AS (SELECT source, target, type, 1.0::double AS confidence, 'structural'
 
 @query(f"WITH {_INDEXED} SELECT '{REPO}::' || source AS source, '{REPO}::' || target AS target, type, confidence, resolution, source_line FROM indexed")
 def index_edges(spark: SparkSession, d: str) -> DataFrame:
-    return index.build(L.kept(spark, d, records), REPO)[1].select("source", "target", "type", "confidence", "resolution", "source_line")
+    return index.build(L.held(spark, d, records), REPO)[1].select("source", "target", "type", "confidence", "resolution", "source_line")
 
 
 _KIN = "k AS (SELECT DISTINCT source, target FROM indexed WHERE type IN ('EXTENDS', 'IMPLEMENTS'))"
@@ -167,13 +168,13 @@ _KIN = "k AS (SELECT DISTINCT source, target FROM indexed WHERE type IN ('EXTEND
 SELECT '{REPO}::' || source AS id, '{REPO}::' || target AS ancestor, min(d)::integer AS distance FROM (SELECT *, 1 AS d FROM k UNION ALL SELECT *, 2 FROM k2 UNION ALL SELECT *, 3 FROM k3) GROUP BY source, target""")
 def inheritance(spark: SparkSession, d: str) -> DataFrame:
     """What 1 to 3 steps of extending and implementing lead to."""
-    edges = index.build(L.kept(spark, d, records), REPO)[1]
+    edges = index.build(L.held(spark, d, records), REPO)[1]
     return traverse.ancestors(edges, ["EXTENDS", "IMPLEMENTS"], 3)
 
 
 @query(f"WITH {_NODES} SELECT '{REPO}::' || id AS id, type, 'high' AS index_level, '{REPO}' AS repo_name FROM all_nodes")
 def index_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return index.build(L.kept(spark, d, records), REPO)[0].select("id", "type", "index_level", "repo_name")
+    return index.build(L.held(spark, d, records), REPO)[0].select("id", "type", "index_level", "repo_name")
 
 
 @query(f"WITH {_FILES} SELECT '{REPO}::' || path || ':FILE:' || path || ':0' AS id, string_split(path, '/')[-1] AS name, 1 AS start_line, 1 AS end_line, 'low' AS index_level FROM files")
@@ -183,7 +184,7 @@ def index_low(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NODES} SELECT '{REPO}::' || id AS id, 1.0::double AS norm FROM all_nodes WHERE type <> 'FILE' AND NOT contains(lower(file_path), '/dto/')")
 def embedded_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = index.build(L.kept(spark, d, records), REPO)[0]
+    nodes = index.build(L.held(spark, d, records), REPO)[0]
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return embed.embed_nodes(nodes).select("id", F.round(norm, 4).alias("norm"))
 
@@ -200,7 +201,7 @@ least_ AS (SELECT k, min(abs(c)) AS least FROM counts GROUP BY k)
 SELECT k AS part_id, string_agg(i || ':' || round(12.0 * c / least)::integer, ',' ORDER BY i) AS components FROM counts JOIN least_ USING (k) GROUP BY k""")
 def embedding_components(spark: SparkSession, d: str) -> DataFrame:
     """All components that are not zero, as twelfths of the smallest of them; the SQL hashes the features anew."""
-    p = L.table(spark, d, "part")
+    p = spread(L.table(spark, d, "part"), "p_partkey")
     text = F.concat("p_name", F.lit(" loadXMLItem"), F.col("p_partkey").cast("string"), F.lit(" HTTP2Server_"), "p_brand", F.lit(" "), "p_type")
     rows = p.select(F.col("p_partkey").alias("part_id"), F.filter(F.transform(embed.embed_column(text), lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda e: e["x"] != 0).alias("e"))
     least = F.array_min(F.transform("e", lambda e: F.abs(e["x"])))
