@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import spread, stored
 from . import search
 from .ranking import top_of
 
@@ -28,6 +29,8 @@ from .ranking import top_of
 PER_CELL, SAMPLE, ROUNDS, PATTERNS = 64, 40_000, 12, 256
 #: What is scored exactly for each hit that is asked for.
 REFINE = 20
+#: Queries and rows of the blocks that are compared, parts that a cell's rows are dealt to, and rows that a task holds before it closes blocks.
+QUERIES, ROWS, PARTS, HELD = 128, 512, 4, 32_768
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,7 @@ class VectorIndex:
                     own, codes = model.encode(units)
                     yield pa.record_batch({"id": some.column("id"), "embedding": some.column("embedding").cast(pa.list_(pa.float32())), "codes": pa.array(list(codes), pa.list_(pa.int16())), "cell": pa.array(own.astype(np.int32))})
 
-        rows = usable(embeddings.select("id", "embedding"), model.dims).mapInArrow(encode, f"id {kind}, embedding array<float>, codes array<short>, cell int")
+        rows = usable(spread(embeddings.select("id", "embedding"), "id"), model.dims).mapInArrow(encode, f"id {kind}, embedding array<float>, codes array<short>, cell int")
         # A cell's rows go to a few files: enough of them that a popular cell is no single task.
         rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{folder}/cells")
         spark.createDataFrame([(json.dumps({"centres": model.centres.tolist(), "patterns": model.patterns.tolist()}),)], "model string").coalesce(1).write.parquet(f"{folder}/model")
@@ -154,7 +157,12 @@ class VectorIndex:
         """(query_id, id, score, rank): for each of the queries (query_id, vector) the n nearest vectors of its probed cells, scored on their vectors.
         Queries go to their cells; neither they nor the cells pass the driver. A null, zero or otherwise odd vector finds nothing."""
         model, many = self.model, probes if probes is not None else self.usual_probes()
-        kind = dict(queries.dtypes)["query_id"]
+        kinds = {"query": dict(queries.dtypes)["query_id"], "id": dict(self.table().dtypes)["id"]}
+        rows = stored(usable(queries.select("query_id", F.col("vector").alias("embedding")), model.dims).select("query_id", "unit"), "queries")
+        # Equal vectors are compared once: of a vector's rows only the n smallest ids can be among the n nearest.
+        asked = stored(rows.groupBy("unit").agg(F.min("query_id").alias("first")), "asked")
+        few = top_of(self.table().select("id", "embedding", "cell"), ["cell", "embedding"], [F.asc("id")], n)
+        copies = stored(few.groupBy("cell", "embedding").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids")), "copies")
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -163,12 +171,32 @@ class VectorIndex:
                     units = np.array(some.column("unit").to_pylist(), np.float64).reshape(some.num_rows, -1)
                     cells = np.argsort(-(units @ model.centres.T), axis=1, kind="stable")[:, :many]
                     row = pa.array(np.repeat(np.arange(some.num_rows), cells.shape[1]))
-                    yield pa.record_batch({"query_id": some.column("query_id").take(row), "vector": some.column("unit").take(row), "cell": pa.array(cells.ravel().astype(np.int32))})
+                    yield pa.record_batch({"first": some.column("first").take(row), "vector": some.column("unit").take(row), "cell": pa.array(cells.ravel().astype(np.int32))})
 
-        rows = usable(queries.select("query_id", F.col("vector").alias("embedding")), model.dims).select("query_id", "unit")
-        routed = rows.mapInArrow(route, f"query_id {kind}, vector array<double>, cell int")
-        scored = routed.join(self.table().select("id", "embedding", "cell"), "cell").select("query_id", "id", search.cosine(F.col("embedding"), F.col("vector")).alias("score")).where(F.col("score") >= threshold)
-        return top_of(scored, ["query_id"], [F.desc("score"), F.asc("id")], n)
+        routed = asked.mapInArrow(route, f"first {kinds['query']}, vector array<double>, cell int")
+        parts = F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part")
+        left = _blocks(routed, kinds["query"], QUERIES).select("cell", parts, F.col("ids").alias("asks"), F.col("vectors").alias("q"))
+        right = _blocks(copies.select("first", F.col("embedding").cast("array<double>").alias("vector"), "cell"), kinds["id"], ROWS)
+        pairs = left.join(right.withColumn("part", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(PARTS)).cast("int")).hint("merge"), ["cell", "part"])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, model.dims) for c in ("q", "vectors"))
+                    rough = (q @ x.T) / np.linalg.norm(x, axis=1)
+                    least = np.full(len(q), threshold)
+                    if len(x) > n:
+                        least = np.maximum(least, np.partition(rough, len(x) - n, axis=1)[:, len(x) - n])
+                    # Products of matrices round as they like; what is near enough is scored by itself.
+                    a, b = np.nonzero(rough >= least[:, None] - 1e-9)
+                    exact = (q[a] * x[b]).sum(1) / (np.sqrt((q[a] * q[a]).sum(1)) * np.sqrt((x[b] * x[b]).sum(1)))
+                    yield pa.record_batch({"first": batch.column("asks")[i].values.take(pa.array(a)), "of": batch.column("ids")[i].values.take(pa.array(b)), "score": pa.array(exact, pa.float64())})
+
+        scored = pairs.select("asks", "q", "ids", "vectors").mapInArrow(score, f"first {kinds['query']}, of {kinds['id']}, score double").where(F.col("score") >= threshold)
+        best = scored.withColumn("_rank", F.rank().over(Window.partitionBy("first").orderBy(F.desc("score")))).where(F.col("_rank") <= n)
+        named = best.join(copies.select(F.col("first").alias("of"), "ids").hint("merge"), "of").select("first", F.explode("ids").alias("id"), "score")
+        hits = stored(top_of(named, ["first"], [F.desc("score"), F.asc("id")], n), "hits")
+        return rows.join(asked.hint("merge"), "unit").select("query_id", "first").join(hits.hint("merge"), "first").select("query_id", "id", "score", "rank")
 
     def usual_probes(self) -> int:
         """A quarter of the cells, and eight at least."""
@@ -186,6 +214,35 @@ class VectorIndex:
         return F.aggregate(F.transform("codes", lambda c, i: F.get(flat, i * patterns + c)), F.get(centres, F.col("cell")), lambda acc, x: acc + x)
 
 
+def _blocks(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """(cell, ids, vectors): rows (first, vector, cell) in blocks of one cell, of `most` rows at most; vectors are doubles, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        count, of = 0, None
+
+        def block(cell: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(cell)
+            return pa.record_batch({"cell": pa.array([cell], pa.int32()), "ids": pa.array([ids], pa.list_(of)), "vectors": pa.array([np.concatenate(vectors).tobytes()], pa.binary())})
+
+        for batch in batches:
+            of = batch.column("first").type
+            for first, vector, cell in zip(batch.column("first").to_pylist(), batch.column("vector"), batch.column("cell").to_pylist(), strict=True):
+                ids, vectors = held.setdefault(cell, ([], []))
+                ids.append(first)
+                vectors.append(vector.values.to_numpy(zero_copy_only=False))
+                count += 1
+                if len(ids) == most:
+                    count -= most
+                    yield block(cell)
+            if count >= HELD:
+                yield from map(block, list(held))
+                count = 0
+        yield from map(block, list(held))
+
+    return rows.select("first", "vector", "cell").mapInArrow(run, f"cell int, ids array<{kind}>, vectors binary")
+
+
 def pool(k: int, scoped: bool) -> int:
     """Candidates of a search for k hits: where they are then held to one repository, ten times as many and 50 at least (fixed values)."""
     return max(10 * k, 50) if scoped else k

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vector_index import VectorIndex
-from ..sources.places import shared_folder, stored
+from ..sources.places import shared_folder, spread, stored
 from . import lenses as L
 from . import reports as R
 from .queries import query
@@ -48,7 +48,7 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     n = _vectors(spark, d)
     vectors = L.table(spark, d, "embeddings").select((F.col("vec_id")).alias("v"), F.col("embedding").cast("array<double>").alias("vector"))
     words = F.col("trace_id") % 5 == 4
-    t = L.traces(spark, d).select(F.col("trace_id").alias("report_id"), F.when(words, F.col("text")).otherwise("what is it").alias("question"), F.lit(None).cast("string").alias("error"), F.when(~words, F.col("text")).alias("trace"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), ((F.col("trace_id") * 7) % n).alias("v"))
+    t = spread(L.traces(spark, d), "trace_id").select(F.col("trace_id").alias("report_id"), F.when(words, F.col("text")).otherwise("what is it").alias("question"), F.lit(None).cast("string").alias("error"), F.when(~words, F.col("text")).alias("trace"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), ((F.col("trace_id") * 7) % n).alias("v"))
     return t.join(vectors, "v", "left").drop("v")
 
 

@@ -90,3 +90,28 @@ def test_index_of_little_and_of_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="dimensions"):
         index.candidates([1.0], 1)
     assert search.vector_search(few, [1.0, 0.1], -1.0, 1).first()["id"] == 1
+
+
+def test_batch_search_finds_what_a_table_search_finds_with_copies_and_ties(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(f"v{i:04d}", base[i % 40].tolist()) for i in range(1300)] + [("zero", [0.0] * 8), ("null", None)]
+    table = spark.createDataFrame(rows, "id string, embedding array<float>")
+    found = VectorIndex.build(table, f"{tmp_path}/copies", 4, 2)
+    asked = [(q, base[q % 7].astype(float).tolist()) for q in range(30)] + [(98, [0.0] * 8), (99, None)]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<double>")
+    got = {q: [] for q, _ in asked}
+    for r in found.nearest(queries, 45, probes=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["id"])
+    assert not got[98] and not got[99]
+    for q in range(7):
+        want = [r["id"] for r in search.vector_search(table, asked[q][1], k=45).collect()]
+        assert len(want) >= 32 and all(got[p] == want for p in range(q, 30, 7))
+
+
+def test_batch_search_compares_equal_vectors_once(spark, tmp_path):
+    # 600 million pairs of rows, and one pair of vectors.
+    table = spark.range(30_000).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    found = VectorIndex.build(table, f"{tmp_path}/equal", 1, 1)
+    queries = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    assert found.nearest(queries, 3).groupBy("id").count().orderBy("id").collect() == [("0", 20_000), ("1", 20_000), ("10", 20_000)]
