@@ -245,7 +245,10 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
     # split like any skewed join; entries within one component drop out before.
     known = postings.join(labels, F.col("rep") == F.col("node")).select("sig", "rep", "n", "shared", "label", *BITS)
     mixed = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-    apart = shared.kept(known.join(mixed, "sig"), "apart")
+    # Long passages that the same texts have make many entries of the same documents: one of these finds all their pairs.
+    members = known.join(mixed, "sig").groupBy("sig").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("y"), F.min("rep").alias("least"), F.max("rep").alias("most"))
+    chosen_sigs = members.groupBy("docs", "x", "y", "least", "most").agg(F.min("sig").alias("sig")).select("sig")
+    apart = shared.kept(known.join(chosen_sigs, "sig"), "apart")
     # Sizes of sets that link are in one range or in neighbouring ones.
     span = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
     near = F.array("span", F.col("span") - 1) if percent < 100 else F.array("span")

@@ -265,3 +265,23 @@ def test_arc_versions_and_damage():
     with pytest.raises(ValueError, match="declared length"):
         list(legacy_archive.parse_arc(v1[:-5]))
     assert [legacy_archive.iso(d) for d in ("1999", "199902", "19990203", "19990203040506", "junk")] == ["1999-01-01T00:00:00Z", "1999-02-01T00:00:00Z", "1999-02-03T00:00:00Z", "1999-02-03T04:05:06Z", "1970-01-01T00:00:00Z"]
+
+
+def test_entries_of_the_same_documents_are_compared_once(spark, monkeypatch):
+    from codeweave.llm import jaccard_join, shared
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    both, one, two = words("p", 1400), words("q", 600), words("r", 600)
+    docs = spark.createDataFrame([(0, f"{both} {one}"), (1, f"{both} {two}"), (2, one), (3, two), (4, f"{one} x")], "doc_id long, text string")
+    seen, kept = {}, shared.kept
+
+    def spy(df, name, *more, **named):
+        out = kept(df, name, *more, **named)
+        if name == "apart":
+            seen["entries"] = out.select("sig").distinct().count()
+        return out
+
+    monkeypatch.setattr(shared, "kept", spy)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs, 5, 80).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    assert 0 < seen["entries"] < 20
