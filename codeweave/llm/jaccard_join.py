@@ -18,7 +18,8 @@ their pairs: first each document is compared with one partner of each entry, by
 becomes one component; then only pairs of one entry that are still in different components are compared, if their sizes,
 their numbers of tokens that other documents have, too, and parities of their tokens' hashes allow the overlap that a
 link takes. So every link between different components is found, and a group of n copies costs about n
-comparisons. Pairs of one entry are made within neighbouring ranges of sizes alone. What remains at worst is many
+comparisons. Entries have an order, and a pair is made in the first entry that its documents share, as far as the `FIRST` first
+entries of each tell. Pairs of one entry are made within neighbouring ranges of sizes alone. What remains at worst is many
 unlike texts of like sizes that nearly all consist of passages others have, too: pairs of one entry of theirs are compared
 by sizes, counts and parities, spread over tasks by the entry, and the sets of few are read.
 
@@ -45,6 +46,8 @@ from .words import mix, shingles, words
 FREQUENT = 64
 #: Tokens of a prefix that a class has, about.
 PER_CLASS = 12
+#: First entries of a document that go with its rows, so that a pair is not made again in later ones.
+FIRST = 8
 _SALT = {"one": np.uint64(0x243F6A8885A308D3), "two": np.uint64(0x13198A2E03707344), "class": np.uint64(0xA4093822299F31D0)}
 
 
@@ -127,6 +130,51 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "labels") -> Data
             return labels
 
 
+def ordered(docs: str) -> F.Column:
+    """A key of the entry `sig` that has `docs` documents: entries of many come first, by powers of two, the rest of the key is the
+    entry's own. Should two entries have one key, their documents meet."""
+    return F.shiftleft(F.lit(63) - F.floor(F.log2(docs)).cast("long"), 57).bitwiseOR(F.col("sig").bitwiseAND(F.lit((1 << 57) - 1)))
+
+
+def first_entries(rows: DataFrame, most: int) -> DataFrame:
+    """(rep, firsts): the `most` least entries of each document of rows (rep, entry). They combine on the map side by slots: the least of
+    each slot of a hash, so what is kept is bounded, and is some of the first entries where slots are shared."""
+    slot = F.pmod(F.hash("entry"), F.lit(most))
+    least = rows.groupBy("rep").agg(*[F.min(F.when(slot == i, F.col("entry"))).alias(f"_{i}") for i in range(most)])
+    return least.select("rep", F.array_compact(F.array(*[F.col(f"_{i}") for i in range(most)])).alias("firsts"))
+
+
+def fits(there: Callable[[str], str], percent: int) -> F.Column:
+    """Sizes near enough; enough tokens that are not the documents' own for the overlap that a link takes; few enough
+    cells whose parity differs."""
+    n, m = F.col("n"), F.col(there("n"))
+    far = F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(there(BITS[0]))))
+    for c in BITS[1:]:
+        far = far + F.bit_count(F.col(c).bitwiseXOR(F.col(there(c))))
+    own = F.least("shared", there("shared"))
+    # overlap >= percent * (n + m) / (100 + percent), and n + m - 2 * overlap tokens differ
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (own * (100 + percent) >= (n + m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def crossed(apart: DataFrame, percent: int, most: int = FIRST) -> DataFrame:
+    """(a, b): pairs of rows (entry, rep, n, shared, label, bits) of one entry and different labels that may link.
+
+    A pair that meets in several entries is made in the first of them, or in few. Each document carries some of its first entries; where two
+    have one of these in common, they meet there, and later entries leave them out. At the first entry of all that they share there is none
+    before it, so no pair is lost.
+    """
+    apart = apart.join(shared.kept(first_entries(apart, most), "firsts"), "rep")
+    # Sizes of sets that link are in one range or in neighbouring ones.
+    span = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    near = F.array("span", F.col("span") - 1) if percent < 100 else F.array("span")
+    mine = apart.withColumn("span", span)
+    other = mine.select("entry", F.explode(near).alias("span"), F.col("span").alias("span2"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "shared", "label", "firsts", *BITS)])
+    once = (F.col("span") < F.col("span2")) | (F.col("rep") < F.col("rep2"))
+    here = F.coalesce(F.array_min(F.array_intersect("firsts", "firsts2")) >= F.col("entry"), F.lit(True))
+    cross = mine.join(other, ["entry", "span"]).where(once & (F.col("label") != F.col("label2")) & fits(lambda c: f"{c}2", percent) & here)
+    return cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+
+
 def join(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT, per_class: int = PER_CLASS, few: int = C.FEW, bundle: int = C.BUNDLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -217,17 +265,6 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
     busy = rows.groupBy("sig").agg(F.count("*").alias("docs"), partner.alias("first")).where("docs > 1")
     postings = shared.kept(rows.join(busy.select("sig", (-F.col("first.rep")).alias("first"), F.col("first.n").alias("first_n"), F.col("first.shared").alias("first_shared"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in BITS]), "sig"), "postings")
 
-    def fits(there: Callable[[str], str]) -> F.Column:
-        """Sizes near enough; enough tokens that are not the documents' own for the overlap that a link takes; few enough
-        cells whose parity differs."""
-        n, m = F.col("n"), F.col(there("n"))
-        far = F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(there(BITS[0]))))
-        for c in BITS[1:]:
-            far = far + F.bit_count(F.col(c).bitwiseXOR(F.col(there(c))))
-        own = F.least("shared", there("shared"))
-        # overlap >= percent * (n + m) / (100 + percent), and n + m - 2 * overlap tokens differ
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (own * (100 + percent) >= (n + m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
-
     # A document that rows with several sets have holds their classes together.
     one = F.struct("p", "q", "n_shingles")
     several = described.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("doc_id")
@@ -235,7 +272,7 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
     held = real.join(several, "doc_id").join(classes.select("p", "q", "n_shingles", F.col("rep.doc_id").alias("rep")), ["p", "q", "n_shingles"])
     held = shared.kept(held.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "held")
 
-    star = postings.where((F.col("rep") != F.col("first")) & fits(lambda c: f"first_{c}")).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
+    star = postings.where((F.col("rep") != F.col("first")) & fits(lambda c: f"first_{c}", percent)).select(F.least("rep", "first").alias("a"), F.greatest("rep", "first").alias("b")).distinct()
     tried, links = _verified(star, sets, percent)
     links = links.union(held)
     nodes = postings.select(F.col("rep").alias("node")).union(held.select("a")).union(held.select("b")).distinct()
@@ -247,16 +284,9 @@ def _join(docs: DataFrame, k: int, percent: int, frequent: int, per_class: int,
     mixed = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
     # Long passages that the same texts have make many entries of the same documents: one of these finds all their pairs.
     members = known.join(mixed, "sig").groupBy("sig").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("y"), F.min("rep").alias("least"), F.max("rep").alias("most"))
-    chosen_sigs = members.groupBy("docs", "x", "y", "least", "most").agg(F.min("sig").alias("sig")).select("sig")
+    chosen_sigs = members.groupBy("docs", "x", "y", "least", "most").agg(F.min("sig").alias("sig")).select("sig", ordered("docs").alias("entry"))
     apart = shared.kept(known.join(chosen_sigs, "sig"), "apart")
-    # Sizes of sets that link are in one range or in neighbouring ones.
-    span = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    near = F.array("span", F.col("span") - 1) if percent < 100 else F.array("span")
-    mine = apart.withColumn("span", span)
-    other = mine.select("sig", F.explode(near).alias("span"), F.col("span").alias("span2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("shared").alias("shared2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in BITS])
-    once = (F.col("span") < F.col("span2")) | (F.col("rep") < F.col("rep2"))
-    cross = mine.join(other, ["sig", "span"]).where(once & (F.col("label") != F.col("label2")) & fits(lambda c: f"{c}2"))
-    rest = cross.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    rest = crossed(apart.drop("sig"), percent).distinct()
     rest = shared.kept(rest, "rest").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     _, more = _verified(rest, sets, percent)
     ends = components(nodes, links.union(more), "components") if not more.isEmpty() else labels

@@ -285,3 +285,21 @@ def test_entries_of_the_same_documents_are_compared_once(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs, 5, 80).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
     assert 0 < seen["entries"] < 20
+
+
+def test_a_pair_of_many_entries_is_made_once_and_none_is_lost(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from codeweave.llm import jaccard_join as J
+
+    rng, none = random.Random(5), [0] * 8
+    docs = {rep: (100 + rep % 3, rep // 2, rng.sample(range(60), 1 if rep % 5 == 0 else 40)) for rep in range(40)}
+    rows = [(sig * 7919, rep, n, n, label, *none) for rep, (n, label, sigs) in docs.items() for sig in sigs]
+    known = spark.createDataFrame(rows, "sig long, rep long, n int, shared int, label long, " + ", ".join(f"{c} long" for c in J.BITS))
+    apart = known.join(known.groupBy("sig").agg(F.count("*").alias("docs")), "sig").withColumn("entry", J.ordered("docs"))
+    made = [(r["a"], r["b"]) for r in J.crossed(apart.drop("sig", "docs"), 80).collect()]
+    wanted = {(a, b) for a in docs for b in docs if a < b and docs[a][1] != docs[b][1] and set(docs[a][2]) & set(docs[b][2])}
+    assert set(made) == wanted
+    assert len(made) < 1.5 * len(wanted)
