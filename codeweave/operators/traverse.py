@@ -150,15 +150,17 @@ def neighbours(nodes: DataFrame, edges: Edges, seeds: DataFrame, depth: int) ->
     return nodes.join(found.join(seeds, "id", "left_anti"), "id")
 
 
-def call_counts(nodes: DataFrame, edges: Edges, ids: DataFrame) -> DataFrame:
-    """(id, callers, callees): distinct neighbours over calls; 0 where there are none, no row for unknown ids."""
+def call_counts(nodes: DataFrame, edges: Edges, ids: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(id, callers, callees): distinct neighbours over calls; 0 where there are none, no row for unknown ids. For many ids, `partitions`
+    that go with the edges keep what a task holds bounded; edges then move once for each direction."""
     wanted = settled(ids.select("id").distinct())
     known = nodes.select("id").join(wanted, "id", "left_semi")
     calls = edges.where("type = 'CALLS'")
 
     def degree(inbound: bool, name: str) -> DataFrame:
         # Only edges at the wanted ids are counted.
-        return steps(calls, wanted, inbound).distinct().groupBy(F.col("_from").alias("id")).agg(F.count("*").alias(name))
+        own = calls.repartition(partitions, "target" if inbound else "source") if partitions and isinstance(calls, DataFrame) else calls
+        return steps(own, wanted, inbound).distinct().groupBy(F.col("_from").alias("id")).agg(F.count("*").alias(name))
 
     found = known.join(degree(True, "callers"), "id", "left").join(degree(False, "callees"), "id", "left")
     return found.select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))

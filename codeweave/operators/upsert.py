@@ -17,15 +17,17 @@ def merge_nodes(base: DataFrame, delta: DataFrame, order: list[str], key: str =
     return joined.select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in delta.columns else F.col(c) for c in columns])
 
 
-def merge_edges(base: DataFrame, delta: DataFrame, order: list[str] | None = None) -> DataFrame:
+def merge_edges(base: DataFrame, delta: DataFrame, order: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """One edge for each (source, type, target); the delta's properties replace the base's, the later by `order` those
-    before, and the largest where no order says."""
+    before, and the largest where no order says. `partitions` of the merge should go with the rows of both, as a task sorts its own."""
     key = ["source", "type", "target"]
     rest = [c for c in base.columns if c not in key]
     places = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order or [])]
     new = delta.select(*[c for c in base.columns if c in delta.columns], *places, F.lit(1).alias("_new"))
     both = base.withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
     turn = F.struct("_new", *[f"_order{i}" for i in range(len(places))], *[F.coalesce(c, F.lit("")) if t == "string" else F.col(c) for c, t in base.select(*rest).dtypes])
+    if partitions:
+        both = both.repartition(partitions, *key)
     return both.groupBy(*key).agg(F.max_by(F.struct(*rest), turn).alias("_v")).select(*key, "_v.*").select(*base.columns)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import traverse
-from ..sources.places import stored
+from ..sources.places import parts_of, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,12 +95,18 @@ nodes AS (
   UNION ALL SELECT 'part:' || p_partkey, 'FUNCTION', p_name, p_brand, 'parts' FROM part)"""
 
 
+def call_parts(spark: SparkSession, d: str) -> int:
+    return parts_of(table(spark, d, "lineitem"))
+
+
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """(source, target, type, confidence): orders to parts, parts to suppliers."""
     items = table(spark, d, "lineitem")
+    n = call_parts(spark, d)
 
     def rows(a: str, b: str, x: str, y: str) -> DataFrame:
-        grouped = items.groupBy(a, b).agg((F.max("l_quantity") / 50.0).alias("confidence"))
+        # Dealt first: pairs hardly repeat, and a task that combined those of its file would hold all that it reads.
+        grouped = items.select(a, b, "l_quantity").repartition(n, a, b).groupBy(a, b).agg((F.max("l_quantity") / 50.0).alias("confidence"))
         return grouped.select(F.concat(F.lit(f"{x}:"), F.col(a).cast("string")).alias("source"), F.concat(F.lit(f"{y}:"), F.col(b).cast("string")).alias("target"), F.lit("CALLS").alias("type"), "confidence")
 
     return rows("l_orderkey", "l_partkey", "order", "part").unionAll(rows("l_partkey", "l_suppkey", "part", "supplier"))

@@ -236,7 +236,7 @@ def bfs_neighbors(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, coalesce(i.n, 0)::bigint AS callers, coalesce(o.n, 0)::bigint AS callees FROM nodes LEFT JOIN into_ i USING (id) LEFT JOIN out_ o USING (id) WHERE type IN ('FUNCTION', 'CLASS')""")
 def call_counts(spark: SparkSession, d: str) -> DataFrame:
     nodes = L.nodes(spark, d)
-    return traverse.call_counts(nodes, L.calls(spark, d), nodes.where("type IN ('FUNCTION', 'CLASS')"))
+    return traverse.call_counts(nodes, L.calls(spark, d), nodes.where("type IN ('FUNCTION', 'CLASS')"), L.call_parts(spark, d))
 
 
 @query(f"""WITH {L.CONTAINS}, p1 AS (SELECT target AS id, source || '>' || target AS path, 1 AS hops FROM contains_ WHERE source LIKE 'region:%'),
@@ -375,7 +375,7 @@ SELECT source, target, type, confidence FROM calls WHERE NOT source LIKE 'part:%
 def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     calls = L.calls(spark, d)
     delta = calls.where("source LIKE 'part:%5'").withColumn("confidence", F.lit(0.99)).unionAll(calls.where("source = 'part:15'").select(F.lit("part:new"), "target", "type", F.lit(0.1)))
-    return upsert.merge_edges(calls, delta)
+    return upsert.merge_edges(calls, delta, partitions=2 * L.call_parts(spark, d))
 
 
 @query(f"""WITH {L.NODES}, {L.CONTAINS}, gone AS (SELECT id FROM nodes WHERE repo_name = 'ASIA')

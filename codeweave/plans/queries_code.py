@@ -358,7 +358,7 @@ def edge_last_wins(spark: SparkSession, d: str) -> DataFrame:
     calls = L.calls(spark, d)
     own = calls.where("source LIKE '%3'")
     delta = own.withColumns({"confidence": F.lit(0.9), "turn": F.lit(1)}).unionAll(own.withColumns({"confidence": F.lit(0.1), "turn": F.lit(2)}))
-    return upsert.merge_edges(calls, delta, ["turn"])
+    return upsert.merge_edges(calls, delta, ["turn"], 2 * L.call_parts(spark, d))
 
 
 @query("""WITH i AS (SELECT 'inc:' || event_id AS id, 'd' || (user_id % 9) AS deployment, 'v' || (event_id % 3) AS version FROM events)

@@ -27,6 +27,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+#: Rows that a task groups or merges, about.
+TASK_ROWS = 250_000
+
+
+def parts_of(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions for the rows of a table, counted: in proportion to them, two for each core at least. With a fixed number, what a task holds
+    would grow with the table."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: what comes after starts from there."""
     at = shared_folder(df.sparkSession, name)

@@ -168,3 +168,18 @@ def test_paths_and_ancestors(spark, seed):
     for hops in (1, 2, 3, 6):
         near = {(n, x, d) for n in {a for a, _ in edges} for x, d in walk(edges, [n], hops).items()}
         assert {tuple(r) for r in traverse.ancestors(edf, ["CALLS"], hops).collect()} == near
+
+
+def test_calls_are_dealt_by_their_number_before_they_are_combined(spark):
+    from codeweave.operators import upsert
+    from codeweave.plans import lenses
+    from codeweave.sources.places import TASK_ROWS, parts_of
+
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert parts_of(spark.range(10)) == least and parts_of(spark.range(40 * TASK_ROWS + 1)) == max(least, 41)
+    calls = lenses.calls(spark, "/root/testdata/sf0.001")
+    for piece in calls._jdf.queryExecution().executedPlan().toString().split("FileScan")[:-1]:
+        assert "Aggregate" not in piece.rpartition("Exchange")[2]
+    base = spark.createDataFrame([("a", "b", "CALLS", 0.5), ("a", "c", "CALLS", 0.5)], "source string, target string, type string, confidence double")
+    delta = spark.createDataFrame([("a", "b", "CALLS", 0.7), ("d", "c", "CALLS", 0.1)], base.schema)
+    assert sorted(upsert.merge_edges(base, delta, partitions=3).collect()) == sorted(upsert.merge_edges(base, delta).collect())
