@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.places import spread
+
 #: Least cosine of a hit (fixed value).
 SEMANTIC_THRESHOLD = 0.30
 K1, B = 1.2, 0.75
@@ -45,10 +47,24 @@ def full_text_query(question: Column) -> Column:
     return F.array_join(query_terms(question), " OR ")
 
 
+def counted(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """(keep, len, term, tf): the terms of each row and how often it has them. A row is counted by itself, from its sorted terms: what a task holds
+    does not grow with its rows, and nothing is shuffled."""
+    ordered = docs.select(*keep, F.sort_array(terms).alias("_t"))
+    # Where a term differs from the one before it.
+    starts = F.filter(F.transform("_t", lambda x, i: F.when((i == 0) | (x != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    runs = F.transform("_s", lambda at, j: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_t")) - at).cast("long").alias("tf")))
+    return ordered.withColumn("_s", starts).select(*keep, F.size("_t").alias("len"), F.inline(runs))
+
+
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """The inverted index (id, term, tf, len): terms in lower case, by document."""
-    terms = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)).alias("terms"))
-    return terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    """The inverted index (id, term, tf, len): terms in lower case, by document. Texts are dealt by their ids; terms are only grouped, and so shuffled,
+    where an id comes twice, for which the ids are looked at first."""
+    terms = F.regexp_extract_all(F.lower("_text"), F.lit(TERM_PATTERN), F.lit(0))
+    found = counted(spread(docs.select(F.col(id_col).alias("id"), text.alias("_text")), "id"), terms, "id")
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return found.select("id", "term", "tf", "len")
+    return found.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
 
 
 def corpus(docs: DataFrame, text: Column) -> DataFrame:

@@ -6,8 +6,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from codeweave.operators import fields
+from codeweave.operators import fields, search
 from codeweave.operators.fields import FieldIndex
 
 WEIGHTS = {"name": 2.0, "file_path": 1.0, "first_line": 1.0, "documentation": 0.5, "source_code": 1.0}
@@ -69,3 +70,19 @@ def test_a_repository_is_chosen_from_the_pool(spark, tmp_path):
     got = [r["id"] for r in fields.scoped_search(index, docs, ["alpha", "w3"], 3, mine).collect()]
     assert got == [i for i, _ in plain(own, ["alpha", "w3"], 50) if i < "d0060"][:3]
     assert FieldIndex.build(docs.limit(0), str(tmp_path / "none"), WEIGHTS).search(docs.limit(0), ["alpha"], 3).count() == 0
+
+
+def test_terms_are_counted_without_being_grouped(spark):
+    texts = [(1, "b a B, a b"), (2, ""), (3, None), (4, "é ß É x1 x1"), (5, "--"), (None, "a")]
+
+    def found(own):
+        docs = spark.createDataFrame(own, "id long, text string")
+        got = search.postings(docs, "id", F.col("text"))
+        return got, sorted(((r["id"], r["term"], r["tf"], r["len"]) for r in got.collect()), key=str)
+
+    got, counts = found(texts)
+    want = [(1, "a", 2, 5), (1, "b", 3, 5), (4, "x1", 2, 5), (4, "ß", 1, 5), (4, "é", 2, 5), (None, "a", 1, 1)]
+    assert counts == sorted(want, key=str)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    # An id that comes twice is one document, as before.
+    assert found([*texts, (1, "a c"), (None, "a")])[1] == sorted([(1, "a", 3, 5), (1, "b", 3, 5), (1, "c", 1, 2), *want[2:5], (None, "a", 2, 1)], key=str)
