@@ -24,17 +24,17 @@ RECORD = ", ".join(f"{c} {t}" for c, t in _TYPES.items())
 _COLUMNS = list(_TYPES)
 
 
-def parse(files: DataFrame, known: parsers.Registry | None = None) -> DataFrame:
+def parse(files: DataFrame, known: parsers.Registry | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
     """Records of files (rel_path, content): nodes with their source lines, edges, references and errors. Parsers are those that are
-    registered on the driver now, or the ones given; they go to the workers with the tasks."""
-    registered = parsers.registry() if known is None else dict(known)
+    registered on the driver now, or the ones given; they go to the workers with the tasks. With `kinds`, records of these alone leave the workers."""
+    registered, asked = parsers.registry() if known is None else dict(known), frozenset(kinds or parsers.TABLES)
     arrow = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     layout = pa.schema([(c, arrow[t]) for c, t in _TYPES.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_pylist([{"record": kind, **values} for path, content in found for kind, values in parsers.records(path, content, registered)], layout)
+            yield pa.RecordBatch.from_pylist([{"record": kind, **values} for path, content in found for kind, values in parsers.records(path, content, registered) if kind in asked], layout)
 
     return spread(files.select("rel_path", "content"), "rel_path").mapInArrow(run, RECORD)
 

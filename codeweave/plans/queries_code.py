@@ -70,8 +70,8 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return L.table(spark, d, "part").select(path.alias("rel_path"), text.alias("content"))
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    return index.parse(sources(spark, d))
+def records(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    return index.parse(sources(spark, d), kinds=kinds)
 
 
 def _case(values: list[str]) -> str:
@@ -105,7 +105,7 @@ all_nodes AS (SELECT * FROM file_nodes UNION ALL
 
 @query(f"WITH {_NODES} SELECT * FROM all_nodes")
 def parse_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).where("record = 'node'").select("id", "type", "name", "file_path", "start_line", "end_line", "hash", "qualified_name", "language", "documentation", "first_line")
+    return records(spark, d, "node").where("record = 'node'").select("id", "type", "name", "file_path", "start_line", "end_line", "hash", "qualified_name", "language", "documentation", "first_line")
 
 
 def _own(turn: int, place: int) -> str:
@@ -127,7 +127,7 @@ _STRUCTURE = "code_structure AS (" + " UNION ALL ".join(
 
 @query(f"WITH {_FILES}, {_CALLS}, {_STRUCTURE} SELECT source, target, type, confidence, source_line FROM code_calls UNION ALL SELECT source, target, type, 1.0::double, NULL FROM code_structure")
 def parse_edges(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).where("record = 'edge'").select("source", "target", "type", "confidence", "source_line")
+    return records(spark, d, "edge").where("record = 'edge'").select("source", "target", "type", "confidence", "source_line")
 
 
 def _ref(turn: int, kind: str, source: str, name: str) -> str:
@@ -142,7 +142,7 @@ _REFS = "code_refs AS (" + " UNION ALL ".join(
 
 @query(f"WITH {_FILES}, {_REFS} SELECT * FROM code_refs")
 def parse_refs(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).where("record = 'ref'").select("kind", "source_id", "target_name")
+    return records(spark, d, "ref").where("record = 'ref'").select("kind", "source_id", "target_name")
 
 
 #: Calls of a name: the only method or function of that name, else those in the caller's file, else the first three by id.

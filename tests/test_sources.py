@@ -195,3 +195,12 @@ def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     parsed = index.parse(files).where("type = 'CLASS'")
     assert parsed.count() == 400
     assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_records_of_the_kinds_that_are_asked_for_leave_the_workers(spark):
+    files = spark.createDataFrame([("a/A.java", "package p; import q.R; class A extends B { void f() { g(); } void g() { } }"), ("a/b.ts", "export function h() { return k(); }")], "rel_path string, content string")
+    every = index.parse(files)
+    for kind in ("node", "edge", "ref"):
+        got = index.parse(files, kinds=(kind,))
+        assert got.count() > 0
+        assert sorted(map(str, got.collect())) == sorted(map(str, every.where(F.col("record") == kind).collect()))
