@@ -327,7 +327,7 @@ def collected_callers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_NODES} SELECT qualified_name[:length(qualified_name) - length(name) - 1] AS package, count(*)::bigint AS classes, min(name) AS first FROM all_nodes WHERE type = 'CLASS' AND contains(qualified_name, '.') GROUP BY 1""")
 def class_packages(spark: SparkSession, d: str) -> DataFrame:
-    nodes = records(spark, d).where("record = 'node'").select("id", "type", "name", "qualified_name", "file_path")
+    nodes = records(spark, d, "node").where("record = 'node'").select("id", "type", "name", "qualified_name", "file_path")
     return traverse.classes_by_package(nodes).groupBy("package").agg(F.count("*").alias("classes"), F.min("name").alias("first"))
 
 
