@@ -2,7 +2,7 @@
 
 A term in a field of a document is worth `K1 + 1` at most there, by its frequency and the field's length; with the field's weight and the term's
 rarity that is its part of the score, and the score is their sum. The index has a list for each term and field, cut into levels by what
-an entry is worth and into blocks of about `BLOCK` entries within a level. What a level holds is known from a small table of headers, so a search
+an entry is worth and into blocks of about `BLOCK` entries within a level. What a level holds is known from the heads of its blocks, so a search
 reads levels from the best on, and stops when what is left could not lift a document that it has not met into the best k.
 Documents that it has met and that could still be among these are then scored on their fields.
 
@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import K1, TERM_PATTERN, B, is_term
+from ..sources.places import spread
+from .search import K1, TERM_PATTERN, B, counted, is_term
 from .traverse import settled
 from .vector_index import pool
 
@@ -26,6 +27,8 @@ NODE_FIELDS = {"name": 1.0, "file_path": 1.0, "first_line": 1.0, "documentation"
 #: Entries of a block, about; levels of worth; entries that a search reads first.
 BLOCK, LEVELS, FIRST = 128, 32, 512
 _STEP = (K1 + 1) / LEVELS
+#: Lists of several blocks that are sent to all tasks at most.
+MANY = 200_000
 
 
 def _terms(text: Column) -> Column:
@@ -62,27 +65,37 @@ class FieldIndex:
         """Indexes the rows of docs (id and the fields)."""
         weights = NODE_FIELDS if weights is None else weights
         spark = docs.sparkSession
-        cut = docs.where("id IS NOT NULL").select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _terms(F.col(f)).alias("terms")) for f in weights])).alias("_f")).select("id", "_f.field", "_f.terms")
-        cut.groupBy("field").agg(F.count("*").alias("docs"), F.greatest(F.avg(F.size("terms")), F.lit(1e-9)).alias("mean")).write.parquet(f"{folder}/fields")
-        sizes = F.broadcast(spark.read.parquet(f"{folder}/fields").select("field", "mean"))
-        counted = cut.select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "field", "term").agg(F.max("len").alias("len"), F.count("*").cast("double").alias("tf"))
-        level = F.least(F.lit(LEVELS - 1), F.floor((K1 + 1 - worth(F.col("tf"), F.col("len"), F.col("mean"))) / _STEP)).cast("int")
-        placed = counted.join(sizes, "field").select("term", "field", level.alias("level"), "id", "tf", "len")
-        placed.write.parquet(f"{folder}/entries")
+        own = docs.where("id IS NOT NULL").select("id", *weights)
+        cut = spread(own, "id").select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _terms(F.col(f)).alias("terms")) for f in weights])).alias("_f")).select("id", "_f.field", "_f.terms")
+        counted(cut, F.col("terms"), "id", "field").withColumn("tf", F.col("tf").cast("double")).write.parquet(f"{folder}/entries")
         entries = spark.read.parquet(f"{folder}/entries")
-        lists = entries.groupBy("term", "field", "level").agg(F.count("*").alias("docs")).withColumn("blocks", F.ceil(F.col("docs") / block).cast("int"))
-        lists.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/levels")
-        levels = spark.read.parquet(f"{folder}/levels")
-        # Only lists of several blocks are dealt to them.
-        many = levels.where("blocks > 1").select("term", "field", "level", "blocks")
+        # Documents are counted, words summed up from the entries: no text is cut into terms twice.
+        total = own.count()
+        words = {r["field"]: r["words"] for r in entries.groupBy("field").agg(F.sum("tf").alias("words")).collect()}  # a row for each field
+        sizes = [(f, total, max(words.get(f, 0.0) / total, 1e-9)) for f in weights] if total else []
+        spark.createDataFrame(sizes, "field string, docs long, mean double").coalesce(1).write.parquet(f"{folder}/fields")
+        mean = F.lit(1.0)
+        for field, _, m in sizes:
+            mean = F.when(F.col("field") == field, m).otherwise(mean)
+        level = F.least(F.lit(LEVELS - 1), F.floor((K1 + 1 - worth(F.col("tf"), F.col("len"), mean)) / _STEP)).cast("int")
+        placed = entries.select("term", "field", level.alias("level"), "id", "tf", "len")
+        # Only lists of several blocks are dealt to them; these are few, and sent to all tasks while they are.
+        lists = placed.groupBy("term", "field", "level").agg(F.count("*").alias("docs")).where(F.col("docs") > block)
+        lists.withColumn("blocks", F.ceil(F.col("docs") / block).cast("int")).drop("docs").write.parquet(f"{folder}/many")
+        many = spark.read.parquet(f"{folder}/many")
+        many = F.broadcast(many) if many.count() <= MANY else many
         number = F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0))
-        blocks = entries.join(many, ["term", "field", "level"], "left").groupBy("term", "field", "level", number.alias("block")).agg(F.collect_list(F.struct("id", "tf", "len")).alias("entries"))
-        blocks.repartitionByRange("term", "field", "level").sortWithinPartitions("term", "field", "level").write.parquet(f"{folder}/blocks")
+        dealt = placed.join(many, ["term", "field", "level"], "left").select("term", "field", "level", number.alias("block"), "id", "tf", "len")
+        # Entries move once, to their place in the order of the index, and are put into blocks there.
+        order = ["term", "field", "level", "block"]
+        blocks = dealt.repartitionByRange(*order).groupBy(*order).agg(F.count("*").alias("docs"), F.collect_list(F.struct("id", "tf", "len")).alias("entries"))
+        blocks.sortWithinPartitions(*order).write.parquet(f"{folder}/blocks")
         return cls(spark, folder, weights)
 
     def _levels(self, terms: list[str]) -> tuple[list[Level], dict[tuple[str, str], float]]:
         """Levels of the terms' lists, best first, and what each list's worth is multiplied with."""
-        rows = self.spark.read.parquet(f"{self.folder}/levels").where(F.col("term").isin(terms) & F.col("field").isin(list(self.weights))).collect()  # at most LEVELS for each term and field
+        heads = self.spark.read.parquet(f"{self.folder}/blocks").where(F.col("term").isin(terms) & F.col("field").isin(list(self.weights)))
+        rows = heads.groupBy("term", "field", "level").agg(F.sum("docs").alias("docs"), F.count("*").alias("blocks")).collect()  # at most LEVELS for each term and field
         df: dict[tuple[str, str], int] = {}
         for r in rows:
             df[r["term"], r["field"]] = df.get((r["term"], r["field"]), 0) + r["docs"]

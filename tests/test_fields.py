@@ -72,6 +72,15 @@ def test_a_repository_is_chosen_from_the_pool(spark, tmp_path):
     assert FieldIndex.build(docs.limit(0), str(tmp_path / "none"), WEIGHTS).search(docs.limit(0), ["alpha"], 3).count() == 0
 
 
+def test_texts_are_dealt_to_tasks_before_they_are_cut(spark, tmp_path):
+    docs = spark.createDataFrame(rows(5, 200), SCHEMA).coalesce(1)
+    index = FieldIndex.build(docs, str(tmp_path / "index"), WEIGHTS)
+    assert len(spark.read.parquet(f"{index.folder}/entries").inputFiles()) > 1
+    held = {(r["field"], r["term"], r["id"]): r["tf"] for r in spark.read.parquet(f"{index.folder}/entries").collect()}
+    want = Counter((f, t, d[0]) for d in rows(5, 200) for j, f in enumerate(WEIGHTS, 1) for t in re.findall(r"\w+", (d[j] or "").lower()))
+    assert held == want
+
+
 def test_terms_are_counted_without_being_grouped(spark):
     texts = [(1, "b a B, a b"), (2, ""), (3, None), (4, "é ß É x1 x1"), (5, "--"), (None, "a")]
 
