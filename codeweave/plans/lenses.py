@@ -54,8 +54,8 @@ def kept(spark: SparkSession, d: str, lens) -> DataFrame:
         return known[1]
     if known and known[0].split()[0] == spark.sparkContext.applicationId:
         known[1].unpersist()
-    # A cached plan keeps its many small shuffle partitions; two for each core are enough.
-    _KEPT[lens.__name__] = (key, lens(spark, d).coalesce(2 * spark.sparkContext.defaultParallelism).persist())
+    # A cached plan keeps its many small shuffle partitions: they are put together, but not into so few that what a task holds grows with the table.
+    _KEPT[lens.__name__] = (key, lens(spark, d).coalesce(call_parts(spark, d)).persist())
     return _KEPT[lens.__name__][1]
 
 

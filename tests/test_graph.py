@@ -1,12 +1,13 @@
 """Graph operators against plain models."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeweave.operators import fusion, intervals, resolve, search, stats, traverse, upsert
-from codeweave.plans import diagnose, retrieve
+from codeweave.plans import diagnose, lenses, retrieve
 
 
 def graph(spark, seed, n=12, m=30):
@@ -183,3 +184,12 @@ def test_calls_are_dealt_by_their_number_before_they_are_combined(spark):
     base = spark.createDataFrame([("a", "b", "CALLS", 0.5), ("a", "c", "CALLS", 0.5)], "source string, target string, type string, confidence double")
     delta = spark.createDataFrame([("a", "b", "CALLS", 0.7), ("d", "c", "CALLS", 0.1)], base.schema)
     assert sorted(upsert.merge_edges(base, delta, partitions=3).collect()) == sorted(upsert.merge_edges(base, delta).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_partitions_of_a_kept_lens_go_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(lenses, "_KEPT", {})
+    monkeypatch.setattr(lenses, "call_parts", lambda spark, d: 40)
+    kept = lenses.kept(spark, "/root/testdata/sf0.001", lenses.edges)
+    assert kept.rdd.getNumPartitions() == 40
+    kept.unpersist()
