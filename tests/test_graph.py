@@ -52,6 +52,21 @@ def test_call_resolution(spark):
     assert [r["target"] for r in resolve.resolve_unique(types, nodes).collect()] == ["k"]
 
 
+def test_calls_meet_lists_of_namesakes(spark):
+    many = 2 * 1024 + 1
+    nodes = [(f"a{i:05}", "FUNCTION", "f", "a", "r") for i in range(many)] + [("b", "METHOD", "f", "b", "r"), ("c", "METHOD", "f", None, "r"), ("d", "METHOD", "g", None, "r"), ("e", "METHOD", "g", "e", "r")]
+    refs = [("s1", "f", "a"), ("s2", "f", "b"), ("s3", "f", None), ("s4", "f", ""), ("s5", "f", "x"), ("s1", "g", "a"), ("s2", "g", "e"), ("s3", None, "a")]
+    want = sorted([("s1", f"a{i:05}") for i in range(many)] + [("s2", "b"), ("s1", "d"), ("s1", "e"), ("s2", "e")] + [(s, f"a{i:05}") for s in ("s3", "s4", "s5") for i in range(3)])
+    ndf = spark.createDataFrame(nodes, "id string, type string, name string, file_path string, repo_name string")
+    rdf = spark.createDataFrame([(*r, "r") for r in refs], "source string, target_name string, file_path string, repo_name string")
+    for given in ({}, {"unique": True, "parts": 3}):
+        edges = resolve.resolve_calls(rdf, ndf, **given).select("source", "target")
+        assert sorted(map(tuple, edges.collect())) == want
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        # Lists are unrolled after the join, and both kinds of edges come from the same shuffled references.
+        assert "Generate explode(_targets" in plan and "ReusedExchange [source" in plan, plan
+
+
 def test_interval_lookup(spark):
     nodes = spark.createDataFrame([("file", "src/a.py", 1, 100), ("cls", "src/a.py", 10, 60), ("fn", "src/a.py", 20, 30), ("line", "src/a.py", 25, 25), ("late", "src/a.py", 70, 80)], "id string, file_path string, start_line int, end_line int")
     probes = spark.createDataFrame([(1, "a.py", 25), (2, "a.py", 65), (3, "b.py", 5), (4, "A.py", 25)], "probe int, file_hint string, line int")
