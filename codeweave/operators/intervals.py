@@ -6,6 +6,8 @@ A probe finds its one state by an equality join on buckets of lines, and what it
 nesting, however many spans the file has. Buckets are of four widths; a state lies in a few of the narrowest that hold it so, and
 gaps and the open end of a file cost no more than other lines. States with more than `DEEP` open spans, or with a span of a million lines, are empty:
 probes that meet one are joined with all spans above them. So are those of files of at most `FEW` spans, which need no states.
+
+What a table's files tell of its size says little of its rows, less of their pieces, so sides that grow are merged and only those that are counted are broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.places import stored
+from .traverse import SEEDS, settled
 
 #: Rank of nodes that start above the line but do not enclose it.
 NOT_ENCLOSING = 999_999
@@ -42,19 +45,20 @@ def at_line(nodes: DataFrame, probes: DataFrame, top: int = TOP, on: list[str] |
     """
     keys = on or ["file_path"]
     asked = (probes if on else stored(matched(nodes, probes), "matched")).where("line IS NOT NULL")
-    rows = nodes.select(*keys, "id", "start_line", "end_line").where("start_line IS NOT NULL")
-    large = rows.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).count().where(F.col("count") > few).select(*keys)
+    files = settled(asked.select(*keys).distinct())
+    rows = nodes.select(*keys, "id", "start_line", "end_line").where("start_line IS NOT NULL").hint("merge").join(files, keys, "left_semi")
+    large = settled(rows.groupBy(*keys).count().where(F.col("count") > few).select(*keys))
 
     def above(some: DataFrame, spans: DataFrame) -> DataFrame:
-        return some.select(*asked.columns).join(spans, keys).where("start_line <= line").select(*asked.columns, "id", "start_line", "end_line")
+        return some.select(*asked.columns).join(spans.hint("merge"), keys).where("start_line <= line").select(*asked.columns, "id", "start_line", "end_line")
 
     if large.isEmpty():
         pairs = above(asked, rows)
     else:
-        own = rows.join(large, keys, "left_semi")
-        met = located(states(own, keys, top, deep), asked.join(large, keys, "left_semi"), keys)
+        own = rows.hint("merge").join(large, keys, "left_semi")
+        met = located(states(own, keys, top, deep), asked.hint("merge").join(large, keys, "left_semi"), keys)
         near = met.where("spans IS NOT NULL").select(*asked.columns, F.explode("spans").alias("_n")).select(*asked.columns, "_n.*")
-        pairs = near.unionByName(above(met.where("spans IS NULL"), own)).unionByName(above(asked.join(large, keys, "left_anti"), rows))
+        pairs = near.unionByName(above(met.where("spans IS NULL"), own)).unionByName(above(asked.hint("merge").join(large, keys, "left_anti"), rows))
     encloses = F.coalesce((F.col("end_line") >= F.col("line")) & (F.col("end_line") > F.col("start_line")), F.lit(False))
     span = F.when(encloses, F.col("end_line") - F.col("start_line")).otherwise(NOT_ENCLOSING)
     order = Window.partitionBy("probe").orderBy("span", F.desc("start_line"), "id")
@@ -75,7 +79,7 @@ def located(kept: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     line = F.col("line").cast("long")
     at = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.shiftright(line, w).alias("bucket")) for w in WIDTHS]))
     spread = asked.select(*asked.columns, at.alias("_at")).select(*asked.columns, "_at.width", "_at.bucket")
-    return spread.join(kept, [*keys, "width", "bucket"]).where("line BETWEEN first AND last").select(*asked.columns, "spans")
+    return spread.join(kept.hint("merge"), [*keys, "width", "bucket"]).where("line BETWEEN first AND last").select(*asked.columns, "spans")
 
 
 def states(rows: DataFrame, keys: list[str], top: int = TOP, deep: int = DEEP) -> DataFrame:
@@ -171,16 +175,18 @@ def matched(nodes: DataFrame, probes: DataFrame) -> DataFrame:
     size = F.lit(0)
     for g in reversed(GRAMS):
         size = F.when(F.length("file_hint") >= g, g).otherwise(size)
-    sizes = sorted(r[0] for r in hints.select(size.alias("g")).distinct().collect())  # one of each length of pieces
+    found = {r["g"]: r["count"] for r in hints.groupBy(size.alias("g")).count().collect()}  # one of each length of pieces
+    sizes = sorted(found)
     cut = [(hints.where(size == g), paths.where(F.length("file_path") >= g), g) for g in sizes or [0]]
     asked = _union([h.select("file_hint", F.explode(_pieces(F.col("file_hint"), g)).alias("piece")) for h, _, g in cut])
     index = _union([p.select("file_path", F.explode(_pieces(F.col("file_path"), g)).alias("piece")) for _, p, g in cut])
-    postings = index.join(asked.select("piece").distinct(), "piece", "left_semi")
+    pieces = asked.select("piece").distinct()
+    postings = index.hint("merge").join(settled(pieces) if sum(found.values()) <= SEEDS else pieces, "piece", "left_semi")
     held = postings.groupBy("piece").agg(F.count("*").alias("n"))
     # A piece that no path has rules its hint out.
-    best = asked.join(held, "piece", "left").groupBy("file_hint").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best")).where("best.n > 0")
-    pairs = best.select("file_hint", F.col("best.piece").alias("piece")).join(postings, "piece").where(F.col("file_path").contains(F.col("file_hint")))
-    return probes.join(pairs.select("file_hint", "file_path"), "file_hint")
+    best = asked.join(held.hint("merge"), "piece", "left").groupBy("file_hint").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best")).where("best.n > 0")
+    pairs = best.select("file_hint", F.col("best.piece").alias("piece")).join(postings.hint("merge"), "piece").where(F.col("file_path").contains(F.col("file_hint")))
+    return probes.join(pairs.select("file_hint", "file_path").hint("merge"), "file_hint")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

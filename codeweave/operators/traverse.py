@@ -112,7 +112,8 @@ def walk_each(edges: Edges, seeds: DataFrame, hops: int, inbound: bool = False)
     level = settled(seeds.select("origin", F.col("origin").alias("id")).distinct())
     out: DataFrame | None = None
     for d in range(1, hops + 1):
-        found = [t.select(F.col(a).alias("id"), F.col(b).alias("_to")).join(level, "id").select("origin", F.col("_to").alias("id")) for t in tables if t is not None]
+        # Of the seeds, few are broadcast; whatever else meets is merged.
+        found = [t.select(F.col(a).alias("id"), F.col(b).alias("_to")).hint("merge").join(level, "id").select("origin", F.col("_to").alias("id")) for t in tables if t is not None]
         level = (found[0] if len(found) == 1 else found[0].unionAll(found[1])).distinct()
         here = level.withColumn("distance", F.lit(d))
         out = here if out is None else out.unionAll(here)

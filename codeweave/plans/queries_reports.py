@@ -49,13 +49,13 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     vectors = L.table(spark, d, "embeddings").select((F.col("vec_id")).alias("v"), F.col("embedding").cast("array<double>").alias("vector"))
     words = F.col("trace_id") % 5 == 4
     t = spread(L.traces(spark, d), "trace_id").select(F.col("trace_id").alias("report_id"), F.when(words, F.col("text")).otherwise("what is it").alias("question"), F.lit(None).cast("string").alias("error"), F.when(~words, F.col("text")).alias("trace"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), ((F.col("trace_id") * 7) % n).alias("v"))
-    return t.join(vectors, "v", "left").drop("v")
+    return t.join(vectors.hint("merge"), "v", "left").drop("v")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     n = _vectors(spark, d)
     own = L.table(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") % n).alias("vec_id"))
-    return own.join(L.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    return own.join(L.table(spark, d, "embeddings").select("vec_id", "embedding").hint("merge"), "vec_id").select("id", "embedding")
 
 
 @query(f"""WITH {NODES}, t AS (SELECT 'z' || k AS id, 'run' || k || CASE WHEN k % 6 = 1 THEN 'Test' ELSE '' END AS name FROM n WHERE k % 3 = 1),
@@ -82,7 +82,7 @@ def diagnose_reports(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
     after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("next"))
-    calls = part.join(after, "p_partkey").select(name("p_partkey").alias("source"), name("next").alias("target"), F.lit("CALLS").alias("type"))
+    calls = part.join(after.hint("merge"), "p_partkey").select(name("p_partkey").alias("source"), name("next").alias("target"), F.lit("CALLS").alias("type"))
     level = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "medium").otherwise("low")
     findings = part.select(F.concat(F.lit("f"), key).alias("id"), name("p_partkey").alias("node_id"), level.alias("severity"))
     incidents = L.table(spark, d, "events").select(F.concat(F.lit("i"), F.col("event_id").cast("string")).alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at"), "event_id")

@@ -4,8 +4,9 @@ import math
 
 import pytest
 
+from codeweave.operators import intervals, traverse, vector_index
 from codeweave.operators.vector_index import VectorIndex
-from codeweave.plans import diagnose, reports
+from codeweave.plans import diagnose, queries_reports, reports
 
 NODES = "id string, type string, name string, file_path string, start_line int, end_line int, repo_name string"
 
@@ -49,3 +50,25 @@ def test_reports_are_diagnosed_as_one_by_one(spark, world, repo):
         assert (r["level"], [r["id"]] if r["id"] else [], r["callers"], r["callees"], r["findings"], r["evidence"], r["tests"]) == want, number
     assert tuple(got[2])[1:] == tuple(got[12])[1:]
     assert reports.diagnose_all(table.limit(0), nodes, edges, findings, affects, incidents, index).count() == 0
+
+
+def test_a_side_that_was_not_counted_is_not_broadcast(spark, world, monkeypatch):
+    # A table of parts has few bytes and many rows; those that were thought small passed the driver.
+    (nodes, edges, findings, affects, incidents), _, index = world
+    made, stored = [], reports.stored
+
+    def noted(df, name):
+        made.append((name, df))
+        return stored(df, name)
+
+    for module in (reports, intervals, vector_index):
+        monkeypatch.setattr(module, "stored", noted)
+    for module in (intervals, traverse):
+        monkeypatch.setattr(module, "settled", lambda df: df)  # as with more rows than are collected
+    monkeypatch.setattr(intervals, "SEEDS", 0)
+    table = spark.createDataFrame(REPORTS, reports.REPORTS.replace("report_id", "report_id long"))
+    made.append(("found", reports.diagnose_all(table, nodes, edges, findings, affects, incidents, index, probes=3)))
+    made.append(("lines", intervals.at_line(nodes, table.selectExpr("report_id AS probe", "concat('src/F', report_id % 4, '.java') AS file_path", "int(report_id) AS line"), 1, ["file_path"], few=0)))
+    made += [(f.__name__, f(spark, "/root/testdata/sf0.001")) for f in (queries_reports.reports, queries_reports.vectors)]
+    assert len(made) > 12
+    assert [name for name, df in made if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()] == []
